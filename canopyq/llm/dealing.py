@@ -115,3 +115,19 @@ def groups(*sorted_cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         new[1:] |= c[1:] != c[:-1]
     at = np.flatnonzero(new)
     return at, np.diff(np.append(at, n))
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """df, computed and written to the folder in spark.checkpoint.dir, which all executors share.
+
+    Only where that setting is absent (tests on one machine) a folder is made.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        at = context.getConf().get("spark.checkpoint.dir", None)
+        if at is None:
+            import tempfile
+
+            at = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(at)
+    return df.checkpoint(eager=True)
