@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import language_id, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, url_rules
+from . import decontaminate, hnsw, language_id, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = hnsw.sound_vectors(table(spark, sf_dir, "embeddings"))
+    return hnsw.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
     return out.select("doc_id", "n_lines", "n_dropped", sha("kept").alias("kept_sha256"))
@@ -68,6 +73,11 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents"), percent=75, shingle=5).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per benchmark item that a document holds."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=0.75)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language_id.identify_language(docs, language_id.train_language(docs))
