@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BLOCK = "bucket int, payload binary"
 BLOCK_SCHEMA = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
@@ -117,12 +117,12 @@ def groups(*sorted_cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, n))
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed and written to the folder in spark.checkpoint.dir, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that all executors share, from the session's settings.
 
-    Only where that setting is absent (tests on one machine) a folder is made.
+    Only where no such setting is there (tests on one machine) a folder is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         at = context.getConf().get("spark.checkpoint.dir", None)
         if at is None:
@@ -130,4 +130,10 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
 
             at = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(at)
+    return context.getCheckpointDir()
+
+
+def shared_checkpoint(df: DataFrame) -> DataFrame:
+    """df, computed and written to the shared folder, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -173,17 +173,26 @@ def _losses(buckets: int):
     return run
 
 
+def _lost(blocks: pa.Table) -> dict[int, set]:
+    x = opened(list(blocks.column("payload").combine_chunks()) if blocks.num_rows else [], LOSS)
+    lost: dict[int, set] = {}
+    for doc, h, g in zip(x["doc"].tolist(), x["h"].tolist(), x["g"].tolist()):
+        lost.setdefault(doc, set()).add((h, g))
+    return lost
+
+
+def _left(text: str | None, gone: set | None, least: int) -> tuple[list[str], list[str]]:
+    """A text's lines, and those that stay."""
+    lines = (text or "").split("\n")
+    return lines, lines if not gone else [s for s in lines if len(s) < least or len(key := line_key(s)) < least or _hash(key) not in gone]
+
+
 def _kept(least: int):
     def run(docs: pa.Table, blocks: pa.Table) -> pa.Table:
-        x = opened(list(blocks.column("payload").combine_chunks()) if blocks.num_rows else [], LOSS)
-        lost: dict[int, set] = {}
-        for doc, h, g in zip(x["doc"].tolist(), x["h"].tolist(), x["g"].tolist()):
-            lost.setdefault(doc, set()).add((h, g))
+        lost = _lost(blocks)
         cols: list[list] = [[], [], [], []]
         for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist()):
-            lines = (text or "").split("\n")
-            gone = lost.get(doc) if doc is not None else None
-            kept = lines if not gone else [s for s in lines if len(s) < least or len(key := line_key(s)) < least or _hash(key) not in gone]
+            lines, kept = _left(text, lost.get(doc), least)
             for c, v in zip(cols, (doc, len(lines), len(lines) - len(kept), "\n".join(kept))):
                 c.append(v)
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
@@ -191,6 +200,31 @@ def _kept(least: int):
     return run
 
 
+def _rewritten(least: int, names: list[str]):
+    def run(docs: pa.Table, blocks: pa.Table) -> pa.Table:
+        lost = _lost(blocks)
+        ids, texts = docs.column("_line_doc").to_pylist(), docs.column("text").to_pylist()
+        texts = [t if doc not in lost else "\n".join(_left(t, lost[doc], least)[1]) for doc, t in zip(ids, texts)]
+        at = docs.schema.get_field_index("text")
+        return docs.set_column(at, docs.schema.field(at), pa.array(texts, docs.schema.field(at).type)).select(names)
+
+    return run
+
+
+def _loss_blocks(docs: DataFrame, n: int, least_chars: int, least_docs: int) -> DataFrame:
+    """(document, key) of every line to drop, as blocks by the document's bucket."""
+    entries = deal(docs.mapInArrow(_entries(least_chars, n), BLOCK), n)
+    suspects = entries.mapInArrow(_suspects, "h long, g long, doc long")
+    held = suspects.distinct()
+    frequent = held.groupBy("h", "g").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper")).where(F.col("n_docs") >= least_docs)
+    losses = held.join(frequent, ["h", "g"]).where(F.col("doc") != F.col("keeper")).select("doc", "h", "g")
+    return losses.mapInArrow(_losses(n), BLOCK).repartition(n, "bucket")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
     """Drop lines whose key many documents hold, but for the largest doc_id that holds it.
 
@@ -198,12 +232,15 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
     kept (text of the lines left) for each row.
     """
     n = parts(docs)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    entries = deal(docs.mapInArrow(_entries(least_chars, n), BLOCK), n)
-    suspects = entries.mapInArrow(_suspects, "h long, g long, doc long")
-    held = suspects.distinct()
-    frequent = held.groupBy("h", "g").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper")).where(F.col("n_docs") >= least_docs)
-    losses = held.join(frequent, ["h", "g"]).where(F.col("doc") != F.col("keeper")).select("doc", "h", "g")
-    blocks = losses.mapInArrow(_losses(n), BLOCK).repartition(n, "bucket")
+    docs = _texts(docs)
+    blocks = _loss_blocks(docs, n, least_chars, least_docs)
     home = docs.withColumn("bucket", bucket_of("doc_id", n)).repartition(n, "bucket")
     return home.groupBy("bucket").cogroup(blocks.groupBy("bucket")).applyInArrow(_kept(least_chars), OUT)
+
+
+def rewrite_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
+    """docs with all its columns, and text without the lines that dedup_lines() drops (a null text stays null)."""
+    n = parts(docs)
+    blocks = _loss_blocks(_texts(docs), n, least_chars, least_docs)
+    home = docs.withColumn("_line_doc", F.col("doc_id").cast("long")).withColumn("_line_bucket", bucket_of("_line_doc", n)).repartition(n, "_line_bucket")
+    return home.groupBy("_line_bucket").cogroup(blocks.groupBy("bucket")).applyInArrow(_rewritten(least_chars, docs.columns), docs.schema)
