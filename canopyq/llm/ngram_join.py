@@ -15,11 +15,16 @@ few non-empty segments for that (tiny or lopsided) also indexes its tokens one
 by one, which is the finest partition.
 
 Small signature groups give all their pairs; a large one gives a star around
-its smallest member.  A star edge that fails verification leaves its member
-open: only open members meet the rest of their group, where the triangle
-inequality on distances to the star's centre cannot rule the pair out.  So
-every link is verified exactly or implied by verified ones, and a large group
-of near copies costs one pair a member.
+its most central member (whose signatures the most sets share).  A star edge
+that fails verification leaves its member open.  Relative to the centre c, a
+member y lacks m_y of c's tokens and has s_y tokens that no other member has;
+so two members differ in at least s_x + s_y + |m_x - m_y| tokens.  An open member
+whose bound exceeds what a link allows for every fellow is closed.  The others
+first try the few linked members with the best bounds, as one link is enough to
+join the centre's component; those left meet all fellows for which the bound,
+the triangle inequality and the sets' parity sketches allow a link.  So every link is verified exactly or
+joins what verified links join, and a group of near copies costs a few pairs a
+member.
 
 Texts with equal sets are one class throughout and never expand into pairs.
 
@@ -32,11 +37,11 @@ Extra columns are ignored.  Sets are told apart by a 64-bit hash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .components import connected
 from .dealing import BLOCK, Outbox, by_bucket, deal, groups, opened, parts, shared_checkpoint
@@ -47,7 +52,8 @@ SMALL = 3
 
 ENTRY = [("sig", "<u8"), ("id", "<u8"), ("size", "<u4"), ("lack", "<i4"), ("scheme", "<u1")]
 SHARED = [*ENTRY, ("n", "<u4")]
-MEMBER = [("sig", "<u8"), ("id", "<u8"), ("size", "<u4")]
+#: rank: the lower, the more central.
+MEMBER = [("sig", "<u8"), ("id", "<u8"), ("size", "<u4"), ("rank", "<u4")]
 PAIR = [("x", "<u8"), ("y", "<u8")]
 
 
@@ -182,27 +188,28 @@ def _allocate(buckets: int):
             order = np.lexsort((x["sig"], x["n"], x["scheme"], x["id"]))
             x = {k: v[order] for k, v in x.items()}
             at, n = groups(x["id"], x["scheme"])
-            rank = np.arange(len(order)) - np.repeat(at, n)
-            keep = rank < np.repeat(n + x["lack"][at], n)
-            yield from out.add(_id_bucket(x["sig"][keep], buckets), x["sig"][keep], x["id"][keep], x["size"][keep])
+            place = np.arange(len(order)) - np.repeat(at, n)
+            keep = place < np.repeat(n + x["lack"][at], n)
+            shared = np.add.reduceat(x["n"].astype(np.int64), at) if len(at) else at
+            rank = np.repeat((1 << 32) - 1 - np.minimum(shared, (1 << 32) - 1), n)
+            yield from out.add(_id_bucket(x["sig"][keep], buckets), x["sig"][keep], x["id"][keep], x["size"][keep], rank[keep])
         yield from out.flush()
 
     return run
 
 
 def _members(x: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Members in order of signature and id, each group's start and length."""
-    order = np.lexsort((x["id"], x["sig"]))
+    """Members in order of signature, rank and id, each group's start and length."""
+    order = np.lexsort((x["id"], x["rank"], x["sig"]))
     sig, ids, size = x["sig"][order], x["id"][order], x["size"][order].astype(np.int64)
     at, n = groups(sig)
     return sig, ids, size, at, n
 
 
-def _star_pairs(percent: int, buckets: int):
-    """Candidate pairs by the bucket of x, the smaller id: all of small groups, stars of large ones."""
+def _star_pairs(percent: int):
+    """Candidate pairs: all of small groups, (centre, member) of large ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Outbox(PAIR, buckets)
         for x in by_bucket(batches, MEMBER):
             _, ids, size, at, n = _members(x)
             found = []
@@ -211,28 +218,21 @@ def _star_pairs(percent: int, buckets: int):
                     groups_in = (n > first + step) & (n <= SMALL)
                     a = at[groups_in] + first
                     found.append((a, a + step))
+            small_pairs = sum(len(c[0]) for c in found)
             big = n > SMALL
             center = np.repeat(at[big], n[big])
             other = np.arange(len(center)) - np.repeat(np.cumsum(n[big]) - n[big], n[big]) + center
             found.append((center[other > center], other[other > center]))
             a, b = (np.concatenate(c) for c in zip(*found))
-            fits = np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * percent
+            # in a large group every member gets its place relative to the centre
+            fits = (np.minimum(size[a], size[b]) * 100 >= np.maximum(size[a], size[b]) * percent) | (np.arange(len(a)) >= small_pairs)
             pair = np.unique(np.stack([ids[a[fits]], ids[b[fits]]], axis=1), axis=0) if fits.any() else np.zeros((0, 2), np.uint64)
-            yield from out.add(_id_bucket(pair[:, 0], buckets), pair[:, 0], pair[:, 1])
-        yield from out.flush()
+            if len(pair):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[:, i]).view(np.int64)) for i in (0, 1)], names=["x", "y"])
 
     return run
 
 
-def _big_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, center, id, size) of large groups."""
-    for x in by_bucket(batches, MEMBER):
-        sig, ids, size, at, n = _members(x)
-        keep = np.repeat(n > SMALL, n)
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(v[keep].view(np.int64)) for v in (sig, np.repeat(ids[at], n), ids, size)], names=["sig", "center", "id", "size"])
-
-
 def _homes(shingle: int, buckets: int):
     """(bucket, set_id, text): each set's text once a slice."""
 
@@ -267,7 +267,9 @@ def _texts_wanted(home: pa.Table, wanted: np.ndarray, shingle: int) -> dict[int,
 
 
 MESSAGE = "bucket int, x long, ys binary, tokens binary"
-VERIFIED = "x long, y long, common long, size_x long, size_y long"
+#: Words of a set's parity sketch: bit i says whether an odd number of tokens falls to it, so two sets differ in as many tokens at least as their sketches in bits.
+SKETCH = 8
+VERIFIED = "x long, y long, common long, size_x long, size_y long, extras binary, " + ", ".join(f"p{i} long" for i in range(SKETCH))
 
 
 def _send(shingle: int, buckets: int):
@@ -290,11 +292,16 @@ def _send(shingle: int, buckets: int):
     return run
 
 
+def parity(tokens: np.ndarray) -> list[int]:
+    odd = np.bincount((tokens & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _verify(shingle: int):
-    """Exact common tokens of each pair whose y lives in the bucket."""
+    """Exact common tokens of each pair whose y lives in the bucket; extras: 32 bits of each token that only y has."""
 
     def run(home: pa.Table, messages: pa.Table) -> pa.Table:
-        rows: list[tuple[int, int, int, int, int]] = []
+        rows: list[tuple] = []
         if messages.num_rows:
             ys = [np.frombuffer(v.as_buffer(), np.uint64) for v in messages.column("ys").combine_chunks()]
             sets = _texts_wanted(home, np.concatenate(ys), shingle)
@@ -303,18 +310,32 @@ def _verify(shingle: int):
                 for y in mine:
                     b = sets[int(y)]
                     place = np.minimum(np.searchsorted(a, b), len(a) - 1)
-                    rows.append((x, int(y.view(np.int64)), int((a[place] == b).sum()), len(a), len(b)))
-        cols = list(zip(*rows)) or [[]] * 5
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["x", "y", "common", "size_x", "size_y"])
+                    both = a[place] == b
+                    rows.append((x, int(y.view(np.int64)), int(both.sum()), len(a), len(b), b[~both].astype(np.uint32).tobytes(), *parity(b)))
+        cols = list(zip(*rows)) or [[]] * (6 + SKETCH)
+        return pa.table([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(cols)], names=["x", "y", "common", "size_x", "size_y", "extras", *(f"p{i}" for i in range(SKETCH))])
 
     return run
 
 
-def verify_pairs(docs: DataFrame, pairs: DataFrame, n: int, shingle: int) -> DataFrame:
-    """Exact overlap of candidate pairs (blocks by x's bucket): x, y, common, size_x, size_y."""
+#: Sets up to which the texts to verify are picked by a broadcast of their ids (8 bytes each).
+BROADCAST_SETS = 2_000_000
+
+
+def verify_pairs(docs: DataFrame, info: DataFrame, pairs: DataFrame, n: int, shingle: int) -> DataFrame:
+    """Exact overlap of candidate pairs (x, y), as VERIFIED.
+
+    Only texts that stand for a wanted set move, if the ids fit a broadcast;
+    else every set's text moves once.
+    """
+    wanted = pairs.select(F.col("x").alias("set_id")).union(pairs.select("y")).distinct()
+    reps = shared_checkpoint(info.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("_rep")).select("_rep"))
+    if reps.count() <= BROADCAST_SETS:
+        docs = docs.join(F.broadcast(reps), docs["doc_id"].eqNullSafe(reps["_rep"]), "left_semi")
     home = docs.select("text").mapInArrow(_homes(shingle, n), "bucket int, set_id long, text string").repartition(n, "bucket")
-    sent = home.groupBy("bucket").cogroup(pairs.repartition(n, "bucket").groupBy("bucket")).applyInArrow(_send(shingle, n), MESSAGE)
-    return home.groupBy("bucket").cogroup(sent.repartition(n, "bucket").groupBy("bucket")).applyInArrow(_verify(shingle), VERIFIED)
+    blocks = pairs.select("x", "y").mapInArrow(_pair_blocks(n), BLOCK).repartition(n, "bucket")
+    sent = home.groupBy("bucket").cogroup(blocks.groupBy("bucket")).applyInArrow(_send(shingle, n), MESSAGE)
+    return shared_checkpoint(home.groupBy("bucket").cogroup(sent.repartition(n, "bucket").groupBy("bucket")).applyInArrow(_verify(shingle), VERIFIED))
 
 
 def _pair_blocks(buckets: int):
@@ -328,6 +349,60 @@ def _pair_blocks(buckets: int):
     return run
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(center, id, token) of each extra token."""
+    for b in batches:
+        extras = [np.frombuffer(v.as_buffer(), np.uint32) for v in b.column(2)]
+        n = [len(e) for e in extras]
+        if sum(n):
+            center, ids = (np.repeat(b.column(i).to_numpy(), n) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(center), pa.array(ids), pa.array(np.concatenate(extras).astype(np.int64))], names=["center", "id", "token"])
+
+
+#: Linked members that an open member tries first.
+TRIES = 8
+
+
+def open_links(verified: DataFrame, linked: Column, percent: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """Links (x, y) that connect members of large groups which do not link with the centre; None if there are none."""
+    stars = verified.select(F.col("x").alias("center"), F.col("y").alias("id"), F.col("size_y").alias("size"), (F.col("size_x") - F.col("common")).alias("lacks"), (1 - F.col("common") / (F.col("size_x") + F.col("size_y") - F.col("common"))).alias("d"), linked.alias("linked"), "extras", *(f"p{i}" for i in range(SKETCH)))
+    centers = stars.where(~F.col("linked")).select("center").distinct()
+    if centers.isEmpty():
+        return None
+    stars = stars.join(centers, "center", "left_semi")
+    # extra tokens that one member alone has; a hash that collides only makes them fewer
+    alone = stars.select("center", "id", "extras").mapInArrow(_tokens, "center long, id long, token long").groupBy("center", "token").agg(F.count("*").alias("n"), F.min("id").alias("id")).where(F.col("n") == 1)
+    alone = alone.groupBy("center", "id").agg(F.count("*").alias("alone"))
+    allowed = (100 - percent) / (100 + percent)
+    members = stars.drop("extras").join(alone, ["center", "id"], "left").withColumn("cost", F.coalesce("alone", F.lit(0)) - allowed * F.col("size")).drop("alone")
+    members = shared_checkpoint(members)
+    # the least cost for each number of lacking tokens (at most the centre's size of them), then a member's best fellows
+    least = members.groupBy("center", "lacks", "linked").agg(F.min(F.struct("cost", "id")).alias("best"))
+    profile = least.groupBy("center").agg(F.collect_list(F.struct("lacks", "linked", F.col("best.cost").alias("cost"), F.col("best.id").alias("id"))).alias("profile"))
+    fellows = F.array_sort(F.transform("profile", lambda p: F.struct((p["cost"] + F.abs(p["lacks"] - F.col("lacks"))).alias("cost"), p["id"].alias("id"), p["linked"].alias("linked"))))
+    is_open = members.where(~F.col("linked")).join(profile, "center").withColumn("fellows", fellows).where(F.col("cost") + F.col("fellows")[0]["cost"] <= 1e-6)
+    tries = F.transform(F.slice(F.filter("fellows", lambda f: f["linked"]), 1, TRIES), lambda f: f["id"])
+    is_open = shared_checkpoint(is_open.withColumn("tries", tries).drop("profile", "fellows"))
+    if is_open.isEmpty():
+        return None
+    joins = verify(shared_checkpoint(is_open.select(F.explode("tries").alias("x"), F.col("id").alias("y")).distinct())).where(linked).select("x", "y")
+    is_open = is_open.drop("tries")
+    left = shared_checkpoint(is_open.join(joins.select(F.col("y").alias("id")).distinct(), "id", "left_anti"))
+    if left.isEmpty():
+        return joins
+    end = lambda df, e, *more: df.select("center", *more, *[F.col(c).alias(f"{c}_{e}") for c in ("id", "size", "lacks", "cost", "d", *(f"p{i}" for i in range(SKETCH)))])
+    x = end(left, "x")
+    rest = is_open.join(left.select("center", "id"), ["center", "id"], "left_anti").unionByName(members.where("linked")).withColumn("left", F.lit(False)).unionByName(left.withColumn("left", F.lit(True)))
+    y = end(rest, "y", "left")
+    may = (F.col("cost_x") + F.col("cost_y") + F.abs(F.col("lacks_x") - F.col("lacks_y")) <= 1e-6) & (F.abs(F.col("d_x") - F.col("d_y")) <= 1 - percent / 100 + 1e-9)
+    bits = sum((F.bit_count(F.col(f"p{i}_x").bitwiseXOR(F.col(f"p{i}_y"))) for i in range(SKETCH)), F.lit(0))
+    may = may & (bits * (100 + percent) <= (F.col("size_x") + F.col("size_y")) * (100 - percent))
+    fits = F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * percent
+    once = F.when(F.col("left"), F.col("id_x") < F.col("id_y")).otherwise(True)
+    pairs = shared_checkpoint(x.join(y, "center").where(once & may & fits).select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct())
+    return joins if pairs.isEmpty() else joins.unionByName(verify(pairs).where(linked).select("x", "y"))
+
+
 def similar_components(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
     """Components of the links with 100 * intersection >= percent * union.
 
@@ -339,29 +414,14 @@ def similar_components(docs: DataFrame, percent: int = 75, shingle: int = 5) ->
     info = shared_checkpoint(docs.mapInArrow(_info(shingle), "doc_id long, n_shingles long, set_id long"))
     entries = deal(docs.select("text").mapInArrow(_entries(shingle, percent, n), BLOCK), n)
     shared = deal(entries.mapInArrow(_shared(n), BLOCK), n)
-    probes = shared_checkpoint(deal(shared.mapInArrow(_allocate(n), BLOCK), n))
-    stars = probes.mapInArrow(_star_pairs(percent, n), BLOCK)
-    verified = shared_checkpoint(verify_pairs(docs, stars, n, shingle))
+    probes = deal(shared.mapInArrow(_allocate(n), BLOCK), n)
+    stars = shared_checkpoint(probes.mapInArrow(_star_pairs(percent), "x long, y long").distinct())
+    verify = lambda pairs: verify_pairs(docs, info, pairs, n, shingle)
     linked = F.col("common") * 100 >= (F.col("size_x") + F.col("size_y") - F.col("common")) * percent
+    verified = verify(stars)
     links = verified.where(linked).select("x", "y")
-
-    failed = verified.where(~linked)
-    if not failed.isEmpty():
-        big = probes.mapInArrow(_big_groups, "sig long, center long, id long, size long")
-        distance = 1 - F.col("common") / (F.col("size_x") + F.col("size_y") - F.col("common"))
-        from_center = verified.select(F.col("x").alias("center"), F.col("y").alias("id"), distance.alias("d"), linked.alias("linked"))
-        open_members = big.join(from_center.where(~F.col("linked")).drop("linked"), ["center", "id"]).select("sig", F.col("id").alias("x"), F.col("size").alias("size_x"), F.col("d").alias("dx"))
-        others = big.join(from_center, ["center", "id"], "left").where(F.col("id") != F.col("center")).select("sig", F.col("id").alias("y"), F.col("size").alias("size_y"), F.col("d").alias("dy"), "linked")
-        near = F.col("dx").isNull() | F.col("dy").isNull() | (F.abs(F.col("dx") - F.col("dy")) <= 1 - percent / 100 + 1e-9)
-        fits = F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * percent
-        # two open members meet once; an open and a linked one as they come
-        once = (F.col("x") < F.col("y")) | F.col("linked")
-        rest = open_members.join(others, "sig").where((F.col("x") != F.col("y")) & near & fits & once).select("x", "y").distinct()
-        rest = shared_checkpoint(rest.mapInArrow(_pair_blocks(n), BLOCK))
-        if not rest.isEmpty():
-            more = shared_checkpoint(verify_pairs(docs, rest, n, shingle))
-            links = links.unionByName(more.where(linked).select("x", "y"))
-
+    more = open_links(verified, linked, percent, verify)
+    links = links if more is None else links.unionByName(more)
     roots = connected(links)
     sets = info.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("smallest"))
     rooted = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
