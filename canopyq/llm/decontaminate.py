@@ -55,11 +55,20 @@ def simhash(sums: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.packbits(2 * sums > total[:, None], axis=1).view(np.uint64).ravel()
 
 
-def bit_sums(hashes: np.ndarray, weight: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weighted sums of hash bits, and of weights, over the words from each position in at to the next."""
+def block_sums(hashes: np.ndarray, weight: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums, before each block and after the last, of weighted hash bits and of weights; a block is size words from a position in at.
+
+    Sums wrap at 16 bits; a difference over one window is far below that, so it is exact.
+    """
     bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
     bits *= weight.astype(np.uint8)[:, None]
-    return np.add.reduceat(bits, at, axis=0, dtype=np.int32), np.add.reduceat(weight, at).astype(np.int32)
+    sums, total = bits[at], weight[at].astype(np.uint16)
+    for i in range(1, size):  # at most STRIDE words of weight 4: fits 8 bits
+        sums += bits[at + i]
+        total += weight[at + i].astype(np.uint16)
+    run = np.zeros((len(at) + 1, 64), np.uint16)
+    np.cumsum(sums, axis=0, dtype=np.uint16, out=run[1:])
+    return run, np.append(np.uint16(0), np.cumsum(total, dtype=np.uint16))
 
 
 class Index:
@@ -139,10 +148,8 @@ def matches(part: pa.RecordBatch, index: Index, least: float) -> Iterator[tuple]
     spots: set[tuple[int, int]] = set()
     tables = {}
     for stride in {STRIDE if size in LADDER else 1 for size in index.tables}:
-        at = np.flatnonzero(place % stride == 0)
-        sums, total = bit_sums(h, weight, at)
-        zero = np.zeros((1, 64), np.int32)
-        tables[stride] = at, np.vstack([zero, np.cumsum(sums, axis=0, dtype=np.int32)]), np.append(0, np.cumsum(total))
+        at = np.flatnonzero((place % stride == 0) & (place + stride <= w.counts[row]))
+        tables[stride] = at, *block_sums(h, weight, at, stride)
     for size in index.tables:
         stride = STRIDE if size in LADDER else 1
         at, sums, total = tables[stride]
