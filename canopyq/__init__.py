@@ -1,0 +1 @@
+"""Hierarchical, weighted drill-down analytics on Spark."""
