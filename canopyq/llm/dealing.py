@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCK = "bucket int, payload binary"
 BLOCK_SCHEMA = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
@@ -25,10 +25,17 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Estimates above this are not trusted (they are what Spark says of tables that it knows nothing about, too): the texts are measured.
+TRUSTED_BYTES = 1 << 36
+
+
 def parts(df: DataFrame, each_mb: float = 8) -> int:
     """Buckets so that each holds about each_mb of df, at least the session's shuffle partitions; odd."""
+    size = plan_bytes(df)
+    if size > TRUSTED_BYTES:
+        size = df.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(conf, min(1_000_000, math.ceil(plan_bytes(df) / (each_mb * (1 << 20))))) | 1
+    return max(conf, min(1_000_000, math.ceil(size / (each_mb * (1 << 20))))) | 1
 
 
 def bucket_of(column: str, buckets: int) -> Column:
@@ -115,25 +122,3 @@ def groups(*sorted_cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         new[1:] |= c[1:] != c[:-1]
     at = np.flatnonzero(new)
     return at, np.diff(np.append(at, n))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that all executors share, from the session's settings.
-
-    Only where no such setting is there (tests on one machine) a folder is made.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        at = context.getConf().get("spark.checkpoint.dir", None)
-        if at is None:
-            import tempfile
-
-            at = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(at)
-    return context.getCheckpointDir()
-
-
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """df, computed and written to the shared folder, without its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)

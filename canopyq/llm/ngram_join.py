@@ -43,8 +43,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.shared import shared_checkpoint
 from .components import connected
-from .dealing import BLOCK, Outbox, by_bucket, deal, groups, opened, parts, shared_checkpoint
+from .dealing import BLOCK, Outbox, by_bucket, deal, groups, opened, parts
 from .vectext import Words, chunks, mix, windows
 
 #: Group size up to which all pairs are candidates.

@@ -13,7 +13,7 @@ documents' buckets as blocks; a document's text moves once.
 
 Defined results: a null or empty text has no words and none are removed.  Rows
 with a null doc_id keep all words and take no part.  Rows that repeat a doc_id
-are the same document: they never cover each other.  Extra columns are ignored.
+are the same document, whatever their texts: they never cover each other.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ from .vectext import BASE, BASE2, Words, chunks, windows
 #: Period and perfect difference cover modulo it: every residue is a difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 
-ANCHOR = [("h", "<u8"), ("doc", "<i8"), ("pos", "<i4")]
-SPOT = [("doc", "<i8"), ("pos", "<i4")]
-WINDOW = [("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("pos", "<i4")]
+#: mark: tells apart rows of one doc_id with different texts.
+ANCHOR = [("h", "<u8"), ("doc", "<i8"), ("mark", "<u4"), ("pos", "<i4")]
+SPOT = [("doc", "<i8"), ("mark", "<u4"), ("pos", "<i4")]
+WINDOW = [("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("mark", "<u4"), ("pos", "<i4")]
 OUT = "doc_id long, n_words long, n_removed long, kept binary"
 
 
@@ -58,7 +59,7 @@ def _anchors(window: int, buckets: int):
                 n = w.counts[row]
                 at = np.flatnonzero(in_cover[place % PERIOD] & (place + short <= n) & (n >= window) & ok[row])
                 h = windows(w.hashes(), at, short)
-                yield from out.add((h % np.uint64(buckets)).astype(np.int32), h, ids[row[at]], place[at])
+                yield from out.add((h % np.uint64(buckets)).astype(np.int32), h, ids[row[at]], w.marks()[row[at]], place[at])
         yield from out.flush()
 
     return run
@@ -71,25 +72,25 @@ def _shared_anchors(buckets: int):
         out = Outbox(SPOT, buckets)
         for x in by_bucket(batches, ANCHOR):
             order = np.argsort(x["h"], kind="stable")
-            h, doc, pos = x["h"][order], x["doc"][order], x["pos"][order]
+            h, doc, mark, pos = (x[k][order] for k in ("h", "doc", "mark", "pos"))
             at, n = groups(h)
             low, high = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
             keep = np.repeat(low < high, n)
-            yield from out.add(buckets_of(doc[keep], buckets), doc[keep], pos[keep])
+            yield from out.add(buckets_of(doc[keep], buckets), doc[keep], mark[keep], pos[keep])
         yield from out.flush()
 
     return run
 
 
-def _spots_by_row(ids: np.ndarray, ok: np.ndarray, spots: dict[str, np.ndarray], first: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Word numbers (over all rows) of the places in spots; a repeated doc_id gets them in each row."""
+def _spots_by_row(w: Words, ids: np.ndarray, ok: np.ndarray, spots: dict[str, np.ndarray]) -> np.ndarray:
+    """Word numbers (over all rows) of the places in spots; equal rows get the same."""
     order = np.argsort(spots["doc"], kind="stable")
-    doc, pos = spots["doc"][order], spots["pos"][order]
+    doc, mark, pos = spots["doc"][order], spots["mark"][order], spots["pos"][order]
     lo, hi = np.searchsorted(doc, ids, "left"), np.searchsorted(doc, ids, "right")
     n = np.where(ok, hi - lo, 0)
     row = np.repeat(np.arange(len(ids)), n)
     k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + lo[row]
-    return (first[row] + pos[k])[pos[k] < counts[row]]
+    return (w.first[row] + pos[k])[mark[k] == w.marks()[row]]
 
 
 def _full_windows(window: int, buckets: int):
@@ -104,7 +105,7 @@ def _full_windows(window: int, buckets: int):
                 for part in chunks(batch):
                     w = Words(part.column("text"))
                     ids, ok = _ids(part)
-                    anchors = _spots_by_row(ids, ok, spots, w.first[:-1], w.counts)
+                    anchors = _spots_by_row(w, ids, ok, spots)
                     if not len(anchors):
                         continue
                     place, row = w.place(), w.row_of_word()
@@ -116,7 +117,7 @@ def _full_windows(window: int, buckets: int):
                     if len(at):
                         words = w.hashes()
                         h, g = windows(words, at, window), windows(words, at, window, BASE2)
-                        list(out.add((h % np.uint64(buckets)).astype(np.int32), h, g >> np.uint64(32), ids[row[at]], place[at]))
+                        list(out.add((h % np.uint64(buckets)).astype(np.int32), h, g >> np.uint64(32), ids[row[at]], w.marks()[row[at]], place[at]))
         return pa.Table.from_batches(out.flush(), schema=_block_schema())
 
     return run
@@ -133,10 +134,10 @@ def _covered(buckets: int):
         out = Outbox(SPOT, buckets)
         for x in by_bucket(batches, WINDOW):
             order = np.lexsort((x["g"], x["h"]))
-            h, g, doc, pos = (x[k][order] for k in ("h", "g", "doc", "pos"))
+            h, g, doc, mark, pos = (x[k][order] for k in ("h", "g", "doc", "mark", "pos"))
             at, n = groups(h, g)
             keep = doc > np.repeat(np.minimum.reduceat(doc, at), n)
-            yield from out.add(buckets_of(doc[keep], buckets), doc[keep], pos[keep])
+            yield from out.add(buckets_of(doc[keep], buckets), doc[keep], mark[keep], pos[keep])
         yield from out.flush()
 
     return run
@@ -152,7 +153,7 @@ def _kept(window: int):
             for part in chunks(batch):
                 w = Words(part.column("text"))
                 ids, ok = _ids(part)
-                begins = _spots_by_row(ids, ok, spots, w.first[:-1], w.counts)
+                begins = _spots_by_row(w, ids, ok, spots)
                 mark = np.zeros(len(w.starts) + window + 1, np.int32)
                 np.add.at(mark, begins, 1)
                 np.add.at(mark, begins + window, -1)

@@ -95,6 +95,11 @@ class Words:
         data *= powers(BASE, int(lens.max()))[at]
         return mix(np.add.reduceat(data, ends - lens) + lens.astype(np.uint64))
 
+    def marks(self) -> np.ndarray:
+        """32 bits that tell apart rows of one id with different bytes."""
+        total = np.append(np.uint64(0), np.cumsum(byte_table(7, False)[self.buf]))
+        return (mix(total[self.offsets[1:]] - total[self.offsets[:-1]] + np.diff(self.offsets).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
     def row_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.rows), self.counts)
 

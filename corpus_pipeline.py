@@ -20,8 +20,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from canopyq.llm import decontaminate, line_dedup, ngram_join, packing, quality
-from canopyq.llm.dealing import shared_folder
 from canopyq.llm.queries import QUALITY_THRESHOLD, table, tokenizer_path
+from canopyq.sources.shared import shared_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
