@@ -122,3 +122,20 @@ def groups(*sorted_cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         new[1:] |= c[1:] != c[:-1]
     at = np.flatnonzero(new)
     return at, np.diff(np.append(at, n))
+
+
+#: Keys that a hot-key broadcast may hold at most.
+HOT_KEYS = 100_000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, most_rows: int, how: str = "inner") -> DataFrame:
+    """rows joined with facts (one row a key; count: how many of rows have it), without one task for a frequent key.
+
+    most_rows bounds the number of rows, so at most HOT_KEYS keys can have more
+    than most_rows / HOT_KEYS of them: those facts are broadcast, the others
+    meet their rows by a shuffle.
+    """
+    least = max(1000, most_rows // HOT_KEYS + 1)
+    hot = F.broadcast(facts.where(F.col(count) > least))
+    cold = facts.where(F.col(count) <= least)
+    return rows.join(hot, keys, "inner").unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how))

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .dealing import BLOCK, Outbox, bucket_of, by_bucket, deal, groups, opened, parts
+from .dealing import BLOCK, Outbox, bucket_of, by_bucket, deal, groups, join_hot, opened, parts, plan_bytes
 from .substring_dedup import _ids
 from .vectext import chunks, mix
 
@@ -217,7 +217,9 @@ def _loss_blocks(docs: DataFrame, n: int, least_chars: int, least_docs: int) ->
     suspects = entries.mapInArrow(_suspects, "h long, g long, doc long")
     held = suspects.distinct()
     frequent = held.groupBy("h", "g").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper")).where(F.col("n_docs") >= least_docs)
-    losses = held.join(frequent, ["h", "g"]).where(F.col("doc") != F.col("keeper")).select("doc", "h", "g")
+    # a line of least_chars or more takes as many bytes, so the texts' size bounds the number of lines
+    lines = max(plan_bytes(docs), 1) * 8 // max(least_chars, 1)
+    losses = join_hot(held, frequent, ["h", "g"], "n_docs", lines).where(F.col("doc") != F.col("keeper")).select("doc", "h", "g")
     return losses.mapInArrow(_losses(n), BLOCK).repartition(n, "bucket")
 
 

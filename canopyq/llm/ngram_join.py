@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.shared import shared_checkpoint
 from .components import connected
-from .dealing import BLOCK, Outbox, by_bucket, deal, groups, opened, parts
+from .dealing import BLOCK, Outbox, by_bucket, deal, groups, join_hot, opened, parts
 from .vectext import Words, chunks, mix, windows
 
 #: Group size up to which all pairs are candidates.
@@ -424,9 +424,11 @@ def similar_components(docs: DataFrame, percent: int = 75, shingle: int = 5) ->
     more = open_links(verified, linked, percent, verify)
     links = links if more is None else links.unionByName(more)
     roots = connected(links)
-    sets = info.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("smallest"))
+    sets = info.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies"))
     rooted = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     smallest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = rooted.join(smallest, "root").select("set_id", "component_id")
-    out = info.join(named, "set_id", "left")
-    return out.select("doc_id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = shared_checkpoint(rooted.join(smallest, "root").select("set_id", "component_id", "copies"))
+    with_words = join_hot(info.where(F.col("set_id").isNotNull()), named, ["set_id"], "copies", info.count())
+    without = info.where(F.col("set_id").isNull())
+    columns = ("doc_id", "n_shingles", "set_id", "component_id")
+    return with_words.select(*columns).unionByName(without.withColumn("component_id", F.col("doc_id")).select(*columns))
