@@ -25,6 +25,17 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+#: Rows of an Arrow batch where the session has Spark's default: texts are larger than the rows that default has in mind.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lower the session's Arrow batch size, if nobody has set it; bounds JVM and worker memory."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+
+
 #: Estimates above this are not trusted (they are what Spark says of tables that it knows nothing about, too): the texts are measured.
 TRUSTED_BYTES = 1 << 36
 
@@ -50,7 +61,7 @@ def buckets_of(ids: np.ndarray, buckets: int) -> np.ndarray:
 class Outbox:
     """Collects rows of the given fields and hands them out as blocks, one per bucket."""
 
-    def __init__(self, fields: list[tuple[str, str]], buckets: int, limit: int = 1 << 20):
+    def __init__(self, fields: list[tuple[str, str]], buckets: int, limit: int = 1 << 19):
         self.fields, self.buckets, self.limit = fields, buckets, limit
         self.keys: list[np.ndarray] = []
         self.cols: list[list[np.ndarray]] = [[] for _ in fields]

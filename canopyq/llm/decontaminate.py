@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .dealing import small_batches
 from .substring_dedup import _ids
 from .vectext import Words, chunks, mix, windows
 
@@ -186,6 +187,7 @@ def slices(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = 0.75) -> DataFrame:
     """doc_id, item_id, similarity, start_word and n_words of every item that a document holds."""
+    small_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for items in slices(benchmark):

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .dealing import groups
+from .dealing import groups, small_batches
 from .quality import held_out
 from .vectext import chunks, mix
 
@@ -138,6 +138,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train_language(docs: DataFrame, grams_each: int = 20_000, least: int = 2, probes: int = 3, bits_per_gram: int = 16) -> LanguageModel:
     """A model from all rows of text and non-null lang that are not held out; at most 64 languages."""
+    small_batches(docs)
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     counted = rows.mapInArrow(_counts, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "h")

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .dealing import BLOCK, Outbox, bucket_of, by_bucket, deal, groups, join_hot, opened, parts, plan_bytes
+from .dealing import BLOCK, Outbox, bucket_of, by_bucket, deal, groups, join_hot, opened, parts, plan_bytes, small_batches
 from .substring_dedup import _ids
 from .vectext import chunks, mix
 
@@ -233,6 +233,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
     docs: doc_id long, text string.  Returns doc_id, n_lines (before), n_dropped,
     kept (text of the lines left) for each row.
     """
+    small_batches(docs)
     n = parts(docs)
     docs = _texts(docs)
     blocks = _loss_blocks(docs, n, least_chars, least_docs)
@@ -242,6 +243,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) ->
 
 def rewrite_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5) -> DataFrame:
     """docs with all its columns, and text without the lines that dedup_lines() drops (a null text stays null)."""
+    small_batches(docs)
     n = parts(docs)
     blocks = _loss_blocks(_texts(docs), n, least_chars, least_docs)
     home = docs.withColumn("_line_doc", F.col("doc_id").cast("long")).withColumn("_line_bucket", bucket_of("_line_doc", n)).repartition(n, "_line_bucket")

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.shared import shared_checkpoint
 from .components import connected
-from .dealing import BLOCK, Outbox, by_bucket, deal, groups, join_hot, opened, parts
+from .dealing import BLOCK, Outbox, by_bucket, deal, groups, join_hot, opened, parts, small_batches
 from .vectext import Words, chunks, mix, windows
 
 #: Group size up to which all pairs are candidates.
@@ -410,7 +410,8 @@ def similar_components(docs: DataFrame, percent: int = 75, shingle: int = 5) ->
     docs: doc_id long, text string.  Returns doc_id, n_shingles, set_id (equal
     sets share one; null without words) and component_id for each row.
     """
-    n = parts(docs)
+    small_batches(docs)
+    n = parts(docs, 4)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     info = shared_checkpoint(docs.mapInArrow(_info(shingle), "doc_id long, n_shingles long, set_id long"))
     entries = deal(docs.select("text").mapInArrow(_entries(shingle, percent, n), BLOCK), n)

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .dealing import small_batches
 from .vectext import chunks
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -229,6 +230,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: in
     row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit),
     doc_tokens, sequence_id, offset.
     """
+    small_batches(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_packer(tokenizer, size, end_id, pool_size), PIECE)
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .dealing import groups
+from .dealing import groups, small_batches
 from .vectext import Words, chunks
 
 #: Byte classes, by which a text's bytes are counted.
@@ -187,6 +187,7 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def text_rows(docs: DataFrame) -> DataFrame:
+    small_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 

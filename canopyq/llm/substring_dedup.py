@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .dealing import BLOCK, Outbox, bucket_of, buckets_of, by_bucket, deal, groups, opened, parts
+from .dealing import BLOCK, Outbox, bucket_of, buckets_of, by_bucket, deal, groups, opened, parts, small_batches
 from .vectext import BASE, BASE2, Words, chunks, windows
 
 #: Period and perfect difference cover modulo it: every residue is a difference of two members.
@@ -186,6 +186,7 @@ def dedup_substrings(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     if window < PERIOD + 1:
         raise ValueError(f"window must be over {PERIOD}")
+    small_batches(docs)
     n = parts(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     home = docs.withColumn("bucket", bucket_of("doc_id", n)).repartition(n, "bucket")
