@@ -6,7 +6,9 @@ of bounded size.  The pool is packed longest first: a segment tree over
 remaining capacities finds the tightest open window that takes a piece.  When
 the pool is done, windows that are still open are topped up by cutting the
 emptiest ones' pieces, so at most one window a pool flush stays partly filled,
-and that one is open again in the next pool.
+and that one is open again in the next pool.  A partition's last one is cut into
+sequences of powers of two, which need no padding, so padding stays small
+however finely a table is partitioned.
 
 Everything happens where the documents are read: no shuffle, memory bounded by
 the pool.  Ids come from the byte-level BPE vocabulary file; a rank encoder
@@ -164,6 +166,24 @@ def fill_up(windows: list[list[tuple]], size: int) -> list[list[tuple]]:
     return [windows[i] for i in order if windows[i]]
 
 
+def power_cuts(window: list[tuple]) -> list[list[tuple]]:
+    """A window's pieces as sequences whose lengths are falling powers of two."""
+    out, pieces = [], list(window)
+    left = sum(len(p[2]) for p in pieces)
+    while left:
+        room = 1 << (left.bit_length() - 1)
+        left -= room
+        out.append([])
+        while room:
+            doc, start, ids, total = pieces.pop(0)
+            take = min(room, len(ids))
+            out[-1].append((doc, start, ids[:take], total))
+            if take < len(ids):
+                pieces.insert(0, (doc, start + take, ids[take:], total))
+            room -= take
+    return out
+
+
 def _packer(path: str, size: int, end_id: int, pool_size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -190,8 +210,11 @@ def _packer(path: str, size: int, end_id: int, pool_size: int):
                 windows[w].append(piece)
             windows, pool, rest = fill_up(windows, size), [], []
             for w in windows:
-                if last or sum(len(p[2]) for p in w) == size:
+                if sum(len(p[2]) for p in w) == size:
                     seal(w)
+                elif last:
+                    for part in power_cuts(w):
+                        seal(part)
                 else:
                     rest = w
 
