@@ -26,7 +26,7 @@ def plan_bytes(df: DataFrame) -> int:
 
 
 #: Rows of an Arrow batch where the session has Spark's default: texts are larger than the rows that default has in mind.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def small_batches(df: DataFrame) -> None:
@@ -61,7 +61,7 @@ def buckets_of(ids: np.ndarray, buckets: int) -> np.ndarray:
 class Outbox:
     """Collects rows of the given fields and hands them out as blocks, one per bucket."""
 
-    def __init__(self, fields: list[tuple[str, str]], buckets: int, limit: int = 1 << 19):
+    def __init__(self, fields: list[tuple[str, str]], buckets: int, limit: int = 1 << 18):
         self.fields, self.buckets, self.limit = fields, buckets, limit
         self.keys: list[np.ndarray] = []
         self.cols: list[list[np.ndarray]] = [[] for _ in fields]
@@ -90,6 +90,16 @@ class Outbox:
         yield pa.RecordBatch.from_arrays([pa.array(keys[lows], pa.int32()), pa.array(data, pa.binary())], schema=BLOCK_SCHEMA)
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers stay for other tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def opened(payloads: list, fields: list[tuple[str, str]]) -> dict[str, np.ndarray]:
     """The rows in some payloads, column by column."""
     width = sum(np.dtype(kind).itemsize for _, kind in fields)
@@ -120,6 +130,8 @@ def by_bucket(batches: Iterator[pa.RecordBatch], fields: list[tuple[str, str]])
             held.append(v)
     if held:
         yield opened(held, fields)
+    held.clear()
+    release()
 
 
 def groups(*sorted_cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

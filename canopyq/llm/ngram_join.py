@@ -19,8 +19,8 @@ its most central member (whose signatures the most sets share).  A star edge
 that fails verification leaves its member open.  Relative to the centre c, a
 member y lacks m_y of c's tokens and has s_y tokens that no other member has;
 so two members differ in at least s_x + s_y + |m_x - m_y| tokens.  An open member
-whose bound exceeds what a link allows for every fellow is closed.  The others
-first try the few linked members with the best bounds, as one link is enough to
+whose bound exceeds what a link allows for every fellow is closed, and so is one
+that other links already put into the centre's component.  The others first try the few linked members with the best bounds, as one link is enough to
 join the centre's component; those left meet all fellows for which the bound,
 the triangle inequality and the sets' parity sketches allow a link.  So every link is verified exactly or
 joins what verified links join, and a group of near copies costs a few pairs a
@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.shared import shared_checkpoint
 from .components import connected
-from .dealing import BLOCK, Outbox, by_bucket, deal, groups, join_hot, opened, parts, small_batches
+from .dealing import BLOCK, Outbox, by_bucket, deal, groups, join_hot, opened, parts, release, small_batches
 from .vectext import Words, chunks, mix, windows
 
 #: Group size up to which all pairs are candidates.
@@ -95,6 +95,7 @@ def _info(shingle: int):
             for part in chunks(batch):
                 s = Sets(part.column(1), shingle)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.sizes.astype(np.int64)), pa.array(s.ids.view(np.int64), mask=s.sizes == 0)], names=["doc_id", "n_shingles", "set_id"])
+        release()
 
     return run
 
@@ -153,6 +154,7 @@ def _entries(shingle: int, percent: int, buckets: int):
                     k = once[row]
                     yield from out.add(_id_bucket(sig[k], buckets), sig[k], s.ids[row[k]], size[k], lack[k], scheme[k])
         yield from out.flush()
+        release()
 
     return run
 
@@ -364,13 +366,24 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 TRIES = 8
 
 
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows of (center, id, ..) with the root of either one's component, as far as it is known."""
+    for c in ("center", "id"):
+        rows = rows.drop(f"root_{c}").join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+    return rows
+
+
 def open_links(verified: DataFrame, linked: Column, percent: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """Links (x, y) that connect members of large groups which do not link with the centre; None if there are none."""
+    links = verified.where(linked).select("x", "y")
     stars = verified.select(F.col("x").alias("center"), F.col("y").alias("id"), F.col("size_y").alias("size"), (F.col("size_x") - F.col("common")).alias("lacks"), (1 - F.col("common") / (F.col("size_x") + F.col("size_y") - F.col("common"))).alias("d"), linked.alias("linked"), "extras", *(f"p{i}" for i in range(SKETCH)))
-    centers = stars.where(~F.col("linked")).select("center").distinct()
+    stars = shared_checkpoint(with_roots(stars, connected(links)))
+    apart = F.col("root_center") != F.col("root_id")
+    centers = stars.where(apart).select("center").distinct()
     if centers.isEmpty():
         return None
-    stars = stars.join(centers, "center", "left_semi")
+    # a member is linked, from here on, if it is in the centre's component
+    stars = stars.join(centers, "center", "left_semi").withColumn("linked", ~apart)
     # extra tokens that one member alone has; a hash that collides only makes them fewer
     alone = stars.select("center", "id", "extras").mapInArrow(_tokens, "center long, id long, token long").groupBy("center", "token").agg(F.count("*").alias("n"), F.min("id").alias("id")).where(F.col("n") == 1)
     alone = alone.groupBy("center", "id").agg(F.count("*").alias("alone"))
@@ -388,19 +401,21 @@ def open_links(verified: DataFrame, linked: Column, percent: int, verify: Callab
         return None
     joins = verify(shared_checkpoint(is_open.select(F.explode("tries").alias("x"), F.col("id").alias("y")).distinct())).where(linked).select("x", "y")
     is_open = is_open.drop("tries")
-    left = shared_checkpoint(is_open.join(joins.select(F.col("y").alias("id")).distinct(), "id", "left_anti"))
+    roots = connected(links.unionByName(joins))
+    is_open = shared_checkpoint(with_roots(is_open, roots))
+    left = is_open.where(apart)
     if left.isEmpty():
         return joins
-    end = lambda df, e, *more: df.select("center", *more, *[F.col(c).alias(f"{c}_{e}") for c in ("id", "size", "lacks", "cost", "d", *(f"p{i}" for i in range(SKETCH)))])
+    end = lambda df, e, *more: df.select("center", *more, *[F.col(c).alias(f"{c}_{e}") for c in ("id", "root_id", "size", "lacks", "cost", "d", *(f"p{i}" for i in range(SKETCH)))])
     x = end(left, "x")
-    rest = is_open.join(left.select("center", "id"), ["center", "id"], "left_anti").unionByName(members.where("linked")).withColumn("left", F.lit(False)).unionByName(left.withColumn("left", F.lit(True)))
-    y = end(rest, "y", "left")
+    fellows = with_roots(members.where("linked").join(left.select("center").distinct(), "center", "left_semi"), roots)
+    y = end(fellows.unionByName(is_open).withColumn("left", apart), "y", "left")
     may = (F.col("cost_x") + F.col("cost_y") + F.abs(F.col("lacks_x") - F.col("lacks_y")) <= 1e-6) & (F.abs(F.col("d_x") - F.col("d_y")) <= 1 - percent / 100 + 1e-9)
     bits = sum((F.bit_count(F.col(f"p{i}_x").bitwiseXOR(F.col(f"p{i}_y"))) for i in range(SKETCH)), F.lit(0))
     may = may & (bits * (100 + percent) <= (F.col("size_x") + F.col("size_y")) * (100 - percent))
     fits = F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * percent
     once = F.when(F.col("left"), F.col("id_x") < F.col("id_y")).otherwise(True)
-    pairs = shared_checkpoint(x.join(y, "center").where(once & may & fits).select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct())
+    pairs = shared_checkpoint(x.join(y, "center").where(once & may & fits & (F.col("root_id_x") != F.col("root_id_y"))).select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct())
     return joins if pairs.isEmpty() else joins.unionByName(verify(pairs).where(linked).select("x", "y"))
 
 
@@ -411,7 +426,7 @@ def similar_components(docs: DataFrame, percent: int = 75, shingle: int = 5) ->
     sets share one; null without words) and component_id for each row.
     """
     small_batches(docs)
-    n = parts(docs, 4)
+    n = parts(docs, 3)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     info = shared_checkpoint(docs.mapInArrow(_info(shingle), "doc_id long, n_shingles long, set_id long"))
     entries = deal(docs.select("text").mapInArrow(_entries(shingle, percent, n), BLOCK), n)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; bounds a worker's memory whatever the batch.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15 | 1
