@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .dealing import BLOCK, Outbox, bucket_of, by_bucket, deal, groups, join_hot, opened, parts, plan_bytes, small_batches
+from .dealing import BLOCK, Outbox, bucket_of, by_bucket, deal, groups, join_hot, opened, parts, plan_bytes, release, small_batches
 from .substring_dedup import _ids
 from .vectext import chunks, mix
 
@@ -206,6 +206,7 @@ def _rewritten(least: int, names: list[str]):
         ids, texts = docs.column("_line_doc").to_pylist(), docs.column("text").to_pylist()
         texts = [t if doc not in lost else "\n".join(_left(t, lost[doc], least)[1]) for doc, t in zip(ids, texts)]
         at = docs.schema.get_field_index("text")
+        release()
         return docs.set_column(at, docs.schema.field(at), pa.array(texts, docs.schema.field(at).type)).select(names)
 
     return run

@@ -316,6 +316,7 @@ def _verify(shingle: int):
                     both = a[place] == b
                     rows.append((x, int(y.view(np.int64)), int(both.sum()), len(a), len(b), b[~both].astype(np.uint32).tobytes(), *parity(b)))
         cols = list(zip(*rows)) or [[]] * (6 + SKETCH)
+        release()
         return pa.table([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(cols)], names=["x", "y", "common", "size_x", "size_y", "extras", *(f"p{i}" for i in range(SKETCH))])
 
     return run

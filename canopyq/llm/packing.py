@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .dealing import small_batches
+from .dealing import release, small_batches
 from .vectext import chunks
 
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -235,17 +235,19 @@ def _packer(path: str, size: int, end_id: int, pool_size: int):
                         pool.append((doc, cut, ids[cut:].copy(), len(ids)))
                     if len(pool) >= pool_size:
                         pack(False)
-                    if len(rows) >= 4096:
+                    if len(rows) >= 1024:
                         yield out()
         if pool or rest:
             pack(True)
         if rows:
             yield out()
+        encoder = None
+        release()
 
     return run
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, pool_size: int = 8192) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, pool_size: int = 4096) -> DataFrame:
     """Pack documents into sequences of at most size ids.
 
     docs: doc_id long, text string; tokenizer: path of a byte-level BPE file
