@@ -143,7 +143,7 @@ def _signatures(s: Sets, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
 
 def _entries(shingle: int, percent: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Outbox(ENTRY, buckets)
+        out = Outbox(ENTRY, buckets, 1 << 19)
         for batch in batches:
             for part in chunks(batch):
                 s = Sets(part.column(0), shingle)
@@ -326,14 +326,14 @@ def _verify(shingle: int):
 BROADCAST_SETS = 2_000_000
 
 
-def verify_pairs(docs: DataFrame, info: DataFrame, pairs: DataFrame, n: int, shingle: int) -> DataFrame:
+def verify_pairs(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, shingle: int) -> DataFrame:
     """Exact overlap of candidate pairs (x, y), as VERIFIED.
 
     Only texts that stand for a wanted set move, if the ids fit a broadcast;
     else every set's text moves once.
     """
     wanted = pairs.select(F.col("x").alias("set_id")).union(pairs.select("y")).distinct()
-    reps = shared_checkpoint(info.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("_rep")).select("_rep"))
+    reps = shared_checkpoint(sets.join(wanted, "set_id", "left_semi").select(F.col("smallest").alias("_rep")))
     if reps.count() <= BROADCAST_SETS:
         docs = docs.join(F.broadcast(reps), docs["doc_id"].eqNullSafe(reps["_rep"]), "left_semi")
     home = docs.select("text").mapInArrow(_homes(shingle, n), "bucket int, set_id long, text string").repartition(n, "bucket")
@@ -427,21 +427,21 @@ def similar_components(docs: DataFrame, percent: int = 75, shingle: int = 5) ->
     sets share one; null without words) and component_id for each row.
     """
     small_batches(docs)
-    n = parts(docs, 3)
+    n = parts(docs, 4)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     info = shared_checkpoint(docs.mapInArrow(_info(shingle), "doc_id long, n_shingles long, set_id long"))
     entries = deal(docs.select("text").mapInArrow(_entries(shingle, percent, n), BLOCK), n)
     shared = deal(entries.mapInArrow(_shared(n), BLOCK), n)
     probes = deal(shared.mapInArrow(_allocate(n), BLOCK), n)
     stars = shared_checkpoint(probes.mapInArrow(_star_pairs(percent), "x long, y long").distinct())
-    verify = lambda pairs: verify_pairs(docs, info, pairs, n, shingle)
+    sets = shared_checkpoint(info.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies")))
+    verify = lambda pairs: verify_pairs(docs, sets, pairs, n, shingle)
     linked = F.col("common") * 100 >= (F.col("size_x") + F.col("size_y") - F.col("common")) * percent
     verified = verify(stars)
     links = verified.where(linked).select("x", "y")
     more = open_links(verified, linked, percent, verify)
     links = links if more is None else links.unionByName(more)
     roots = connected(links)
-    sets = info.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies"))
     rooted = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     smallest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
     named = shared_checkpoint(rooted.join(smallest, "root").select("set_id", "component_id", "copies"))
