@@ -4,13 +4,15 @@ Items are indexed at a ladder of window sizes around their own: every window of
 an item at those sizes has a 64-bit SimHash of its weighted words.  Documents
 give windows of each size at every STRIDE words.  Fingerprints are cut into
 RADIUS + 1 blocks; fingerprints within RADIUS bits agree in one block at least,
-so the block tables find all of them.  A hit fixes how item and document align;
-there the weighted 5-word-shingle Jaccard similarity of the item and the
-item-sized document window decides.
+so the block tables find all of them.  A hit names a document and an item; of all
+item-sized windows of the document the one with the largest weighted
+5-word-shingle Jaccard similarity to the item decides.
 
-An item of n words is indexed at ladder sizes from n/4 to n - STRIDE + 1, so a
-verbatim copy always has a document window that equals an indexed one, and so
-does the longer side of a copy with one changed word.
+An item of n words has SimHash windows at ladder sizes from n/4 to n - STRIDE + 1.
+Besides, its runs of seed_size words are looked up by exact hash at every word of
+a document, so a hit hangs neither on how a copy lies to STRIDE nor on the item's
+length: a verbatim copy always gives one, and so does a window of similarity
+0.75, which shares a run of that many words.
 
 The benchmark is the small side: it is measured first, and taken to the
 executors in slices of at most SLICE_BYTES of text.  Documents are never shuffled.
@@ -46,9 +48,21 @@ def weights(w: Words) -> np.ndarray:
 
 
 def sizes_for(n: int) -> list[int]:
-    """Window sizes at which an item of n words is indexed."""
-    got = [s for s in LADDER if n / 4 <= s <= n - STRIDE + 1]
-    return got or ([n] if n else [])
+    """Ladder sizes at which an item of n words is indexed."""
+    return [s for s in LADDER if n / 4 <= s <= n - STRIDE + 1]
+
+
+def seed_size(h: np.ndarray, least: float) -> int:
+    """Words in a row that an item (its word hashes) shares with any window of similarity least.
+
+    Two shared runs of 7 words at most, or one in an item of 10 words or more,
+    stay under 0.75 whatever the weights.  One shared shingle is all that is sure
+    of a smaller least, or of an item that repeats itself.
+    """
+    n = len(h)
+    if n > 5 and (least < 0.75 or len(np.unique(windows(h, np.arange(n - 2), 3))) < n - 2):
+        return 5
+    return n if n < 7 else 6 if n == 7 else 7 if n < 10 else 8
 
 
 def simhash(sums: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -72,16 +86,52 @@ def block_sums(hashes: np.ndarray, weight: np.ndarray, at: np.ndarray, size: int
     return run, np.append(np.uint16(0), np.cumsum(total, dtype=np.uint16))
 
 
+def spread(what: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of what n times, with first, first + 1, ... beside it."""
+    return np.repeat(what, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+class Seeds:
+    """The items that hold each run of size words, by the run's hash."""
+
+    def __init__(self, size: int, prints: np.ndarray, item: np.ndarray):
+        order = np.lexsort((item, prints))
+        prints, item = prints[order], item[order]
+        fresh = np.append(True, (prints[1:] != prints[:-1]) | (item[1:] != item[:-1]))
+        self.size, self.item = size, item[fresh]
+        self.prints, first = np.unique(prints[fresh], return_index=True)
+        self.first = np.append(first, len(self.item))
+        #: which leading 20 bits occur: most lookups end here
+        self.maybe = np.zeros(1 << 20, dtype=bool)
+        self.maybe[(self.prints >> np.uint64(44)).astype(np.int64)] = True
+
+    def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position in prints, item) of all equal runs."""
+        at = np.flatnonzero(self.maybe[(prints >> np.uint64(44)).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self.prints, prints[at]), len(self.prints) - 1)
+        same = self.prints[k] == prints[at]
+        at, k = at[same], k[same]
+        at, k = spread(at, self.first[k], self.first[k + 1] - self.first[k])
+        return at, self.item[k]
+
+
 class Index:
-    """Block tables over the items' fingerprints, for each window size."""
+    """Block tables over the items' fingerprints, for each window size, and their seeds."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], least: float = 0.75):
         self.ids = [i for i, _ in items]
         w = Words(pa.array([t for _, t in items], pa.string()))
         h, weight = w.hashes(lower=True), weights(w)
         self.sizes = w.counts
-        self.shingles = [_shingles(h, weight, int(a), int(b)) for a, b in zip(w.first[:-1], w.first[1:])]
-        self.total = [sum(s.values()) for s in self.shingles]
+        shingles = [_shingles(h, weight, int(a), int(b)) for a, b in zip(w.first[:-1], w.first[1:])]
+        self.shingles = [np.array(sorted(s), dtype=np.uint64) for s in shingles]
+        self.total = [sum(s.values()) for s in shingles]
+        self.seeds = []
+        seed = np.array([seed_size(h[a:b], least) for a, b in zip(w.first[:-1], w.first[1:])], dtype=np.int64)
+        for size in sorted(set(seed.tolist()) - {0}):
+            own = np.flatnonzero(seed == size)
+            item, at = spread(own, w.first[own], w.counts[own] - size + 1)
+            self.seeds.append(Seeds(size, windows(h, at, size), item))
         entries: dict[int, list[tuple[int, int, int]]] = {}
         for i, n in enumerate(w.counts.tolist()):
             for size in sizes_for(n):
@@ -128,9 +178,39 @@ def _shingles(h: np.ndarray, weight: np.ndarray, a: int, b: int, size: int = 5)
     return dict(zip(hashes.tolist(), (sums[size:] - sums[: n - size + 1]).tolist()))
 
 
+def _places(h: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each shingle of a document, its weight, and where the same one was last before it (or -1)."""
+    x = windows(h, np.arange(len(h) - size + 1), size)
+    sums = np.append(0, np.cumsum(weight))
+    order = np.argsort(x, kind="stable")
+    same = x[order[1:]] == x[order[:-1]]
+    before = np.full(len(x), -1)
+    before[order[1:][same]] = order[:-1][same]
+    return x, sums[size:] - sums[:-size], before
+
+
+def best_window(x: np.ndarray, weight: np.ndarray, before: np.ndarray, mine: np.ndarray, total: int, length: int) -> tuple[float, int]:
+    """Largest similarity of an item and a window of length shingles, and the first such window's start.
+
+    Windows may reach over either end of the document.  A shingle counts once in
+    a window: at its first place there, so for the starts after the place before.
+    """
+    none = np.iinfo(np.int64).min
+    place = np.arange(len(x))
+    low = np.maximum(place - length + 1, np.where(before < 0, none, before + 1)) + length - 1
+    k = np.minimum(np.searchsorted(mine, x), len(mine) - 1)
+    common = mine[k] == x
+    n = len(x) + length
+    there = np.cumsum(np.bincount(low, weight, n) - np.bincount(place + length, weight, n))
+    common = np.cumsum(np.bincount(low[common], weight[common], n) - np.bincount(place[common] + length, weight[common], n))
+    similarity = common / (total + there - common)
+    i = int(similarity.argmax())
+    return float(similarity[i]), i - length + 1
+
+
 def _matches(items: list[tuple[int, str]], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items)
+        index = Index(items, least)
         for batch in batches:
             for part in chunks(batch):
                 rows = list(matches(part, index, least))
@@ -146,30 +226,36 @@ def matches(part: pa.RecordBatch, index: Index, least: float) -> Iterator[tuple]
     if not len(w.starts):
         return
     h, weight, place, row = w.hashes(lower=True), weights(w), w.place(), w.row_of_word()
-    spots: set[tuple[int, int]] = set()
-    tables = {}
-    for stride in {STRIDE if size in LADDER else 1 for size in index.tables}:
-        at = np.flatnonzero((place % stride == 0) & (place + stride <= w.counts[row]))
-        tables[stride] = at, *block_sums(h, weight, at, stride)
+    pairs: set[tuple[int, int]] = set()
+    for seeds in index.seeds:
+        at = np.flatnonzero(place + seeds.size <= w.counts[row])
+        pos, item = seeds.find(windows(h, at, seeds.size))
+        pairs.update(zip(row[at[pos]].tolist(), item.tolist()))
+    if index.tables:
+        at = np.flatnonzero((place % STRIDE == 0) & (place + STRIDE <= w.counts[row]))
+        sums, total = block_sums(h, weight, at, STRIDE)
     for size in index.tables:
-        stride = STRIDE if size in LADDER else 1
-        at, sums, total = tables[stride]
         k = np.flatnonzero(place[at] + size <= w.counts[row[at]])
         if not len(k):
             continue
-        step = size // stride
+        step = size // STRIDE
         pos, entry = index.near(size, simhash(sums[k + step] - sums[k], total[k + step] - total[k]))
-        _, item, offset, _ = index.tables[size]
-        spots.update(zip((at[k[pos]] - offset[entry]).tolist(), zip(item[entry].tolist(), row[at[k[pos]]].tolist())))
+        pairs.update(zip(row[at[k[pos]]].tolist(), index.tables[size][1][entry].tolist()))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for start, (item, r) in sorted(spots):
-        a = max(start, int(w.first[r]))
-        b = min(start + int(index.sizes[item]), int(w.first[r + 1]))
-        there, mine = _shingles(h, weight, a, b), index.shingles[item]
-        common = sum(v for s, v in mine.items() if s in there)
-        similarity = common / (index.total[item] + sum(there.values()) - common)
-        if similarity >= least and similarity > best.get((r, item), (0.0, 0, 0))[0]:
-            best[r, item] = similarity, a - int(w.first[r]), b - a
+    last, held = None, {}
+    for r, item in sorted(pairs):
+        if r != last:
+            last, held = r, {}
+        n, count = int(index.sizes[item]), int(w.counts[r])
+        size = min(5, n)
+        if count < size:
+            continue
+        if size not in held:
+            held[size] = _places(h[w.first[r] : w.first[r + 1]], weight[w.first[r] : w.first[r + 1]], size)
+        similarity, start = best_window(*held[size], index.shingles[item], index.total[item], n - size + 1)
+        if similarity >= least:
+            a = max(start, 0)
+            best[r, item] = similarity, a, min(start + n, count) - a
     ids, ok = _ids(part)
     for (r, item), (similarity, a, n) in best.items():
         yield int(ids[r]) if ok[r] else None, index.ids[item], similarity, a, n
@@ -200,7 +286,7 @@ def _clean(items: list[tuple[int, str]], least: float, names: list[str]):
     at = [names.index("doc_id"), names.index("text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items)
+        index = Index(items, least)
         for batch in batches:
             for part in chunks(batch):
                 # row numbers stand in for ids, which may repeat

@@ -239,3 +239,34 @@ def test_hamming_blocks_find_all_in_radius():
     got = set(zip(*(x.tolist() for x in index.near(16, probes))))
     want = {(i, j) for i in range(len(probes)) for j in range(len(prints)) if bin(int(probes[i] ^ prints[j])).count("1") <= decontaminate.RADIUS}
     assert got == want
+
+
+def leaks_of(pairs, items):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in pairs], pa.int64()), pa.array([t for _, t in pairs], pa.string())], names=["doc_id", "text"])
+    return {(m[0], m[1]): m[2] for m in decontaminate.matches(batch, decontaminate.Index(items), 0.75)}
+
+
+def test_leaks_of_short_items_at_every_alignment():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.choice((1, 2, 3, 5, 9, 13))))
+    items = [(20 * k + n, [word() for _ in range(n)]) for n in range(1, 21) for k in range(5)]
+    pairs, exact = [], set()
+    for item, iw in items:
+        for lead in range(4):
+            before, after = [word() for _ in range(lead + 4 * rng.randint(0, 3))], [word() for _ in range(rng.randint(0, 9))]
+            exact.add((len(pairs), item))
+            pairs.append((len(pairs), " ".join(before + iw + after)))
+            changed = list(iw)
+            changed[rng.choice((0, -1, rng.randrange(len(iw))))] = "z"
+            pairs.append((len(pairs), " ".join(before + changed + after)))
+            pairs.append((len(pairs), " ".join((iw[rng.randint(0, 2) :] + after) if lead % 2 else before + iw[: len(iw) - rng.randint(0, 2)])))
+    texts = [(i, " ".join(iw)) for i, iw in items]
+    got = leaks_of(pairs, texts)
+    want = {}
+    for d, t in pairs:
+        own = texts[d // 12]
+        want |= brute_leaks([(d, t)], [own])
+    assert exact <= set(want) and set(want) <= set(got)
+    assert all(got[k] == pytest.approx(s) for k, s in want.items())
