@@ -67,7 +67,7 @@ def seed_size(h: np.ndarray, least: float) -> int:
 
 def simhash(sums: np.ndarray, total: np.ndarray) -> np.ndarray:
     """Fingerprints from weighted sums of set bits (rows of 64) and the weights' totals."""
-    return np.packbits(2 * sums > total[:, None], axis=1).view(np.uint64).ravel()
+    return np.packbits(sums > total[:, None] - sums, axis=1).view(np.uint64).ravel()
 
 
 def block_sums(hashes: np.ndarray, weight: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -270,3 +270,25 @@ def test_leaks_of_short_items_at_every_alignment():
         want |= brute_leaks([(d, t)], [own])
     assert exact <= set(want) and set(want) <= set(got)
     assert all(got[k] == pytest.approx(s) for k, s in want.items())
+
+
+def test_leaks_of_long_items():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.choice((2, 3, 5, 9, 13))))
+    items, pairs = [], []
+    for i, (n, changes) in enumerate([(1100, 0), (1100, 25), (1500, 20), (1500, 40), (3000, 60), (9000, 200), (30_000, 0)] + [(1100, 25), (1500, 40), (3000, 60)] * 4):
+        iw = [word() for _ in range(n)]
+        items.append((i, " ".join(iw)))
+        for k in range(changes):
+            iw[k * n // changes + rng.randrange(n // changes)] = "changed"
+        pairs.append((i, " ".join([word() for _ in range(rng.randint(0, 9))] + iw + [word() for _ in range(rng.randint(0, 9))])))
+    got = leaks_of(pairs, items)
+    for (doc, text), (item, t) in zip(pairs, items):
+        w, iw = words(text), words(t)
+        mine = weighted(iw)
+        want = 0
+        for a in range(10):
+            there = weighted(w[a : a + len(iw)])
+            common = sum(v for k, v in mine.items() if k in there)
+            want = max(want, common / (sum(mine.values()) + sum(there.values()) - common))
+        assert 0.75 <= want <= got.get((doc, item), 0) + 1e-9
