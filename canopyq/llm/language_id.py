@@ -8,7 +8,9 @@ share of set bits to the power of the probes), and the largest corrected count
 decides.
 
 Learning counts n-grams of all training texts by language; a language's filter
-takes its most frequent n-grams up to ``grams`` of them (the model's size bound).
+takes all that occur ``least`` times, and the number of cells follows from the
+language with the most of them.  Executors set the bits, a block of cells each;
+only the finished blocks go to the driver.
 
 Defined results: ``und`` with score 0 for a null text, one without any letter,
 or a model without languages.  Ties go to the language that sorts first.  Rows
@@ -23,13 +25,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..sources.shared import shared_checkpoint
 from .dealing import groups, small_batches
 from .quality import held_out
 from .vectext import chunks, mix
 
 SIZE = 4
+BLOCK = 1 << 14
 OUT = "doc_id long, lang_pred string, score double"
 
 
@@ -92,7 +96,7 @@ class LanguageModel:
     def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         rows, n = len(texts), len(self.languages)
         row, h = grams(texts)
-        mask = self.masks(h) if n else np.zeros(0, np.uint64)
+        mask = self.masks(h).astype(np.uint64) if n else np.zeros(0, np.uint64)
         total = np.bincount(row, minlength=rows).astype(float)
         got = np.zeros((rows, max(n, 1)))
         for j in range(n):
@@ -136,26 +140,50 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(lang)
 
 
-def train_language(docs: DataFrame, grams_each: int = 20_000, least: int = 2, probes: int = 3, bits_per_gram: int = 16) -> LanguageModel:
+def _probes(size: int, probes: int):
+    """(block, place in it, language number) of each bit to set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column(1).to_numpy().view(np.uint64)
+            step = mix(h) | np.uint64(1)
+            for i in range(probes):
+                cell = ((h + np.uint64(i) * step) & np.uint64(size - 1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(cell // BLOCK), pa.array((cell % BLOCK).astype(np.int32)), batch.column(0)], names=["block", "at", "j"])
+
+    return run
+
+
+def _block(kind: type):
+    """The cells of a block, by OR over the languages' bits."""
+
+    def run(bits: pa.Table) -> pa.Table:
+        cells = np.zeros(BLOCK, kind)
+        np.bitwise_or.at(cells, bits.column("at").to_numpy(), (np.uint64(1) << bits.column("j").to_numpy().astype(np.uint64)).astype(kind))
+        return pa.table({"block": bits.column("block")[:1], "cells": pa.array([cells.tobytes()], pa.binary())})
+
+    return run
+
+
+def train_language(docs: DataFrame, least: int = 2, probes: int = 3, bits_per_gram: int = 16) -> LanguageModel:
     """A model from all rows of text and non-null lang that are not held out; at most 64 languages."""
     small_batches(docs)
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counted = rows.mapInArrow(_counts, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "h")
-    top = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= grams_each).select("lang", "h").toPandas()
-    languages = sorted(top["lang"].unique())
+    counted = shared_checkpoint(rows.mapInArrow(_counts, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "h"))
+    sizes = {r["lang"]: r["count"] for r in counted.groupBy("lang").count().collect()}
+    languages = sorted(sizes)
     if len(languages) > 64:
         raise ValueError("over 64 languages")
-    size = 1 << max(10, int(np.ceil(np.log2(max(1, bits_per_gram * min(grams_each, len(top)))))))
-    cells = np.zeros(size, np.uint64)
-    model = LanguageModel(languages, cells, probes, np.zeros(len(languages)))
-    for j, lang in enumerate(languages):
-        h = top.loc[top["lang"] == lang, "h"].to_numpy().astype(np.int64).view(np.uint64)
-        step = mix(h) | np.uint64(1)
-        for i in range(probes):
-            cells[((h + np.uint64(i) * step) & np.uint64(size - 1)).astype(np.int64)] |= np.uint64(1 << j)
-        model.fill[j] = ((cells >> np.uint64(j)) & np.uint64(1)).mean()
-    return model
+    size = 1 << max(10, int(np.ceil(np.log2(max(1, bits_per_gram * max(sizes.values(), default=0))))))
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if len(languages) <= 8 * np.dtype(k).itemsize)
+    cells = np.zeros(max(size, BLOCK), kind)
+    if languages:
+        number = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")) - 1
+        bits = counted.select(number.cast("int").alias("j"), "h").mapInArrow(_probes(size, probes), "block long, at int, j int")
+        for r in bits.groupBy("block").applyInArrow(_block(kind), "block long, cells binary").collect():
+            cells[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["cells"], kind)
+    cells = cells[:size]
+    return LanguageModel(languages, cells, probes, np.array([((cells >> kind(j)) & kind(1)).mean() for j in range(len(languages))]))
 
 
 def _judged(model: LanguageModel):

@@ -292,3 +292,21 @@ def test_leaks_of_long_items():
             common = sum(v for k, v in mine.items() if k in there)
             want = max(want, common / (sum(mine.values()) + sum(there.values()) - common))
         assert 0.75 <= want <= got.get((doc, item), 0) + 1e-9
+
+
+def test_language_filters_take_all_grams_of_a_large_vocabulary(spark):
+    import numpy as np
+
+    rng = random.Random(6)
+    texts = {"a": "one small text of few words ", "b": " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(30_000))}
+    docs = spark.createDataFrame([(d, texts[lang], lang) for d in range(40) for lang in texts if d < 10 or lang == "a"], "doc_id long, text string, lang string")
+    model = language_id.train_language(docs)
+    assert model.languages == ["a", "b"]
+    grams = {lang: set(language_id.grams([t])[1].tolist()) for lang, t in texts.items()}
+    assert len(grams["b"]) > 60_000
+    for j, lang in enumerate(model.languages):
+        mask = model.masks(np.array(sorted(grams[lang]), dtype=np.uint64))
+        assert ((mask >> j) & 1).all()
+        assert model.fill[j] ** model.probes < 0.01
+    words_of_b = texts["b"].split()
+    assert all(lang == "b" for lang in model.judge(words_of_b[:500])[0])
