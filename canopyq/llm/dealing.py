@@ -62,7 +62,8 @@ class Outbox:
     """Collects rows of the given fields and hands them out as blocks, one per bucket."""
 
     def __init__(self, fields: list[tuple[str, str]], buckets: int, limit: int = 1 << 18):
-        self.fields, self.buckets, self.limit = fields, buckets, limit
+        # some rows a block even with very many buckets, as far as 4 million rows go
+        self.fields, self.buckets, self.limit = fields, buckets, max(limit, min(8 * buckets, 1 << 22))
         self.keys: list[np.ndarray] = []
         self.cols: list[list[np.ndarray]] = [[] for _ in fields]
         self.held = 0
@@ -118,22 +119,28 @@ def deal(blocks: DataFrame, n: int) -> DataFrame:
     return blocks.repartition(n, "bucket").sortWithinPartitions("bucket")
 
 
-def by_bucket(batches: Iterator[pa.RecordBatch], fields: list[tuple[str, str]]) -> Iterator[dict[str, np.ndarray]]:
-    """Each bucket's rows from batches that deal() has ordered; one bucket is held at a time."""
+def numbered_buckets(batches: Iterator[pa.RecordBatch], fields: list[tuple[str, str]]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """Each bucket's number and rows from batches that deal() has ordered; one bucket is held at a time."""
     now, held = None, []
     for b in batches:
         for k, v in zip(b.column(0).to_pylist(), b.column(1)):
             if k != now:
                 if held:
-                    yield opened(held, fields)
+                    yield now, opened(held, fields)
                 now, held = k, []
             held.append(v)
     if held:
-        yield opened(held, fields)
+        yield now, opened(held, fields)
     held.clear()
     release()
 
 
+def by_bucket(batches: Iterator[pa.RecordBatch], fields: list[tuple[str, str]]) -> Iterator[dict[str, np.ndarray]]:
+    """Each bucket's rows, as numbered_buckets() without the number."""
+    for _, x in numbered_buckets(batches, fields):
+        yield x
+
+
 def groups(*sorted_cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start of each run of equal rows, and the runs' lengths, in sorted columns."""
     n = len(sorted_cols[0])

@@ -10,9 +10,16 @@ tau = (|x| + |y|) (1 - t) / (1 + t) tokens, so at most tau of a set's
 Cost-based allocation: a set probes tau + 1 of its segments, those whose
 signatures the fewest sets have, and leaves the costly ones out; as both sides
 rank signatures alike, two similar sets still meet in one (prefix argument).
-Signatures that only one set has count as probed and go nowhere.  A set with too
-few non-empty segments for that (tiny or lopsided) also indexes its tokens one
-by one, which is the finest partition.
+Signatures that only one set has count as probed and go nowhere, and only shared
+ones move on from where they are counted.
+
+A set with at most tau non-empty segments (tiny or lopsided) cannot afford that.
+If its partner is as poor, they meet by one-deletion neighbourhoods: each indexes
+its segments' subsets, and those subsets less one token, so a segment of two
+tokens or more stands for two differences, one of a single token for one.  Of
+these units a pair needs tau + 1 again; a set that has not even those indexes its
+tokens one by one, the finest partition.  A neighbourhood costs an entry a token,
+so the rule takes it only where subsets alone can't do.
 
 Small signature groups give all their pairs; a large one gives a star around
 its most central member (whose signatures the most sets share).  A star edge
@@ -32,7 +39,8 @@ Defined results: no words or null text: no shingles, linked with nothing (its
 component is its own doc_id).  Under five words the whole sequence is one
 shingle.  Rows that repeat a doc_id are separate rows of one id.  A null doc_id
 takes part and gets its component's smallest non-null doc_id, null if none.
-Extra columns are ignored.  Sets are told apart by a 64-bit hash.
+Extra columns are ignored.  Sets are told apart by a 64-bit hash; signatures by
+their bucket and 32 bits, as a chance match only adds a candidate.
 """
 
 from __future__ import annotations
@@ -45,16 +53,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.shared import shared_checkpoint
 from .components import connected
-from .dealing import BLOCK, Outbox, by_bucket, deal, groups, join_hot, opened, parts, release, small_batches
+from .dealing import BLOCK, Outbox, by_bucket, deal, groups, join_hot, numbered_buckets, opened, parts, release, small_batches
 from .vectext import Words, chunks, mix, windows
 
 #: Group size up to which all pairs are candidates.
 SMALL = 3
 
-ENTRY = [("sig", "<u8"), ("id", "<u8"), ("size", "<u4"), ("lack", "<i4"), ("scheme", "<u1")]
-SHARED = [*ENTRY, ("n", "<u4")]
+#: role: 0, 1 as in _schemes(), or FINE.  A signature is its bucket and sig.
+ENTRY = [("sig", "<u4"), ("id", "<u8"), ("role", "<u1")]
+FINE = 2
+#: at: the signature's bucket; n: how many sets share it.  A set's header has n = 0, its size and lack in the others.
+SHARED = [("sig", "<u4"), ("at", "<u4"), ("id", "<u8"), ("role", "<u1"), ("n", "<u4")]
 #: rank: the lower, the more central.
-MEMBER = [("sig", "<u8"), ("id", "<u8"), ("size", "<u4"), ("rank", "<u4")]
+MEMBER = [("sig", "<u4"), ("id", "<u8"), ("size", "<u4"), ("rank", "<u4")]
 PAIR = [("x", "<u8"), ("y", "<u8")]
 
 
@@ -89,12 +100,19 @@ def _id_bucket(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (ids % np.uint64(buckets)).astype(np.int32)
 
 
-def _info(shingle: int):
+INFO = "doc_id long, n_shingles long, set_id long, lack0 int, lack1 int"
+
+
+def _info(shingle: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch):
                 s = Sets(part.column(1), shingle)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.sizes.astype(np.int64)), pa.array(s.ids.view(np.int64), mask=s.sizes == 0)], names=["doc_id", "n_shingles", "set_id"])
+                lack = np.zeros((2, s.rows), np.int32)
+                for role, _, tau, _, row, _, at in _schemes(s, percent):
+                    filled = np.bincount(row[at], minlength=s.rows)
+                    lack[role] = np.minimum(tau + 1, filled) - filled
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s.sizes.astype(np.int64)), pa.array(s.ids.view(np.int64), mask=s.sizes == 0), pa.array(lack[0]), pa.array(lack[1])], names=["doc_id", "n_shingles", "set_id", "lack0", "lack1"])
         release()
 
     return run
@@ -105,15 +123,18 @@ def segments_of(band: np.ndarray) -> np.ndarray:
     return (1 << band) * np.where(band <= 4, 4, np.where(band <= 6, 2, 1))
 
 
-def _signatures(s: Sets, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(signature, row, size, lack, scheme) of the slice's sets; lack: probes wanted less signatures."""
+def _schemes(s: Sets, percent: int) -> Iterator[tuple]:
+    """The scheme of each set's own band (role 0), and of the band below (role 1) where partners may be.
+
+    (role, each row's band and tau, tokens, their rows and segments, each filled segment's first token).
+    """
     sizes = s.sizes
     own = np.frexp(np.maximum(sizes, 1))[1] - 1
+    limit = 1 << own.astype(np.int64)
     for role in (0, 1):
-        band = own - role
-        limit = 1 << own.astype(np.int64)
-        if role:  # partners are of the band below
-            takes = (sizes > 0) & (band >= 0) & (sizes * percent <= (limit - 1) * 100)
+        band = np.maximum(own - role, 0)
+        if role:
+            takes = (sizes > 0) & (own > 0) & (sizes * percent <= (limit - 1) * 100)
             partner = np.minimum(sizes - 1, limit - 1)
         else:
             takes = sizes > 0
@@ -121,24 +142,40 @@ def _signatures(s: Sets, percent: int) -> Iterator[tuple[np.ndarray, ...]]:
         tau = (sizes + partner) * (100 - percent) // (100 + percent)
         pick = takes[s.row]
         tokens, row = s.tokens[pick], s.row[pick]
-        if not len(tokens):
-            continue
-        m = segments_of(np.maximum(band, 0).astype(np.int64))[row].astype(np.uint64)
-        seg = ((tokens >> np.uint64(32)) * m) >> np.uint64(32)  # ascending within a row, as tokens are
-        at, _ = groups(row, seg)
-        scheme = band[row[at]].astype(np.uint8)
-        subset = np.add.reduceat(mix(tokens ^ np.uint64(0x6A09E667F3BCC908)), at)
-        sig = mix(subset + seg[at] * np.uint64(0x9E3779B97F4A7C15) + scheme.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        if len(tokens):
+            m = segments_of(band.astype(np.int64))[row].astype(np.uint64)
+            seg = ((tokens >> np.uint64(32)) * m) >> np.uint64(32)  # ascending within a row, as tokens are
+            at, _ = groups(row, seg)
+            yield role, band, tau, tokens, row, seg, at
+
+
+def _signatures(s: Sets, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(signatures, their rows, role) of the slice's sets."""
+    for role, band, tau, tokens, row, seg, at in _schemes(s, percent):
+        mixed = mix(tokens ^ np.uint64(0x6A09E667F3BCC908))
+        subset = np.add.reduceat(mixed, at)
         of = row[at]
+        key = lambda seg, rows, kind: seg * np.uint64(0x9E3779B97F4A7C15) + (band[rows].astype(np.uint64) + np.uint64(kind)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        yield mix(subset + key(seg[at], of, 0)), of, role
         filled = np.bincount(of, minlength=s.rows)
-        lack = np.minimum(tau + 1, filled) - filled
-        yield sig, of, sizes[of], lack[of], scheme
-        # too few segments hold tokens: the tokens one by one, in a scheme of their own
-        poor = (filled <= tau)[row]
-        if poor.any():
-            t, of = tokens[poor], row[poor]
-            fine = (band[of] + 100).astype(np.uint8)
-            yield mix(t + fine.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)), of, sizes[of], (np.minimum(tau + 1, sizes) - sizes)[of], fine
+        poor = filled <= tau
+        if not poor[of].any():
+            continue
+        # one-deletion neighbourhoods: subsets, and subsets less each token
+        n = np.diff(np.append(at, len(tokens)))
+        p = poor[of]
+        yield mix(subset[p] + key(seg[at][p], of[p], 64)), of[p], FINE
+        p = np.repeat(p & (n > 1), n)
+        yield mix(np.repeat(subset, n)[p] - mixed[p] + key(seg[p], row[p], 64)), row[p], FINE
+        units = filled + np.bincount(of[n > 1], minlength=s.rows)
+        p = (poor & (units <= tau))[row]
+        if p.any():
+            yield mix(tokens[p] + key(np.uint64(0), row[p], 128)), row[p], FINE
+
+
+def _place(sig: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A signature's bucket, and the bits that tell it apart there."""
+    return ((sig & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32), (sig >> np.uint64(32)).astype(np.uint32)
 
 
 def _entries(shingle: int, percent: int, buckets: int):
@@ -150,33 +187,48 @@ def _entries(shingle: int, percent: int, buckets: int):
                 _, one = np.unique(s.ids, return_index=True)  # equal sets once a slice
                 once = np.zeros(s.rows, bool)
                 once[one] = True
-                for sig, row, size, lack, scheme in _signatures(s, percent):
+                for sig, row, role in _signatures(s, percent):
                     k = once[row]
-                    yield from out.add(_id_bucket(sig[k], buckets), sig[k], s.ids[row[k]], size[k], lack[k], scheme[k])
+                    at, sig = _place(sig[k], buckets)
+                    yield from out.add(at, sig, s.ids[row[k]], np.full(len(sig), role))
         yield from out.flush()
         release()
 
     return run
 
 
+def _headers(buckets: int):
+    """Each set's size and lacks, as rows of SHARED."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Outbox(SHARED, buckets)
+        for b in batches:
+            ids = b.column(0).to_numpy().view(np.uint64)
+            size, *lacks = (b.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3))
+            for role, lack in enumerate((*lacks, np.zeros(len(ids), np.int64))):
+                yield from out.add(_id_bucket(ids, buckets), size, lack.astype(np.int32).view(np.uint32), ids, np.full(len(ids), role), np.zeros(len(ids)))
+        yield from out.flush()
+
+    return run
+
+
 def _shared(buckets: int):
     """Entries whose signature several sets have, with their number, back to the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Outbox(SHARED, buckets)
-        for x in by_bucket(batches, ENTRY):
+        for bucket, x in numbered_buckets(batches, ENTRY):
             order = np.argsort(x["sig"], kind="stable")
-            sig = x["sig"][order]
-            at, n = groups(sig)
+            at, n = groups(x["sig"][order])
             order = order[np.repeat(n > 1, n)]
-            order = order[np.lexsort((x["id"][order], x["sig"][order]))]
+            order = order[np.lexsort((x["role"][order], x["id"][order], x["sig"][order]))]
             sig, ids = x["sig"][order], x["id"][order]
-            at, _ = groups(sig, ids)  # equal sets of other slices once
+            at, _ = groups(sig, ids, x["role"][order])  # equal sets of other slices once
             order, sig, ids = order[at], sig[at], ids[at]
             at, n = groups(sig)
             keep = np.repeat(n > 1, n)
-            order, n = order[keep], np.repeat(n, n)[keep]
-            yield from out.add(_id_bucket(ids[keep], buckets), *(x[f][order] for f, _ in ENTRY), n)
+            order, ids, n = order[keep], ids[keep], np.repeat(n, n)[keep]
+            yield from out.add(_id_bucket(ids, buckets), x["sig"][order], np.full(len(order), bucket), ids, x["role"][order], n)
         yield from out.flush()
 
     return run
@@ -188,14 +240,15 @@ def _allocate(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Outbox(MEMBER, buckets)
         for x in by_bucket(batches, SHARED):
-            order = np.lexsort((x["sig"], x["n"], x["scheme"], x["id"]))
+            order = np.lexsort((x["sig"], x["at"], x["n"], x["role"], x["id"]))  # a header comes first
             x = {k: v[order] for k, v in x.items()}
-            at, n = groups(x["id"], x["scheme"])
-            place = np.arange(len(order)) - np.repeat(at, n)
-            keep = place < np.repeat(n + x["lack"][at], n)
-            shared = np.add.reduceat(x["n"].astype(np.int64), at) if len(at) else at
+            head, n = groups(x["id"], x["role"])
+            size, lack = np.repeat(x["sig"][head], n), x["at"][head].view(np.int32).astype(np.int64)
+            place = np.arange(len(order)) - np.repeat(head, n)
+            keep = (place > 0) & (place <= np.repeat(n - 1 + lack, n))
+            shared = np.add.reduceat(x["n"].astype(np.int64), head) if len(head) else head
             rank = np.repeat((1 << 32) - 1 - np.minimum(shared, (1 << 32) - 1), n)
-            yield from out.add(_id_bucket(x["sig"][keep], buckets), x["sig"][keep], x["id"][keep], x["size"][keep], rank[keep])
+            yield from out.add(x["at"][keep].astype(np.int32), x["sig"][keep], x["id"][keep], size[keep], rank[keep])
         yield from out.flush()
 
     return run
@@ -393,7 +446,8 @@ def open_links(verified: DataFrame, linked: Column, percent: int, verify: Callab
     members = shared_checkpoint(members)
     # the least cost for each number of lacking tokens (at most the centre's size of them), then a member's best fellows
     least = members.groupBy("center", "lacks", "linked").agg(F.min(F.struct("cost", "id")).alias("best"))
-    profile = least.groupBy("center").agg(F.collect_list(F.struct("lacks", "linked", F.col("best.cost").alias("cost"), F.col("best.id").alias("id"))).alias("profile"))
+    # written, so that the join below stands on exchanges alone and a frequent centre can be split at run time
+    profile = shared_checkpoint(least.groupBy("center").agg(F.collect_list(F.struct("lacks", "linked", F.col("best.cost").alias("cost"), F.col("best.id").alias("id"))).alias("profile")))
     fellows = F.array_sort(F.transform("profile", lambda p: F.struct((p["cost"] + F.abs(p["lacks"] - F.col("lacks"))).alias("cost"), p["id"].alias("id"), p["linked"].alias("linked"))))
     is_open = members.where(~F.col("linked")).join(profile, "center").withColumn("fellows", fellows).where(F.col("cost") + F.col("fellows")[0]["cost"] <= 1e-6)
     tries = F.transform(F.slice(F.filter("fellows", lambda f: f["linked"]), 1, TRIES), lambda f: f["id"])
@@ -426,15 +480,19 @@ def similar_components(docs: DataFrame, percent: int = 75, shingle: int = 5) ->
     docs: doc_id long, text string.  Returns doc_id, n_shingles, set_id (equal
     sets share one; null without words) and component_id for each row.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be 50 to 100: below, partners may be two bands apart")
     small_batches(docs)
     n = parts(docs, 4)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    info = shared_checkpoint(docs.mapInArrow(_info(shingle), "doc_id long, n_shingles long, set_id long"))
+    info = shared_checkpoint(docs.mapInArrow(_info(shingle, percent), INFO))
+    firsts = [F.max(c).alias(c) for c in ("n_shingles", "lack0", "lack1")]
+    sets = shared_checkpoint(info.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies"), *firsts))
     entries = deal(docs.select("text").mapInArrow(_entries(shingle, percent, n), BLOCK), n)
-    shared = deal(entries.mapInArrow(_shared(n), BLOCK), n)
+    headers = sets.select("set_id", "n_shingles", "lack0", "lack1").mapInArrow(_headers(n), BLOCK)
+    shared = deal(entries.mapInArrow(_shared(n), BLOCK).unionByName(headers), n)
     probes = deal(shared.mapInArrow(_allocate(n), BLOCK), n)
     stars = shared_checkpoint(probes.mapInArrow(_star_pairs(percent), "x long, y long").distinct())
-    sets = shared_checkpoint(info.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("smallest"), F.count("*").alias("copies")))
     verify = lambda pairs: verify_pairs(docs, sets, pairs, n, shingle)
     linked = F.col("common") * 100 >= (F.col("size_x") + F.col("size_y") - F.col("common")) * percent
     verified = verify(stars)
@@ -443,8 +501,10 @@ def similar_components(docs: DataFrame, percent: int = 75, shingle: int = 5) ->
     links = links if more is None else links.unionByName(more)
     roots = connected(links)
     rooted = sets.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    smallest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    named = shared_checkpoint(rooted.join(smallest, "root").select("set_id", "component_id", "copies"))
+    rooted = shared_checkpoint(rooted.select("set_id", "root", "smallest", "copies"))
+    # a component may hold a third of all sets: large ones by a bounded broadcast
+    smallest = shared_checkpoint(rooted.groupBy("root").agg(F.min("smallest").alias("component_id"), F.count("*").alias("members")))
+    named = shared_checkpoint(join_hot(rooted, smallest, ["root"], "members", rooted.count()).select("set_id", "component_id", "copies"))
     with_words = join_hot(info.where(F.col("set_id").isNotNull()), named, ["set_id"], "copies", info.count())
     without = info.where(F.col("set_id").isNull())
     columns = ("doc_id", "n_shingles", "set_id", "component_id")

@@ -153,6 +153,28 @@ def test_components_random(make_docs, seed, monkeypatch):
     assert rows(ngram_join.similar_components(make_docs(pairs)), "doc_id", "n_shingles", "component_id") == brute_components(pairs)
 
 
+def test_components_of_poor_sets(make_docs, monkeypatch):
+    """With few segments, tiny sets meet by one-deletion neighbourhoods, or token by token."""
+    monkeypatch.setattr(ngram_join, "segments_of", lambda band: (1 << band) // 2 + 1)
+    rng = random.Random(12)
+    pairs = []
+    for i in range(150):
+        w = [f"b{i % 12}w{k}" for k in range(5 + i % 12 * 2)]
+        w[len(w) - rng.randint(0, 2) :] = [f"n{rng.randint(0, 3)}"] * rng.randint(0, 1)
+        pairs.append((i, " ".join(w)))
+    assert rows(ngram_join.similar_components(make_docs(pairs)), "doc_id", "n_shingles", "component_id") == brute_components(pairs)
+    with pytest.raises(ValueError):
+        ngram_join.similar_components(make_docs(pairs), percent=40)
+
+
+def test_components_of_a_hot_signature(make_docs):
+    """A passage that many documents share, most of them alike in nothing else."""
+    rng = random.Random(13)
+    hot = [f"hot{i}" for i in range(60)]
+    pairs = [(i, " ".join(hot + [f"own{i}x{k}" for k in range(rng.choice([4, 12, 18, 40]))] + ([f"v{i % 5}"] if i % 3 else []))) for i in range(300)]
+    assert rows(ngram_join.similar_components(make_docs(pairs)), "doc_id", "n_shingles", "component_id") == brute_components(pairs)
+
+
 def test_empty_tables(make_docs):
     docs = make_docs([])
     for df in (substring_dedup.dedup_substrings(docs), line_dedup.dedup_lines(docs), line_dedup.rewrite_lines(docs), ngram_join.similar_components(docs)):
