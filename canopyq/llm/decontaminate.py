@@ -1,21 +1,23 @@
 """Benchmark decontamination by SimHash windows and exact verification.
 
-Items are indexed at a ladder of window sizes around their own: every window of
-an item at those sizes has a 64-bit SimHash of its weighted words.  Documents
-give windows of each size at every STRIDE words.  Fingerprints are cut into
-RADIUS + 1 blocks; fingerprints within RADIUS bits agree in one block at least,
-so the block tables find all of them.  A hit names a document and an item; of all
+Every window of a document, at every word, has a 64-bit SimHash of its weighted
+words, and so has every window of an item; fingerprints within RADIUS bits name a
+document and an item.  Fingerprints are cut into RADIUS + 1 blocks, and such two
+agree in one block at least, so the block tables find all of them.  Of all
 item-sized windows of the document the one with the largest weighted
 5-word-shingle Jaccard similarity to the item decides.
 
-An item of n words has SimHash windows at ladder sizes from n/4 to n - STRIDE + 1.
-Besides, its runs of seed_size words are looked up by exact hash at every word of
-a document, so a hit hangs neither on how a copy lies to STRIDE nor on the item's
-length: a verbatim copy always gives one, and so does a window of similarity
-0.75, which shares a run of that many words.
+Two window sizes stand for an item: the largest of SIZES that fits into it, and
+the length of a run of words that it shares with any window of similarity 0.75
+(sure_run(), 8 words mostly).  Equal words have equal fingerprints, so the second
+size misses nothing that the exact similarity would accept, however a copy was
+changed or cut; the first finds copies by their whole.  Sums over a window are
+built by doubling from those over half of it.
 
 The benchmark is the small side: it is measured first, and taken to the
-executors in slices of at most SLICE_BYTES of text.  Documents are never shuffled.
+executors in slices of at most SLICE_BYTES of text (some 250 MB of tables in a
+worker).  Documents are never shuffled; their words are taken in blocks, so
+memory is bounded whatever a text's length beyond the text and its hashes.
 
 Defined results: null or empty texts, on either side, match nothing.  Items
 under five words are one shingle.  Repeated items are items of their own;
@@ -31,14 +33,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .dealing import small_batches
+from .dealing import groups, small_batches
 from .substring_dedup import _ids
 from .vectext import Words, chunks, mix, windows
 
-LADDER = (8, 12, 16, 24, 32, 44, 64, 96, 128, 192, 256)
-STRIDE = 4
+#: Window sizes by doubling: 8 to 8192 words; the sums of the largest fit 16 bits.
+SIZES = tuple(8 << k for k in range(11))
 RADIUS = 3
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
+#: Words whose bit sums are held at once.
+WORDS = 1 << 14
 OUT = "doc_id long, item_id long, similarity double, start_word long, n_words long"
 
 
@@ -47,12 +51,7 @@ def weights(w: Words) -> np.ndarray:
     return 1 + np.minimum(w.ends - w.starts, 12) // 4
 
 
-def sizes_for(n: int) -> list[int]:
-    """Ladder sizes at which an item of n words is indexed."""
-    return [s for s in LADDER if n / 4 <= s <= n - STRIDE + 1]
-
-
-def seed_size(h: np.ndarray, least: float) -> int:
+def sure_run(h: np.ndarray, least: float) -> int:
     """Words in a row that an item (its word hashes) shares with any window of similarity least.
 
     Two shared runs of 7 words at most, or one in an item of 10 words or more,
@@ -65,94 +64,89 @@ def seed_size(h: np.ndarray, least: float) -> int:
     return n if n < 7 else 6 if n == 7 else 7 if n < 10 else 8
 
 
+def sizes_for(h: np.ndarray, least: float) -> set[int]:
+    """Window sizes at which an item is indexed."""
+    return {sure_run(h, least), *[s for s in SIZES if s <= len(h)][-1:]} - {0}
+
+
 def simhash(sums: np.ndarray, total: np.ndarray) -> np.ndarray:
     """Fingerprints from weighted sums of set bits (rows of 64) and the weights' totals."""
-    return np.packbits(sums > total[:, None] - sums, axis=1).view(np.uint64).ravel()
-
+    return np.packbits(sums > (total >> 1)[:, None], axis=1).view(np.uint64).ravel()
 
-def block_sums(hashes: np.ndarray, weight: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums, before each block and after the last, of weighted hash bits and of weights; a block is size words from a position in at.
 
-    Sums wrap at 16 bits; a difference over one window is far below that, so it is exact.
-    """
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
-    bits *= weight.astype(np.uint8)[:, None]
-    sums, total = bits[at], weight[at].astype(np.uint16)
-    for i in range(1, size):  # at most STRIDE words of weight 4: fits 8 bits
-        sums += bits[at + i]
-        total += weight[at + i].astype(np.uint16)
-    run = np.zeros((len(at) + 1, 64), np.uint16)
-    np.cumsum(sums, axis=0, dtype=np.uint16, out=run[1:])
-    return run, np.append(np.uint16(0), np.cumsum(total, dtype=np.uint16))
-
-
-def spread(what: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each of what n times, with first, first + 1, ... beside it."""
-    return np.repeat(what, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-
-
-class Seeds:
-    """The items that hold each run of size words, by the run's hash."""
-
-    def __init__(self, size: int, prints: np.ndarray, item: np.ndarray):
-        order = np.lexsort((item, prints))
-        prints, item = prints[order], item[order]
-        fresh = np.append(True, (prints[1:] != prints[:-1]) | (item[1:] != item[:-1]))
-        self.size, self.item = size, item[fresh]
-        self.prints, first = np.unique(prints[fresh], return_index=True)
-        self.first = np.append(first, len(self.item))
-        #: which leading 20 bits occur: most lookups end here
-        self.maybe = np.zeros(1 << 20, dtype=bool)
-        self.maybe[(self.prints >> np.uint64(44)).astype(np.int64)] = True
-
-    def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position in prints, item) of all equal runs."""
-        at = np.flatnonzero(self.maybe[(prints >> np.uint64(44)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.prints, prints[at]), len(self.prints) - 1)
-        same = self.prints[k] == prints[at]
-        at, k = at[same], k[same]
-        at, k = spread(at, self.first[k], self.first[k + 1] - self.first[k])
-        return at, self.item[k]
+def window_prints(hashes: np.ndarray, weight: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(size, first word, fingerprints of the windows from there on) for all windows of each size."""
+    if not sizes:
+        return
+    n = len(hashes)
+    step = max(WORDS, *sizes)
+    for lo in range(0, n, step):
+        part = hashes[lo : lo + step + max(sizes) - 1]
+        power = 1
+        total = weight[lo : lo + len(part)].astype(np.uint16)
+        sums = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1) * total.astype(np.uint8)[:, None]
+        # size -> sums over the words that the binary digits of size so far stand for
+        held: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        while power <= max(sizes) and power <= len(part):
+            for size in sizes:
+                if size & power:
+                    if size not in held:
+                        held[size] = power, sums, total
+                    else:
+                        done, s, t = held[size]
+                        k = len(part) - done - power + 1
+                        held[size] = done + power, s[: max(k, 0)] + sums[done : done + max(k, 0)], t[: max(k, 0)] + total[done : done + max(k, 0)]
+                    done, s, t = held[size]
+                    if done == size and len(s):
+                        yield size, lo, simhash(s[:step], t[:step].astype(s.dtype))
+            k = len(sums) - power
+            if k <= 0:
+                break
+            if sums.dtype == np.uint8 and 8 * power > 255:
+                sums = sums.astype(np.uint16)
+            sums, total = sums[:k] + sums[power:], total[:k] + total[power:]
+            power *= 2
 
 
 class Index:
-    """Block tables over the items' fingerprints, for each window size, and their seeds."""
+    """Block tables over the items' fingerprints, for each window size."""
 
     def __init__(self, items: list[tuple[int, str]], least: float = 0.75):
         self.ids = [i for i, _ in items]
         w = Words(pa.array([t for _, t in items], pa.string()))
         h, weight = w.hashes(lower=True), weights(w)
         self.sizes = w.counts
-        shingles = [_shingles(h, weight, int(a), int(b)) for a, b in zip(w.first[:-1], w.first[1:])]
-        self.shingles = [np.array(sorted(s), dtype=np.uint64) for s in shingles]
-        self.total = [sum(s.values()) for s in shingles]
-        self.seeds = []
-        seed = np.array([seed_size(h[a:b], least) for a, b in zip(w.first[:-1], w.first[1:])], dtype=np.int64)
-        for size in sorted(set(seed.tolist()) - {0}):
-            own = np.flatnonzero(seed == size)
-            item, at = spread(own, w.first[own], w.counts[own] - size + 1)
-            self.seeds.append(Seeds(size, windows(h, at, size), item))
-        entries: dict[int, list[tuple[int, int, int]]] = {}
-        for i, n in enumerate(w.counts.tolist()):
-            for size in sizes_for(n):
-                entries.setdefault(size, []).extend((int(w.first[i]) + o, i, o) for o in range(n - size + 1))
+        self.shingles, self.total = [], []
+        wanted: dict[int, list[int]] = {}
+        for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
+            x, there = _shingles(h[a:b], weight[a:b])
+            self.shingles.append(x)
+            self.total.append(there)
+            for size in sizes_for(h[a:b], least):
+                wanted.setdefault(size, []).append(i)
+        item, place = w.row_of_word(), w.place()
+        found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {size: [] for size in wanted}
+        member = {size: np.isin(np.arange(w.rows), own) for size, own in wanted.items()}
+        for size, lo, prints in window_prints(h, weight, sorted(wanted)):
+            at = slice(lo, lo + len(prints))
+            own = member[size][item[at]] & (place[at] + size <= w.counts[item[at]])
+            found[size].append((prints[own], item[at][own]))
         self.tables = {}
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32) * weight.astype(np.int32)[:, None] if len(h) else np.zeros((0, 64), np.int32)
-        sums = np.vstack([np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)])
-        total = np.append(0, np.cumsum(weight))
-        for size, rows in entries.items():
-            at, item, offset = (np.array(c) for c in zip(*rows))
-            prints = simhash(sums[at + size] - sums[at], total[at + size] - total[at])
+        for size, parts in found.items():
+            prints, of = (np.concatenate(c) for c in zip(*parts))
+            order = np.lexsort((of, prints))
+            order = order[groups(prints[order], of[order])[0]]
+            prints, of = prints[order], of[order].astype(np.int32)
             blocks = []
             for b in range(RADIUS + 1):
                 key = (prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)
-                order = np.argsort(key, kind="stable")
+                order = np.argsort(key, kind="stable").astype(np.int32)
                 blocks.append((order, np.searchsorted(key[order], np.arange(65537, dtype=np.uint64))))
-            self.tables[size] = (prints, item, offset, blocks)
+            self.tables[size] = (prints, of, blocks)
 
     def near(self, size: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(position in prints, entry of the size's table) of all fingerprints within RADIUS bits."""
-        own, _, _, blocks = self.tables[size]
+        own, _, blocks = self.tables[size]
         found = []
         for b, (order, first) in enumerate(blocks):
             key = ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
@@ -167,15 +161,15 @@ class Index:
         return both[0], both[1]
 
 
-def _shingles(h: np.ndarray, weight: np.ndarray, a: int, b: int, size: int = 5) -> dict[int, int]:
-    """Distinct shingles of words a..b with their weights."""
-    n = b - a
-    if n <= 0:
-        return {}
+def _shingles(h: np.ndarray, weight: np.ndarray, size: int = 5) -> tuple[np.ndarray, int]:
+    """Distinct shingles of some words, ascending, and the sum of their weights."""
+    n = len(h)
+    if not n:
+        return np.zeros(0, np.uint64), 0
     size = min(size, n)
-    hashes = windows(h[a:b], np.arange(n - size + 1), size)
-    sums = np.append(0, np.cumsum(weight[a:b]))
-    return dict(zip(hashes.tolist(), (sums[size:] - sums[: n - size + 1]).tolist()))
+    x, first = np.unique(windows(h, np.arange(n - size + 1), size), return_index=True)
+    sums = np.append(0, np.cumsum(weight))
+    return x, int((sums[first + size] - sums[first]).sum())
 
 
 def _places(h: np.ndarray, weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,20 +221,11 @@ def matches(part: pa.RecordBatch, index: Index, least: float) -> Iterator[tuple]
         return
     h, weight, place, row = w.hashes(lower=True), weights(w), w.place(), w.row_of_word()
     pairs: set[tuple[int, int]] = set()
-    for seeds in index.seeds:
-        at = np.flatnonzero(place + seeds.size <= w.counts[row])
-        pos, item = seeds.find(windows(h, at, seeds.size))
-        pairs.update(zip(row[at[pos]].tolist(), item.tolist()))
-    if index.tables:
-        at = np.flatnonzero((place % STRIDE == 0) & (place + STRIDE <= w.counts[row]))
-        sums, total = block_sums(h, weight, at, STRIDE)
-    for size in index.tables:
-        k = np.flatnonzero(place[at] + size <= w.counts[row[at]])
-        if not len(k):
-            continue
-        step = size // STRIDE
-        pos, entry = index.near(size, simhash(sums[k + step] - sums[k], total[k + step] - total[k]))
-        pairs.update(zip(row[at[k[pos]]].tolist(), index.tables[size][1][entry].tolist()))
+    for size, lo, prints in window_prints(h, weight, sorted(index.tables)):
+        own = np.flatnonzero(place[lo : lo + len(prints)] + size <= w.counts[row[lo : lo + len(prints)]])
+        pos, entry = index.near(size, prints[own])
+        if len(pos):
+            pairs.update(zip(row[lo + own[pos]].tolist(), index.tables[size][1][entry].tolist()))
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     last, held = None, {}
     for r, item in sorted(pairs):
