@@ -4,14 +4,20 @@ Vectors are dealt to shards of bounded size by a hash of their id.  Each shard
 builds a hierarchical navigable small-world graph over its distinct vectors
 (equal vectors are one node with a list of ids, so a very frequent vector costs
 one node a shard and loses no id) and keeps it as flat neighbour arrays in one
-row.  Queries go in blocks to every shard; a block walks a shard's graph in
-lock step, and the shards' lists are merged by distance, then id.
+row.  Query rows are packed into blocks; blocks are broadcast, a bounded number of
+bytes at a time, to the shards, where a block walks the graph in lock step.  Each
+shard's list is cut to what can win before it moves, and the lists are merged by
+distance, then id.
 
 Every vector is indexed.  Distances in results are exact, in double precision,
 on the original vectors.  Defined results: vectors that are null, empty, zero,
-of another length than most in their shard's first, or with null or non-finite
-components take no part, as query or candidate.  Rows that repeat an id are
-candidates each for itself, but never for a query of their own id.
+or with null or non-finite components take no part, as query or candidate.
+Vectors of different lengths are in shards of their own and are no candidates of
+each other.  Every query row gets results of its own; its candidates are all rows
+but itself, so another row with its id, or its vector, is one.  Ties go to the
+smaller vec_id, and a tie is settled over all equally distant nodes that the walk
+has found.  Where squares of components would leave the range of doubles, shards
+are kept apart by magnitude and distances are worked out in scaled numbers.
 """
 
 from __future__ import annotations
@@ -24,13 +30,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.shared import shared_checkpoint
+from .dealing import release
 
 #: Links of a node on the ground level and above, and the beams' widths.
 GROUND, UPPER = 32, 16
 BUILD_BEAM, SEARCH_BEAM = 64, 96
 BATCH = 256
-SHARD_ROWS = 4096
-QUERY_BLOCK = 4096
+#: Vectors of a shard: the most, and the least worth a graph of its own where cores would idle.
+SHARD_ROWS, LEAST_ROWS = 65536, 4096
+#: Bytes of query vectors in a block, which is broadcast.
+BLOCK_BYTES = 32 << 20
+#: Powers of two of the largest component that share a shard; within twice that, squares are in range.
+MAGNITUDES = 400
 
 
 def _distances(x: np.ndarray, queries: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -116,6 +127,31 @@ class Graph:
             batch = order[done : done + max(1, min(BATCH, done))]
             self._insert(batch, height[batch], done)
             done += len(batch)
+        if n:
+            self._reach()
+
+    def _reach(self) -> None:
+        """Gives nodes that no walk on the ground level comes to a link from one of their own neighbours, in columns of their own."""
+        while True:
+            links = self.levels[0]
+            seen = np.zeros(len(self.x), bool)
+            seen[self.entry] = True
+            front = np.array([self.entry])
+            while len(front):
+                near = np.unique(links[front])
+                front = near[(near >= 0) & ~seen[np.maximum(near, 0)]]
+                seen[front] = True
+            lost = np.flatnonzero(~seen)
+            if not len(lost):
+                return
+            near = links[lost]
+            known = (near >= 0) & seen[np.maximum(near, 0)]
+            source = np.where(known.any(axis=1), near[np.arange(len(lost)), known.argmax(axis=1)], self.entry)
+            # one new link a source and round
+            source, one = np.unique(source, return_index=True)
+            more = np.full((len(links), 1), -1, links.dtype)
+            more[source, 0] = lost[one]
+            self.levels[0] = np.concatenate([links, more], axis=1)
 
     def _insert(self, nodes: np.ndarray, height: np.ndarray, before: int) -> None:
         if not before:
@@ -158,7 +194,9 @@ class Graph:
             links[t] = _diverse(self.x, t, ids, d, links.shape[1])
 
     def search(self, queries: np.ndarray, width: int) -> np.ndarray:
-        """Ids of the width nearest nodes found for each query; -1 fills up."""
+        """Ids of the width nearest nodes found for each query; -1 fills up.  A beam as wide as the graph holds all of it."""
+        if len(self.x) <= width:
+            return np.tile(np.arange(len(self.x)), (len(queries), 1))
         entry = np.full(len(queries), self.entry)
         for level in range(len(self.levels) - 1, 0, -1):
             ids, dist = _beam(self.x, self.levels[level], queries, entry, 4)
@@ -166,7 +204,12 @@ class Graph:
         return _beam(self.x, self.levels[0], queries, entry, width)[0]
 
 
-INDEX = "shard int, dim int, entry int, vectors binary, first binary, ids binary, links array<binary>"
+INDEX = "shard int, dim int, magnitude int, entry int, vectors binary, first binary, ids binary, links array<binary>"
+
+
+def _scaled(x: np.ndarray, magnitude: int) -> np.ndarray:
+    """Components of a magnitude taken, by a power of two, to where their squares are in range."""
+    return np.ldexp(x, -MAGNITUDES * magnitude) if magnitude else x
 
 
 def _build(key: tuple, table: pa.Table) -> pa.Table:
@@ -176,42 +219,65 @@ def _build(key: tuple, table: pa.Table) -> pa.Table:
     nodes, member = np.unique(x, axis=0, return_inverse=True)
     order = np.lexsort((ids, member.ravel()))
     first = np.searchsorted(member.ravel()[order], np.arange(len(nodes) + 1))
-    g = Graph(nodes)
+    magnitude = key[2].as_py()
+    g = Graph(_scaled(nodes, magnitude))
     return pa.table(
-        [pa.array([key[0].as_py()], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([g.entry], pa.int32()), pa.array([nodes.tobytes()], pa.binary()), pa.array([first.astype(np.int64).tobytes()], pa.binary()), pa.array([ids[order].astype(np.int64).tobytes()], pa.binary()), pa.array([[a.tobytes() for a in g.levels]], pa.list_(pa.binary()))],
-        names=["shard", "dim", "entry", "vectors", "first", "ids", "links"],
+        [pa.array([key[0].as_py()], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([magnitude], pa.int32()), pa.array([g.entry], pa.int32()), pa.array([nodes.tobytes()], pa.binary()), pa.array([first.astype(np.int64).tobytes()], pa.binary()), pa.array([ids[order].astype(np.int64).tobytes()], pa.binary()), pa.array([[a.tobytes() for a in g.levels]], pa.list_(pa.binary()))],
+        names=["shard", "dim", "magnitude", "entry", "vectors", "first", "ids", "links"],
     )
 
 
+QUERIES = "block int, dim int, magnitude int, rows binary, own binary, points binary"
+
+
+def _packed(key: tuple, table: pa.Table) -> pa.Table:
+    """A block of query rows, as one row."""
+    block, dim, magnitude = (k.as_py() for k in key)
+    rows, own = (table.column(c).to_numpy().astype(np.int64).tobytes() for c in ("row", "vec_id"))
+    points = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).tobytes()
+    return pa.table([pa.array([v], t) for v, t in ((block, pa.int32()), (dim, pa.int32()), (magnitude, pa.int32()), (rows, pa.binary()), (own, pa.binary()), (points, pa.binary()))], names=["block", "dim", "magnitude", "rows", "own", "points"])
+
+
+FOUND = "row long, query_id long, vec_id long, score double"
+
+
 def _search(k: int):
-    def run(key: tuple, index: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[], [], []]
-        if index.num_rows and queries.num_rows:
-            r = index.slice(0, 1).to_pylist()[0]
-            g = Graph.__new__(Graph)
-            g.x, g.entry = np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dim"]), r["entry"]
-            g.levels = [np.frombuffer(b, np.int32).reshape(len(g.x), -1) for b in r["links"]]
-            first, ids = np.frombuffer(r["first"], np.int64), np.frombuffer(r["ids"], np.int64)
-            own = queries.column("vec_id").to_numpy()
-            vectors = queries.column("v").combine_chunks()
-            same = np.array([len(v) == r["dim"] for v in vectors])
-            own = own[same]
-            q = vectors.filter(pa.array(same)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-            for lo in range(0, len(own), BATCH):
-                found = g.search(q[lo : lo + BATCH], max(SEARCH_BEAM, 4 * k))
-                for i, nodes in enumerate(found):
-                    nodes = nodes[nodes >= 0]
-                    d = np.sqrt(((g.x[nodes] - q[lo + i]) ** 2).sum(axis=1))
-                    order = np.argsort(d, kind="stable")[: k + 1]
-                    # a node's k + 1 smallest ids are enough: k results beside the query itself
-                    each = [ids[first[m] : first[m + 1]] for m in nodes[order]]
-                    each = [e[e != own[lo + i]][:k] for e in each]
-                    got, dist = np.concatenate(each) if each else ids[:0], np.repeat(d[order], [len(e) for e in each])
-                    best = np.lexsort((got, dist))[:k]
-                    for c, v in zip(out, (np.full(len(best), own[lo + i]), got[best], dist[best])):
-                        c.append(v)
-        cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
+    """Each (shard, block of queries): the queries' k nearest found in the shard."""
+
+    def one(r: dict) -> Iterator[pa.RecordBatch]:
+        nodes = np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dim"])
+        magnitude = max(r["magnitude"], r["magnitude_q"])
+        g = Graph.__new__(Graph)
+        g.x, g.entry = _scaled(nodes, magnitude), r["entry"]
+        g.levels = [np.frombuffer(b, np.int32).reshape(len(nodes), -1) for b in r["links"]]
+        first, ids = np.frombuffer(r["first"], np.int64), np.frombuffer(r["ids"], np.int64)
+        rows, own = np.frombuffer(r["rows"], np.int64), np.frombuffer(r["own"], np.int64)
+        points = np.frombuffer(r["points"], np.float64).reshape(len(rows), -1)
+        q = _scaled(points, magnitude)
+        for lo in range(0, len(rows), BATCH):
+            out: list[list[np.ndarray]] = [[], [], [], []]
+            for i, near in enumerate(g.search(q[lo : lo + BATCH], max(SEARCH_BEAM, 4 * k)), lo):
+                near = near[near >= 0]
+                d = _scaled(np.sqrt(((g.x[near] - q[i]) ** 2).sum(axis=1)), -magnitude)
+                # by distance, then smallest id: no later node can have one of the k + 1 best
+                near, d = (c[np.lexsort((ids[first[near]], d))[: k + 1]] for c in (near, d))
+                each = [ids[first[m] : first[m + 1]][: k + 2] for m in near]
+                for j, e in enumerate(each):
+                    mine = np.flatnonzero(e == own[i])
+                    if len(mine) and (nodes[near[j]] == points[i]).all():  # the row itself, once
+                        each[j] = np.delete(e, mine[0])
+                got, dist = np.concatenate(each), np.repeat(d, [len(e) for e in each])
+                best = np.lexsort((got, dist))[:k]
+                for c, v in zip(out, (np.full(len(best), rows[i]), np.full(len(best), own[i]), got[best], dist[best])):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["row", "query_id", "vec_id", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = batch.slice(i, 1).to_pylist()[0]
+                yield from one(r)
+        release()
 
     return run
 
@@ -224,19 +290,30 @@ def sound_vectors(table: DataFrame, column: str = "embedding") -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda e: e != 0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The k nearest found of each query: query_id, rank, vec_id, score (Euclidean distance).
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, shard_rows: int | None = None) -> DataFrame:
+    """The k nearest found of each query row: row (its number), query_id, rank, vec_id, score (Euclidean distance).
 
-    Both sides: vec_id long, v array<double>.
+    Both sides: vec_id long, v array<double>.  Queries are rows of vectors.
     """
-    n = vectors.count()
-    shards, blocks = max(1, math.ceil(n / shard_rows)), max(1, math.ceil(queries.count() / QUERY_BLOCK))
-    # vectors of another length than their shard's go to a shard of their own kind
-    dealt = vectors.withColumn("shard", (F.pmod(F.xxhash64("vec_id"), F.lit(shards)) + F.size("v") * F.lit(shards)).cast("int"))
-    index = shared_checkpoint(dealt.groupBy("shard").applyInArrow(_build, INDEX))
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sent = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    sent = sent.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", (F.col("shard") + F.size("v") * F.lit(shards)).cast("int"))
-    found = index.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInArrow(_search(k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    n, cores = vectors.count(), spark.sparkContext.defaultParallelism
+    shards = math.ceil(n / shard_rows) if shard_rows else max(math.ceil(n / SHARD_ROWS), min(math.ceil(n / LEAST_ROWS), cores))
+    shards = max(1, shards)
+    largest = F.array_max(F.transform("v", F.abs))
+    magnitude = F.round(F.log2(largest) / F.lit(MAGNITUDES)).cast("int").alias("magnitude")
+    dealt = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.size("v").alias("dim"), magnitude)
+    # a shard a partition: graphs are the work
+    index = shared_checkpoint(dealt.repartition(shards, "shard", "dim", "magnitude").groupBy("shard", "dim", "magnitude").applyInArrow(_build, INDEX))
+    # query rows are numbered once and written, so the numbers stay
+    asked = shared_checkpoint(queries.select("vec_id", "v", F.size("v").alias("dim"), magnitude, F.monotonically_increasing_id().alias("row")))
+    size = asked.agg(F.sum(F.lit(8) * F.col("dim"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    packed = shared_checkpoint(asked.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int")).groupBy("block", "dim", "magnitude").applyInArrow(_packed, QUERIES))
+    names = ["shard", "dim", "magnitude", "entry", "vectors", "first", "ids", "links", "magnitude_q", "rows", "own", "points"]
+    found = None
+    for at in range(blocks):
+        part = F.broadcast(packed.where(F.col("block") == at).select("dim", F.col("magnitude").alias("magnitude_q"), "rows", "own", "points"))
+        some = index.join(part, "dim").select(*names).mapInArrow(_search(k), FOUND)
+        found = some if found is None else found.unionByName(some)
+    order = Window.partitionBy("row").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("row", "query_id", "rank", "vec_id", "score")
