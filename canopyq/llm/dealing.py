@@ -10,10 +10,11 @@ recovers as usual.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 BLOCK = "bucket int, payload binary"
@@ -50,20 +51,35 @@ def parts(df: DataFrame, each_mb: float = 8) -> int:
 
 
 def bucket_of(column: str, buckets: int) -> Column:
-    """Bucket of an id column, 0 for null; buckets_of() gives the same."""
-    return F.coalesce(F.pmod(F.col(column), F.lit(buckets)), F.lit(0)).cast("int")
+    """Bucket of an id column; buckets_of() gives the same.  Nulls, however many, are dealt to all buckets in turn."""
+    return F.coalesce(F.pmod(F.col(column), F.lit(buckets)), F.pmod(F.monotonically_increasing_id(), F.lit(buckets))).cast("int")
 
 
 def buckets_of(ids: np.ndarray, buckets: int) -> np.ndarray:
     return (ids % buckets).astype(np.int32)
 
 
+def blocks(keys: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows as one block a bucket."""
+    order = np.argsort(keys, kind="stable")
+    keys, cols = keys[order], [c[order] for c in cols]
+    cut = np.flatnonzero(np.diff(keys)) + 1
+    lows, highs = [0, *cut.tolist()], [*cut.tolist(), len(keys)]
+    data = [b"".join(c[lo:hi].tobytes() for c in cols) for lo, hi in zip(lows, highs)]
+    return pa.RecordBatch.from_arrays([pa.array(keys[lows], pa.int32()), pa.array(data, pa.binary())], schema=BLOCK_SCHEMA)
+
+
 class Outbox:
-    """Collects rows of the given fields and hands them out as blocks, one per bucket."""
+    """Collects rows of the given fields and hands them out as blocks, one per bucket.
+
+    combine: what a flush makes of its keys and columns, as several such lists;
+    the place to send less of a frequent key.
+    """
 
-    def __init__(self, fields: list[tuple[str, str]], buckets: int, limit: int = 1 << 18):
+    def __init__(self, fields: list[tuple[str, str]], buckets: int, limit: int = 1 << 18, combine: Callable | None = None):
         # some rows a block even with very many buckets, as far as 4 million rows go
         self.fields, self.buckets, self.limit = fields, buckets, max(limit, min(8 * buckets, 1 << 22))
+        self.combine = combine or (lambda keys, cols: [(keys, cols)])
         self.keys: list[np.ndarray] = []
         self.cols: list[list[np.ndarray]] = [[] for _ in fields]
         self.held = 0
@@ -80,15 +96,21 @@ class Outbox:
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
-        keys = np.concatenate(self.keys)
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        cols = [np.concatenate(c)[order] for c in self.cols]
+        keys, cols = np.concatenate(self.keys), [np.concatenate(c) for c in self.cols]
         self.keys, self.cols, self.held = [], [[] for _ in self.fields], 0
-        cut = np.flatnonzero(np.diff(keys)) + 1
-        lows, highs = [0, *cut.tolist()], [*cut.tolist(), len(keys)]
-        data = [b"".join(c[lo:hi].tobytes() for c in cols) for lo, hi in zip(lows, highs)]
-        yield pa.RecordBatch.from_arrays([pa.array(keys[lows], pa.int32()), pa.array(data, pa.binary())], schema=BLOCK_SCHEMA)
+        for k, c in self.combine(keys, cols):
+            if len(k):
+                yield blocks(k, c)
+
+
+def aside(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of buckets from 0 on; those of bucket -1 - b, which are done here, are put into passed as blocks of b."""
+    for batch in batches:
+        below = pc.less(batch.column(0), 0)
+        direct = batch.filter(below)
+        if direct.num_rows:
+            passed.append(pa.RecordBatch.from_arrays([pa.array(-1 - direct.column(0).to_numpy(), pa.int32()), direct.column(1)], schema=BLOCK_SCHEMA))
+        yield batch.filter(pc.invert(below))
 
 
 def release() -> None:

@@ -7,7 +7,8 @@ a range streams through two Bloom filters, one for keys seen once and one for
 keys seen twice.  Only the ranges' suspects (keys in the second filter) are
 shuffled with their documents, counted exactly, and given the document that
 keeps them.  A frequent key sends one entry per map flush, however many
-documents hold it.
+documents hold it.  The filters stand by hash range, behind the first exchange: a
+pair of filters for all keys would have to grow with them on every executor.
 
 Defined results: a null or empty text is one empty line.  Rows that repeat a
 doc_id are one document: they count once and keep or lose a key together.  Rows
@@ -25,7 +26,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .dealing import BLOCK, Outbox, bucket_of, by_bucket, deal, groups, join_hot, opened, parts, plan_bytes, release, small_batches
+from ..sources.shared import shared_checkpoint
+from .dealing import BLOCK, Outbox, bucket_of, by_bucket, deal, groups, join_hot, opened, parts, release, small_batches
 from .substring_dedup import _ids
 from .vectext import chunks, mix
 
@@ -216,11 +218,9 @@ def _loss_blocks(docs: DataFrame, n: int, least_chars: int, least_docs: int) ->
     """(document, key) of every line to drop, as blocks by the document's bucket."""
     entries = deal(docs.mapInArrow(_entries(least_chars, n), BLOCK), n)
     suspects = entries.mapInArrow(_suspects, "h long, g long, doc long")
-    held = suspects.distinct()
+    held = shared_checkpoint(suspects.distinct())
     frequent = held.groupBy("h", "g").agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper")).where(F.col("n_docs") >= least_docs)
-    # a line of least_chars or more takes as many bytes, so the texts' size bounds the number of lines
-    lines = max(plan_bytes(docs), 1) * 8 // max(least_chars, 1)
-    losses = join_hot(held, frequent, ["h", "g"], "n_docs", lines).where(F.col("doc") != F.col("keeper")).select("doc", "h", "g")
+    losses = join_hot(held, frequent, ["h", "g"], "n_docs", held.count()).where(F.col("doc") != F.col("keeper")).select("doc", "h", "g")
     return losses.mapInArrow(_losses(n), BLOCK).repartition(n, "bucket")
 
 

@@ -4,12 +4,15 @@ Two texts that share at least ``window`` words share, whatever their
 alignment, an anchor: a short word window whose position modulo a period lies
 in a difference cover in both texts.  So only windows at cover positions are
 hashed and matched (about a fifth of all positions); every shared anchor then
-extends to the full windows around it, which are matched by a 128-bit hash.
+extends to the full windows around it, which are matched by a 96-bit hash.
 
 Stages: anchors -> shared anchors -> full windows that hold one -> the
 smallest doc_id of each window -> covered words.  Every match is decided by
 hash groups in a bucket (sorting, no pairs), and the answers return to the
-documents' buckets as blocks; a document's text moves once.
+documents' buckets as blocks; a document's text moves once.  A passage that very
+many documents share is settled where it is found, as far as that goes: of a
+flush's equal anchors two documents' travel, of a bucket's equal windows the
+smallest document's, and the others' answers go straight back.
 
 Defined results: a null or empty text has no words and none are removed.  Rows
 with a null doc_id keep all words and take no part.  Rows that repeat a doc_id
@@ -24,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .dealing import BLOCK, Outbox, bucket_of, buckets_of, by_bucket, deal, groups, opened, parts, small_batches
+from .dealing import BLOCK, Outbox, aside, bucket_of, buckets_of, by_bucket, deal, groups, opened, parts, small_batches
 from .vectext import BASE, BASE2, Words, chunks, windows
 
 #: Period and perfect difference cover modulo it: every residue is a difference of two members.
@@ -49,8 +52,18 @@ def _anchors(window: int, buckets: int):
     in_cover = np.zeros(PERIOD, bool)
     in_cover[list(COVER)] = True
 
+    def combine(keys: np.ndarray, cols: list[np.ndarray]) -> list[tuple]:
+        h, doc, mark, pos = cols
+        order = np.lexsort((doc, h))
+        keys, (h, doc, mark, pos) = keys[order], (c[order] for c in (h, doc, mark, pos))
+        at, n = groups(h)
+        known = np.repeat(doc[at] < doc[at + n - 1], n)  # two documents of this flush: shared, whatever others have
+        travels = ~known
+        travels[at] = travels[at + n - 1] = True
+        return [(-1 - buckets_of(doc[known], buckets), [doc[known], mark[known], pos[known]]), (keys[travels], [c[travels] for c in (h, doc, mark, pos)])]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Outbox(ANCHOR, buckets)
+        out = Outbox(ANCHOR, buckets, combine=combine)
         for batch in batches:
             for part in chunks(batch):
                 w = Words(part.column(1))
@@ -69,14 +82,17 @@ def _shared_anchors(buckets: int):
     """Places of anchors that two documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Outbox(SPOT, buckets)
-        for x in by_bucket(batches, ANCHOR):
+        out, passed = Outbox(SPOT, buckets), []
+        for x in by_bucket(aside(batches, passed), ANCHOR):
+            yield from passed
+            passed.clear()
             order = np.argsort(x["h"], kind="stable")
             h, doc, mark, pos = (x[k][order] for k in ("h", "doc", "mark", "pos"))
             at, n = groups(h)
             low, high = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
             keep = np.repeat(low < high, n)
             yield from out.add(buckets_of(doc[keep], buckets), doc[keep], mark[keep], pos[keep])
+        yield from passed
         yield from out.flush()
 
     return run
@@ -97,9 +113,17 @@ def _full_windows(window: int, buckets: int):
     """Windows that hold a shared anchor, of one bucket of documents."""
     short = window - PERIOD + 1
 
+    def combine(keys: np.ndarray, cols: list[np.ndarray]) -> list[tuple]:
+        h, g, doc, mark, pos = cols
+        order = np.lexsort((doc, g, h))
+        keys, (h, g, doc, mark, pos) = keys[order], (c[order] for c in (h, g, doc, mark, pos))
+        at, n = groups(h, g)
+        first = doc == np.repeat(doc[at], n)
+        return [(-1 - buckets_of(doc[~first], buckets), [c[~first] for c in (doc, mark, pos)]), (keys[first], [c[first] for c in (h, g, doc, mark, pos)])]
+
     def run(docs: pa.Table, blocks: pa.Table) -> pa.Table:
         spots = opened(list(blocks.column("payload").combine_chunks()) if blocks.num_rows else [], SPOT)
-        out = Outbox(WINDOW, buckets, 1 << 40)
+        out = Outbox(WINDOW, buckets, 1 << 40, combine)
         if len(spots["doc"]) and docs.num_rows:
             for batch in docs.combine_chunks().to_batches():
                 for part in chunks(batch):
@@ -131,13 +155,16 @@ def _covered(buckets: int):
     """Places of windows that a smaller document has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Outbox(SPOT, buckets)
-        for x in by_bucket(batches, WINDOW):
+        out, passed = Outbox(SPOT, buckets), []
+        for x in by_bucket(aside(batches, passed), WINDOW):
+            yield from passed
+            passed.clear()
             order = np.lexsort((x["g"], x["h"]))
             h, g, doc, mark, pos = (x[k][order] for k in ("h", "g", "doc", "mark", "pos"))
             at, n = groups(h, g)
             keep = doc > np.repeat(np.minimum.reduceat(doc, at), n)
             yield from out.add(buckets_of(doc[keep], buckets), doc[keep], mark[keep], pos[keep])
+        yield from passed
         yield from out.flush()
 
     return run
