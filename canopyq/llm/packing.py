@@ -12,8 +12,8 @@ however finely a table is partitioned.
 
 Everything happens where the documents are read: no shuffle, memory bounded by
 the pool.  Ids come from the byte-level BPE vocabulary file; a rank encoder
-over the same vocabulary does the bulk, and the first documents of every
-partition are encoded by both and compared.
+over the same vocabulary does the bulk, if it agrees on a fixed text that has
+characters of all kinds.
 
 Defined results: a null text counts as empty (one end id).  Rows that repeat a
 doc_id are packed each for itself.  An empty table gives no pieces.
@@ -45,11 +45,20 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def probe_text() -> str:
+    """A fixed text with characters of all kinds, alone and in runs, and blanks of all lengths."""
+    marks = "'s 't 're 've 'm 'll 'd 'S don't I'll ... !!! -- #@ \t\t\n\n \r\n  x   y    z\u00a0\u2003 \u3000 "
+    wide = [chr(c) for c in range(0x20, 0x2FFFF, 61) if not 0xD800 <= c < 0xE000]
+    runs = [f"{chr(c)}{chr(c + 1)}a{i}{chr(c) * 3}" + " " * (i % 5) for i, c in enumerate(range(0x21, 0x1F900, 307)) if not 0xD700 <= c < 0xE000]
+    return marks + "".join(wide) + marks + " ".join(wide[:999]) + "".join(runs) + "0123456789 " * 9 + "naïve Straße Ærøskøbing Ελλάδα Россия 中文字 한국어 हिन्दी العربية"
+
+
 class Encoder:
-    """Ids as the tokenizers library gives them for a byte-level BPE file."""
+    """Ids as the tokenizers library gives them for a byte-level BPE file.
 
-    #: Documents a worker encodes both ways before it trusts the rank encoder.
-    PROBES = 8
+    The rank encoder is used if the file asks for nothing but byte-level BPE with
+    merges in the order of their ids, and both give the same ids of probe_text().
+    """
 
     def __init__(self, path: str):
         import tiktoken
@@ -62,21 +71,23 @@ class Encoder:
         symbols = byte_symbols()
         added = {x["content"] for x in spec.get("added_tokens", [])}
         self.special = [x for x in added if x]
-        ranks = {bytes(symbols[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
+        vocab, model = spec["model"]["vocab"], spec["model"]
+        ranks = {bytes(symbols[c] for c in t): i for t, i in vocab.items() if t not in added}
         #: Fixed value: the pre-tokenisation pattern of this byte-level format.
         pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.probes = 0
+        merged = [vocab.get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model["merges"]]
+        plain = model["type"] == "BPE" and not model.get("dropout") and not spec.get("normalizer") and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and merged == sorted(merged)
+        self.fast = None
+        if plain:
+            fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            probe = probe_text()
+            if fast.encode_ordinary(probe) == self.full.encode(probe, add_special_tokens=False).ids:
+                self.fast = fast
 
     def encode(self, text: str) -> np.ndarray:
         if self.fast is None or any(s in text for s in self.special):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        ids = self.fast.encode_ordinary(text)
-        if self.probes < self.PROBES:
-            self.probes += 1
-            if (exact := self.full.encode(text, add_special_tokens=False).ids) != ids:
-                self.fast, ids = None, exact
-        return np.array(ids, dtype=np.uint32)
+        return np.array(self.fast.encode_ordinary(text), dtype=np.uint32)
 
 
 class CapacityTree:
