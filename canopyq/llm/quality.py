@@ -6,13 +6,17 @@ towards the pooled one and that one's diagonal.  The score is the posterior of
 class 1 from the difference of Mahalanobis log densities; the Cholesky factors
 are computed once and cached in the model.
 
-Learning sees only sums (count, sum of x, sum of x xT per class), which are
-added up over all labelled rows; nothing is sampled.
+Learning sees only sums (count, sum of x, sum of x xT per class) over the
+labelled rows: all of them up to MOST_LABELS labels, beyond that those of a fixed
+share of the ids, by hash.  So the labels fit a broadcast, and only labelled
+texts are looked at.  Statistics are taken to whole multiples of 1 / UNIT before
+they are summed, which makes the sums exact: a model, and so a score, does not
+hang on the order or the partitions of the rows.
 
 Defined results: a null or empty text has the statistics of no words and gets
 a score like any other.  Rows without a label (or with a null id or label)
-teach nothing.  Rows that repeat a doc_id are scored each for itself; repeated
-labels count as often as they come.  With no row of a class the prior decides.
+teach nothing.  Rows that repeat a doc_id are scored, and teach, each for itself;
+a label that is repeated counts once.  With no row of a class the prior decides.
 """
 
 from __future__ import annotations
@@ -91,15 +95,21 @@ def statistics(texts: pa.Array) -> np.ndarray:
 
 @dataclass
 class Gaussian:
-    """A class's log prior, mean, and cached Cholesky factor of its covariance."""
+    """A class's log prior, mean, and Cholesky factor of its covariance; the factor's inverse is cached."""
 
     log_prior: float
     mean: np.ndarray
     factor: np.ndarray
+    whiten: np.ndarray = field(init=False)
+    constant: float = field(init=False)
+
+    def __post_init__(self):
+        self.whiten = np.linalg.inv(self.factor).T
+        self.constant = self.log_prior - float(np.log(np.diag(self.factor)).sum())
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
-        z = np.linalg.solve(self.factor, (x - self.mean).T)
-        return self.log_prior - 0.5 * (z * z).sum(axis=0) - np.log(np.diag(self.factor)).sum()
+        z = (x - self.mean) @ self.whiten
+        return self.constant - 0.5 * (z * z).sum(axis=1)
 
 
 @dataclass
@@ -119,36 +129,38 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(d, -700, 700)))
 
 
-def _with_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch):
-            x = statistics(part.column(1))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "x"])
+#: Labels up to which all are learned from.
+MOST_LABELS = 100_000
+#: Learning takes statistics to multiples of 1 / UNIT, and to SPAN at most: whole numbers under 2**17, so sums of products stay exact up to 2**29 rows.
+UNIT, SPAN = 4096, 31
 
 
 def _class_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, place, value): the parts of count, sum and sum of products of a partition."""
-    k = len(NAMES)
-    total: dict[int, np.ndarray] = {}
+    """(class, place, value): the parts of count, sum and sum of products of a partition's (y, text), in units."""
+    total = {c: np.zeros((len(NAMES) + 1) ** 2, np.int64) for c in (0, 1)}
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        y = batch.column(0).to_numpy(zero_copy_only=False)
-        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
-        for c in (0, 1):
-            z = np.hstack([np.ones((int((y == c).sum()), 1)), x[y == c]])
-            total[c] = total.get(c, 0) + (z.T @ z).ravel()
+        for part in chunks(batch):
+            y = part.column(0).to_numpy(zero_copy_only=False)
+            x = np.rint(np.clip(statistics(part.column(1)), -SPAN, SPAN) * UNIT)
+            for c in (0, 1):
+                own = x[y == c]
+                for lo in range(0, len(own), 1 << 12):
+                    z = np.hstack([np.ones((len(own[lo : lo + (1 << 12)]), 1)), own[lo : lo + (1 << 12)]])
+                    total[c] += (z.T @ z).ravel().astype(np.int64)  # whole numbers under 2**46: exact in any order
     for c, v in total.items():
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), c), pa.int32()), pa.array(np.arange(len(v)), pa.int32()), pa.array(v)], names=["y", "place", "value"])
 
 
 def fit_quality(labelled: DataFrame, shrink: float = 0.15, ridge: float = 0.05) -> QualityModel:
-    """Learn from rows of x (statistics) and y (0 or 1)."""
+    """Learn from rows of y (0 or 1) and text."""
     k = len(NAMES)
-    rows = labelled.select("y", "x").mapInArrow(_class_sums, "y int, place int, value double").groupBy("y", "place").agg(F.sum("value").alias("value")).collect()
+    rows = labelled.select("y", "text").mapInArrow(_class_sums, "y int, place int, value long").groupBy("y", "place").agg(F.sum("value").alias("value")).collect()
+    unit = np.full((k + 1, k + 1), 1 / UNIT**2)
+    unit[0, 1:] = unit[1:, 0] = 1 / UNIT
+    unit[0, 0] = 1
     moment = {c: np.zeros((k + 1) ** 2) for c in (0, 1)}
     for r in rows:  # (k + 1)**2 sums for each class
-        moment[r["y"]][r["place"]] = r["value"]
+        moment[r["y"]][r["place"]] = r["value"] * unit.ravel()[r["place"]]
     both = (moment[0] + moment[1]).reshape(k + 1, k + 1)
     n = both[0, 0]
     if not n:
@@ -191,11 +203,13 @@ def text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, target: str = "quality") -> QualityModel:
-    """A model from all labelled documents that are not held out; texts stay where they are read."""
-    stats = text_rows(docs).where(~held_out()).mapInArrow(_with_statistics, "doc_id long, x array<double>")
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).where(F.col("y").isin(0, 1))
-    return fit_quality(stats.join(marks, "doc_id"))
+def train_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", most_labels: int = MOST_LABELS) -> QualityModel:
+    """A model from the labelled documents that are not held out; texts stay where they are read."""
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
+    share = -(-marks.count() // most_labels)
+    if share > 1:
+        marks = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    return fit_quality(text_rows(docs).where(~held_out()).join(F.broadcast(marks.distinct()), "doc_id"))
 
 
 def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
