@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, functions as F
 from ..sources.shared import shared_checkpoint
 
 
-def connected(links: DataFrame, jumps: int = 2) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """(node, root) of every node of links (x, y): root is one node of its component.
 
-    Each round every node hooks to its smallest neighbour, pointers jump a few
-    times, and the links between roots become the next, smaller table.  A frequent
-    node costs a partial aggregate, never a list of its neighbours.
+    Each round every node hooks to its smallest neighbour, pointers jump, and the
+    links between roots become the next, smaller table.  A frequent node costs a
+    partial aggregate, never a list of its neighbours; joins stand on written tables,
+    so that Spark can split a frequent key's rows at run time.
     """
     spark = links.sparkSession
     edges = shared_checkpoint(links.where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
@@ -21,10 +22,10 @@ def connected(links: DataFrame, jumps: int = 2) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         hook = both.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("root")).withColumn("root", F.least("node", "root"))
-        for _ in range(jumps):
-            up = hook.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            hook = hook.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
         hook = shared_checkpoint(hook)
+        # only a root that hooks elsewhere moves its nodes
+        up = hook.where(F.col("node") != F.col("root")).select(F.col("node").alias("root"), F.col("root").alias("up"))
+        hook = shared_checkpoint(hook.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         if first:
             labels, first = hook, False
         else:

@@ -50,6 +50,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.shared import shared_checkpoint
 from .components import connected
@@ -478,7 +479,8 @@ def similar_components(docs: DataFrame, percent: int = 75, shingle: int = 5) ->
     """Components of the links with 100 * intersection >= percent * union.
 
     docs: doc_id long, text string.  Returns doc_id, n_shingles, set_id (equal
-    sets share one; null without words) and component_id for each row.
+    sets share one; null without words), root (the same in all of a component;
+    null without words) and component_id for each row.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100: below, partners may be two bands apart")
@@ -504,8 +506,38 @@ def similar_components(docs: DataFrame, percent: int = 75, shingle: int = 5) ->
     rooted = shared_checkpoint(rooted.select("set_id", "root", "smallest", "copies"))
     # a component may hold a third of all sets: large ones by a bounded broadcast
     smallest = shared_checkpoint(rooted.groupBy("root").agg(F.min("smallest").alias("component_id"), F.count("*").alias("members")))
-    named = shared_checkpoint(join_hot(rooted, smallest, ["root"], "members", rooted.count()).select("set_id", "component_id", "copies"))
+    named = shared_checkpoint(join_hot(rooted, smallest, ["root"], "members", rooted.count()).select("set_id", "root", "component_id", "copies"))
     with_words = join_hot(info.where(F.col("set_id").isNotNull()), named, ["set_id"], "copies", info.count())
     without = info.where(F.col("set_id").isNull())
-    columns = ("doc_id", "n_shingles", "set_id", "component_id")
-    return with_words.select(*columns).unionByName(without.withColumn("component_id", F.col("doc_id")).select(*columns))
+    columns = ("doc_id", "n_shingles", "set_id", "root", "component_id")
+    return with_words.select(*columns).unionByName(without.withColumn("component_id", F.col("doc_id")).withColumn("root", F.col("set_id")).select(*columns))
+
+
+def _with_sets(shingle: int, at: int):
+    """Rows with the id of their set behind them, null without words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                s = Sets(part.column(at), shingle)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s.ids.view(np.int64), mask=s.sizes == 0)], names=[*part.schema.names, "_set"])
+
+    return run
+
+
+def keep_one_of_each(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
+    """docs with all their columns, and of each component one document: the smallest doc_id's rows.
+
+    A row without doc_id goes if its component has a named document; of a
+    component without any, one row stays.
+    """
+    members = shared_checkpoint(similar_components(docs, percent, shingle))
+    named, names = docs.where(F.col("doc_id").isNotNull()), docs.columns
+    first = F.max(F.col("doc_id") == F.col("component_id"))
+    gone = members.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(first.alias("first")).where(~F.col("first")).select(F.col("doc_id").alias("_gone"))
+    kept = named.join(gone, named["doc_id"].cast("long") == gone["_gone"], "left_anti").select(*names)
+    schema = StructType([*docs.schema.fields, StructField("_set", LongType())])
+    nameless = docs.where(F.col("doc_id").isNull()).mapInArrow(_with_sets(shingle, names.index("text")), schema)
+    one_set = members.where(F.col("component_id").isNull() & F.col("set_id").isNotNull()).groupBy("root").agg(F.min("set_id").alias("_set")).select("_set")
+    one_row = nameless.join(one_set, "_set", "left_semi").groupBy("_set").agg(F.min_by(F.struct(*names), F.xxhash64("text")).alias("row")).select("row.*")
+    return kept.unionByName(one_row).unionByName(nameless.where(F.col("_set").isNull()).select(*names))

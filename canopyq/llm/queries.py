@@ -6,11 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import decontaminate, hnsw, language_id, line_dedup, ngram_join, packing, quality, secret_scan, substring_dedup, url_rules
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from . import decontaminate, hnsw, language_id, line_dedup, ngram_join, packing, pipeline, quality, secret_scan, substring_dedup, url_rules
+from .parameters import QUALITY_THRESHOLD, table, tokenizer_path
 
 
 def sha(column: str) -> Column:
@@ -19,17 +16,10 @@ def sha(column: str) -> Column:
 
 #: Production parameters of op2: the listed rules, longest first wins.
 LISTED_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-QUALITY_THRESHOLD = 0.3
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def url_rule_set() -> list[url_rules.UrlRule]:
-    return [url_rules.domain_rule(*r) for r in LISTED_RULES] + [url_rules.host_words("block", *w) for w in url_rules.UNWANTED]
+    return [url_rules.domain_rule(*r) for r in LISTED_RULES] + url_rules.own_rules()
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +45,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = hnsw.sound_vectors(table(spark, sf_dir, "embeddings"))
-    return hnsw.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+    return hnsw.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +93,8 @@ FROM d LEFT JOIN lost USING (doc_id)
 
 _HOST = "translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LISTED = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in LISTED_RULES)
-_UNWANTED = "|".join("-".join(w) for w in url_rules.UNWANTED)
+_HOST_WORDS, _ENDINGS = "|".join(url_rules.HOST_WORDS), "|".join(url_rules.FILE_ENDINGS)
+_PLACES = " OR ".join(f"regexp_matches(host || '#' || path, '{p[1]}')" for p in url_rules.PLACES)
 
 SQL["op2_url_filter"] = rf"""
 WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -112,7 +103,7 @@ listed(action, h, p) AS (VALUES {_LISTED}),
 fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(action, length(h || p)) AS action
   FROM parts JOIN listed ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
 SELECT page_id, host, path, rule,
-  coalesce(action, CASE WHEN regexp_matches(host, '(^|[.-])({_UNWANTED})([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(action, CASE WHEN regexp_matches(host, '(^|[.-])({_HOST_WORDS})([.-]|$)') OR regexp_matches(path, '\.({_ENDINGS})$') OR {_PLACES} THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN fits USING (page_id)
 """
 
@@ -141,11 +132,9 @@ FROM d JOIN reach USING (doc_id) LEFT JOIN size USING (doc_id) GROUP BY d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
     own = [f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)]
-    return {f.__name__: f for f in sorted(own, key=lambda f: int(f.__name__[2:].split("_")[0]))} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in sorted(own, key=lambda f: int(f.__name__[2:].split("_")[0]))} | {"pipeline": pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)  # none for the pipeline: corpus_pipeline.ORACLE_SQL is None
+    return dict(SQL)  # none for the pipeline: pipeline.ORACLE_SQL is None
