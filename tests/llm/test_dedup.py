@@ -179,3 +179,24 @@ def test_empty_tables(make_docs):
     docs = make_docs([])
     for df in (substring_dedup.dedup_substrings(docs), line_dedup.dedup_lines(docs), line_dedup.rewrite_lines(docs), ngram_join.similar_components(docs)):
         assert df.count() == 0
+
+
+def test_a_passage_in_half_of_all_documents(spark, make_docs, monkeypatch):
+    """What a frequent passage and null ids cost: no bucket gets over twice the median's rows."""
+    rng = random.Random(21)
+    hot = [f"h{i}" for i in range(80)]
+    pairs = [(i if i % 5 else None, " ".join([f"o{i}x{k}" for k in range(rng.randint(60, 90))] + (hot if i % 2 else []))) for i in range(1500)]
+    docs = make_docs(pairs).repartition(6)
+    assert rows(substring_dedup.dedup_substrings(docs), "doc_id", "n_words", "n_removed", "kept") == brute_substrings(pairs, 50)
+    n, sizes = 9, []
+    for fields, stage in ((substring_dedup.ANCHOR, docs.select("doc_id", "text").mapInArrow(substring_dedup._anchors(50, n), substring_dedup.BLOCK)),):
+        width = sum({"u": int(k[2]), "i": int(k[2])}[k[1]] for _, k in fields)
+        per = {}
+        for r in stage.collect():
+            if r["bucket"] >= 0:
+                per[r["bucket"]] = per.get(r["bucket"], 0) + len(r["payload"]) // width
+        sizes.append(sorted(per.values()))
+    assert all(s[-1] <= 2 * s[len(s) // 2] for s in sizes)
+    dealt = docs.select(substring_dedup.bucket_of("doc_id", n).alias("b")).groupBy("b").count().collect()
+    counts = sorted(r["count"] for r in dealt)
+    assert len(counts) == n and counts[-1] <= 2 * counts[len(counts) // 2]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from canopyq.llm import hnsw, packing, quality, queries
 
+from .conftest import lower
 from .test_dedup import brute_components, brute_lines
 from .test_filters import brute_leaks
 
@@ -119,6 +120,46 @@ def test_nearest_odd(spark):
     assert hnsw.nearest(v.limit(0), v.limit(0), 10).count() == 0
 
 
+def exact(rows, qid, v, k):
+    """All rows but one of this id and vector, by distance, then id."""
+    others = list(rows)
+    others.remove((qid, v))
+    return [(i, d) for d, i in sorted((math.dist(v, w), i) for i, w in others if len(w) == len(v))[:k]]
+
+
+def test_nearest_ties_and_repeats(spark):
+    """Equal distances at the boundary, repeated query rows, rows of one id, other lengths, huge and tiny components."""
+    unit = lambda i, x=1.0: [x if k == i else 0.0 for k in range(64)]
+    rows = [(i, unit(i)) for i in range(1, 64)] + [(0, [0.125] * 64), (200, unit(70 - 7, 2.0)), (200, unit(5, 2.0)), (200, unit(5, 2.0)), (300, unit(5, 2.0)), (400, [1.0, 2.0]), (401, [1.0, 2.5])]
+    rows += [(500, unit(3, 1e200)), (501, unit(3, 1.1e200)), (502, unit(4, 1e200)), (600, unit(3, 1e-200)), (601, unit(3, 3e-200))]
+    v = hnsw.sound_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    asked = [r for r in rows if r[0] % 100 == 0]
+    got = {}
+    for r in hnsw.nearest(v, v.where(F.col("vec_id") % 100 == 0), 10, shard_rows=1000).collect():
+        got.setdefault(r["row"], []).append((r["query_id"], r["rank"], r["vec_id"], r["score"]))
+    assert len(got) == len(asked)
+    lists = sorted((q, [(i, d) for _, _, i, d in sorted(near, key=lambda x: x[1])]) for near in got.values() for q in {near[0][0]})
+    want = sorted((q, exact(rows, q, w, 10)) for q, w in asked)
+    for (q, near), (p, best) in zip(lists, want):
+        assert q == p and [i for i, _ in near] == [i for i, _ in best]
+        assert [d for _, d in near] == pytest.approx([d for _, d in best])
+    assert [i for i, _ in dict(lists)[0]] == [600, 601, *range(1, 9)]
+
+
+@pytest.mark.parametrize("n", [500, 3000, 9000])
+def test_nearest_recall_at_sizes(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 16))
+    v = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, v array<double>")
+    got = hnsw.nearest(v, v.where(F.col("vec_id") % 100 == 0), 10, shard_rows=max(400, n // 3)).collect()
+    hits = 0
+    for q in range(0, n, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    assert hits >= 0.9 * 10 * len(range(0, n, 100))
+
+
 def test_nearest_recall(spark, medium):
     got = queries.op5_nearest(spark, medium).collect()
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{medium}/embeddings.parquet").collect()]
@@ -139,11 +180,15 @@ def test_pipeline(spark, small, tmp_path):
     texts = {d: t for d, t in pairs}
     low = {i: " ".join(t.lower().split()) for i, t in items}
     leaked = {d for d, t in texts.items() if any(f" {x} " in f" {' '.join(t.lower().split())} " for x in low.values())}
-    got = corpus_pipeline.run(spark, small)
-    kept = {r["doc_id"] for r in got.select("doc_id").distinct().collect()}
+    got = corpus_pipeline.run(spark, small).collect()
+    kept = {r["doc_id"] for r in got}
     assert kept <= set(texts) - leaked
     for d in set(texts) - leaked - kept:  # near copies of an item
-        assert brute_leaks([(d, texts[d])], items) or len(texts[d].split()) > 3000
+        assert brute_leaks([(d, texts[d])], items)
+    from tokenizers import Tokenizer
+
+    tokens = Tokenizer.from_file(queries.tokenizer_path())
+    check_pieces(got, {d: [texts[d]] for d in kept}, 1024, 0, tokens)
     stage = docs
     for name, f in corpus_pipeline.STAGES:
         stage = f(spark, stage, small)
@@ -153,6 +198,14 @@ def test_pipeline(spark, small, tmp_path):
     assert {r["doc_id"] for r in stage.select("doc_id").distinct().collect()} == kept
 
 
+def test_near_duplicates_of_rows_without_an_id(spark, make_docs):
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    pairs = [(1, text("a")), (None, text("a")), (None, text("a") + " more"), (None, text("b")), (None, text("b")), (None, text("b").upper()), (None, text("c")), (None, None), (None, ""), (None, ""), (7, text("d")), (9, text("d") + " x"), (7, text("e")), (8, text("e")), (5, ""), (6, None)]
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, make_docs(pairs), "")
+    got = sorted(((r["doc_id"], lower(r["text"]) if r["text"] else r["text"]) for r in out.collect()), key=repr)
+    assert got == sorted([(1, text("a")), (None, text("b")), (None, text("c")), (None, None), (None, ""), (None, ""), (7, text("d")), (7, text("e")), (5, ""), (6, None)], key=repr)
+
+
 def test_pipeline_odd(spark, make_docs, odd_pairs, small):
     for pairs in ([], odd_pairs):
         docs = make_docs(pairs)
