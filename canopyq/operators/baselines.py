@@ -23,11 +23,17 @@ def build_baseline(nodes: DataFrame, spec: QuerySpec, level: int, basis: Basis,
         nodes = nodes.join(root_basis.select("root_id", "basis_id"), "root_id")
     else:
         nodes = nodes.withColumn("basis_id", F.lit(None).cast("string"))
-    parent = F.when(F.lit(above > 0), F.get("path", above - 1)) if above else F.lit(None).cast("string")
+    parent = F.get("path", above - 1) if above else F.lit(None).cast("string")
     two = nodes.where(F.col("level").isin(level, above))
-    # the parts and their wholes in one aggregation, then one join on the wholes' few keys
+    # the parts and their wholes in one aggregation each, then one join on the wholes' few keys
     part = two.where(F.col("level") == level).groupBy("basis_id", parent.alias("parent_id"), "child_id").agg(F.sum("weight").alias("w"))
-    whole = two.where(F.col("level") == above).groupBy(F.col("basis_id").alias("b"), parent.alias("p")).agg(F.sum("weight").alias("t"))
-    met = part.join(whole, part["basis_id"].eqNullSafe(whole["b"]) & part["parent_id"].eqNullSafe(whole["p"]))
+    wholes, total = two.where(F.col("level") == above), F.sum("weight").alias("t")
+    keys = [k for k, varies in (("basis_id", basis.basis != GLOBAL), ("parent_id", above > 0)) if varies]
+    if keys:
+        whole = wholes.groupBy(F.col("basis_id").alias("_basis_id"), parent.alias("_parent_id")).agg(total)
+        same = [part[k].eqNullSafe(whole[f"_{k}"]) for k in keys]
+        met = part.join(whole, same[0] if len(same) == 1 else same[0] & same[1])
+    else:
+        met = part.crossJoin(F.broadcast(wholes.agg(total)))  # one row, always
     lit = lambda v, n: F.lit(v).alias(n)
     return met.select(lit(spec.root_kind, "root_type"), lit(spec.kinds[level - 1], "target"), lit(basis.basis, "basis"), lit(basis.hierarchy, "hierarchy"), "basis_id", "parent_id", "child_id", (F.col("w") / F.col("t")).alias("rate"))

@@ -38,6 +38,35 @@ def ribbon_path(x0: Column, x1: Column, w0: Column, w1: Column, y0: Column, y1:
     return F.concat(F.lit("M"), point(x0, y0), curve(x0, y0, x1, y1), F.lit(" L"), point(x1 + w1, y1), curve(x1 + w1, y1, x0 + w0, y0), F.lit(" Z"))
 
 
+def link_budget(width: Column, margin: float, surface: float, children: Column) -> tuple[Column, Column, Column]:
+    """What a node's links to its children divide: the width inside the margins, the gap between links, a link's least width."""
+    inside = width - F.lit(2.0 * margin)
+    gap = inside * F.lit(1 - surface) / F.greatest(children - 1, F.lit(1))
+    return inside, gap, inside * F.lit(surface) / (children * F.lit(1.8))
+
+
+def child_links(rows: DataFrame, tree: dict[str, float], sizes: dict[str, float]) -> DataFrame:
+    """Each child's place on its level, its link's place on the parent, and the ribbon between them.
+
+    rows: a level's visible nodes with parent_x, parent_width, children (siblings),
+    level_nodes, level_weight, siblings_weight beside visible_tree()'s columns.
+    tree: x, width, base (a child's least width), margin (between children).
+    sizes: side (the parent's margin), surface (share of its width that links take),
+    top and bottom (the ribbon's ends).
+    """
+    inside, gap, least = link_budget(F.col("parent_width"), sizes["side"], sizes["surface"], F.col("children"))
+    divisible = F.lit(tree["width"]) - F.lit(tree["base"]) * F.col("level_nodes") - F.lit(tree["margin"]) * (F.col("level_nodes") - 1)
+    share = lambda part, whole: part / F.when(whole == 0, F.lit(1.0)).otherwise(whole)
+    x = F.lit(tree["x"]) + F.col("level_rank") * F.lit(tree["base"] + tree["margin"]) + divisible * share(F.col("level_offset"), F.col("level_weight"))
+    width = F.lit(tree["base"]) + divisible * share(F.col("weight"), F.col("level_weight"))
+    room = inside * F.when(F.col("children") > 1, F.lit(sizes["surface"])).otherwise(F.lit(1.0)) - least * F.col("children")
+    link_x = F.col("parent_x") + F.lit(sizes["side"]) + F.col("sibling_rank") * (least + gap) + room * share(F.col("sibling_offset"), F.col("siblings_weight"))
+    link_width = least + room * share(F.col("weight"), F.col("siblings_weight"))
+    rows = rows.withColumns({"x": x, "width": width, "link_x": link_x, "link_width": link_width})
+    ribbon = ribbon_path(F.col("link_x"), F.col("x"), F.col("link_width"), F.col("width"), F.lit(sizes["top"]), F.lit(sizes["bottom"]))
+    return rows.withColumn("link_path", ribbon)
+
+
 def shares(rows: DataFrame, by: list[str], weight: str = "weight") -> DataFrame:
     """Each row's share of its group's weight and the shares before it, in id order."""
     group = Window.partitionBy(*by)

@@ -28,22 +28,27 @@ def spec_metric(nodes: DataFrame, spec: QuerySpec, level: int, basis: Basis = Ba
         above = spec.hierarchy_level(basis.hierarchy, level) if basis.hierarchy != GLOBAL else None
     divisor_level = 0 if baseline is None else above if above is not None else spec.divisor_level(level) if basis.hierarchy == GLOBAL else 0
     wholes = nodes.where(F.col("level") == divisor_level).select("root_id", F.col("key").alias("_whole"), F.col("weight").alias("node_divisor"))
-    here = here.withColumn("_whole", F.array_join(F.slice("path", 1, divisor_level), "-")).join(wholes, ["root_id", "_whole"])
+    if divisor_level:
+        here = here.withColumn("_whole", F.array_join(F.slice("path", 1, divisor_level), "-")).join(wholes, ["root_id", "_whole"]).drop("_whole")
+    else:
+        here = here.join(wholes.drop("_whole"), "root_id")
     rate = F.coalesce(F.col("weight"), F.lit(0)).cast("double") / F.col("node_divisor")
     here = here.withColumn("node_rate", rate)
     if baseline is None:
-        return here.withColumns({"baseline_rate": F.col("node_rate"), "spec_metric": F.lit(1.0)}).drop("_whole")
+        return here.withColumns({"baseline_rate": F.col("node_rate"), "spec_metric": F.lit(1.0)})
+    rates = baseline.select(F.col("basis_id").alias("_b"), F.col("parent_id").alias("_p"), F.col("child_id").alias("_c"), F.col("rate").alias("_rate"))
+    same = here["child_id"] == rates["_c"]
     if basis.basis != GLOBAL:
         roots = root_meta.select("root_id", F.col("meta")[basis_field(basis.basis)].alias("_basis_id"))
         here = here.join(roots, "root_id", "left")
-    else:
-        here = here.withColumn("_basis_id", F.lit(None).cast("string"))
-    here = here.withColumn("_parent_id", F.get("path", above - 1) if above else F.lit(None).cast("string"))
-    rates = baseline.select(F.col("basis_id").alias("_b"), F.col("parent_id").alias("_p"), F.col("child_id").alias("_c"), F.col("rate").alias("_rate"))
-    met = here.join(rates, (here["child_id"] == rates["_c"]) & here["_basis_id"].eqNullSafe(rates["_b"]) & here["_parent_id"].eqNullSafe(rates["_p"]), "left")
+        same = (here["child_id"] == rates["_c"]) & here["_basis_id"].eqNullSafe(rates["_b"])
+    if above:
+        here = here.withColumn("_parent_id", F.get("path", above - 1))
+        same = same & here["_parent_id"].eqNullSafe(rates["_p"])
+    met = here.join(rates, same, "left")
     eps = 1 / F.col("siblings")
     met = met.withColumn("baseline_rate", F.coalesce("_rate", F.lit(0.0)))
-    return met.withColumn("spec_metric", (F.col("node_rate") + eps) / (F.col("baseline_rate") + eps)).drop("_whole", "_basis_id", "_parent_id", "_b", "_p", "_c", "_rate")
+    return met.withColumn("spec_metric", (F.col("node_rate") + eps) / (F.col("baseline_rate") + eps)).drop("_basis_id", "_parent_id", "_b", "_p", "_c", "_rate")
 
 
 def level_word(rate: Column) -> Column:

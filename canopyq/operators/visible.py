@@ -54,15 +54,20 @@ def visible_level(rows: DataFrame, control: Control, keys: DataFrame | None) ->
     rows = rows.withColumn("_block", F.when(F.col("is_selected"), 0).when(place > 0, 1).otherwise(2)).withColumn("_forced", F.col("_block") < 2)
     by_id = [F.col("id_num").asc_nulls_last(), F.col("child_id")]
     size = F.col("derived").desc() if control.show_top else F.col("derived").asc()
-    best = Window.partitionBy("root_id", "ord", "_forced").orderBy(size, *by_id)
-    rows = rows.withColumn("_best", F.row_number().over(best)).where(F.col("_forced") | (F.col("_best") <= control.limit_n))
-    first = Window.partitionBy("root_id", "_forced").orderBy("_block", F.when(F.col("_block") == 1, place).otherwise(F.lit(0)), "ord", *by_id)
-    rows = rows.withColumn("_first", F.row_number().over(first)).where(~F.col("_forced") | (F.col("_first") <= control.limit_n))
+    best = Window.partitionBy("root_id", "ord").orderBy(size, *by_id)
+    first = Window.partitionBy("root_id").orderBy("_block", F.when(F.col("_block") == 1, place).otherwise(F.lit(0)), "ord", *by_id)
+    # each side's filter is on its rank alone, so Spark cuts every group before it is shuffled
+    free = (rows.where(~F.col("_forced")) if keys is not None or control.include else rows).withColumn("_best", F.row_number().over(best)).where(F.col("_best") <= control.limit_n)
+    if keys is not None or control.include:
+        forced = rows.where("_forced").withColumn("_first", F.row_number().over(first)).where(F.col("_first") <= control.limit_n).drop("_first")
+        rows = free.unionByName(forced.withColumn("_best", F.lit(0)))
+    else:
+        rows = free
     root, parent = Window.partitionBy("root_id"), Window.partitionBy("root_id", "ord")
     rows = rows.withColumn("_n", F.count(F.when(~F.col("_forced"), 1)).over(parent))
     rows = rows.withColumn("_counts", F.collect_set(F.struct("ord", F.col("_n").alias("n"))).over(root)).withColumn("_taken", F.count(F.when(F.col("_forced"), 1)).over(root))
     quota = F.get(quotas(F.col("_counts"), F.col("parents"), F.lit(control.limit_n) - F.col("_taken")), F.col("ord") - 1)
-    return rows.where(F.col("_forced") | (F.col("_best") <= quota)).drop("_block", "_forced", "_best", "_first", "_n", "_counts", "_taken", "ord", "parents")
+    return rows.where(F.col("_forced") | (F.col("_best") <= quota)).drop("_block", "_forced", "_best", "_n", "_counts", "_taken", "ord", "parents")
 
 
 def embed_level(shown: DataFrame) -> DataFrame:
@@ -92,8 +97,8 @@ def visible_tree(nodes: DataFrame, spec: QuerySpec, controls: list[Control], sel
     nodes that are themselves visible.
     """
     nodes = keyed(nodes).withColumn("weight", F.col("weight").cast("double")).select("root_id", "level", "key", "parent_key", "child_id", "id_num", "path", "weight")
-    if selection is not None:
-        # each level reads the node table again: read it from the shared folder, not from the facts
+    if selection is not None or controls[0].include:
+        # the node table is read again: from the shared folder, not from the facts
         nodes = shared_checkpoint(nodes)
     zero = F.lit(0.0)
     root = nodes.where(F.col("level") == 0).withColumns({"derived": F.col("weight"), "is_selected": F.lit(True), "level_rank": F.lit(0), "level_offset": zero, "sibling_rank": F.lit(0), "sibling_offset": zero, "scale_min": zero, "scale_max": F.lit(1.0), "scale_mid": F.lit(0.5), "spec_raw": zero, "name": F.lit("")})
