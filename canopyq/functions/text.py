@@ -9,14 +9,45 @@ from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
+from ..model import DESCRIPTIONS
+
 #: Letters that Unicode does not decompose.
 PLAIN = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "ħ": "h"}
+#: The usual Latin spelling of Cyrillic and Greek letters.
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ж": "zh", "з": "z", "и": "i", "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "п": "p",
+    "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": '"', "ы": "y", "ь": "'", "э": "e", "ю": "iu", "я": "ia",
+    "ё": "io", "й": "i", "і": "i", "ї": "yi", "є": "ye", "ґ": "g", "ў": "u", "ђ": "dj", "ѓ": "gj", "ј": "j", "љ": "lj", "њ": "nj", "ћ": "tsh", "ќ": "kj", "џ": "dzh",
+}
+GREEK = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "e", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m",
+    "ν": "n", "ξ": "x", "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "u", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "o",
+}
+#: The kana whose usual spelling is not their name.
+KANA = {"si": "shi", "ti": "chi", "tu": "tsu", "hu": "fu", "zi": "ji", "di": "ji", "du": "zu"}
+#: Scripts whose characters' Unicode names end in their sound.
+NAMED = ("HANGUL SYLLABLE ", "HIRAGANA LETTER ", "KATAKANA LETTER ")
+
+
+def latin(c: str) -> str:
+    """The Latin spelling of one lower-case character, itself if none is known."""
+    for letters in (PLAIN, CYRILLIC, GREEK):
+        if c in letters:
+            return letters[c]
+    if ord(c) >= 0x3040:
+        name = unicodedata.name(c, "")
+        for script in NAMED:
+            if name.startswith(script):
+                sound = name[len(script) :].removeprefix("SMALL ").lower()
+                return KANA.get(sound, sound)
+    return c
 
 
 def plain_text(s: str) -> str:
-    """Lower case, without accents."""
-    lowered = "".join(PLAIN.get(c, c) for c in s.lower())
-    return "".join(c for c in unicodedata.normalize("NFKD", lowered) if not unicodedata.combining(c))
+    """Lower case, without accents; Cyrillic, Greek, Hangul and kana in Latin letters."""
+    spelled = "".join(latin(c) for c in unicodedata.normalize("NFC", s).lower())
+    bare = "".join(c for c in unicodedata.normalize("NFKD", spelled) if not unicodedata.combining(c))
+    return "".join(latin(c) for c in bare)  # letters that only now stand without their accent
 
 
 @pandas_udf(StringType())
@@ -54,3 +85,27 @@ def first_replaced(c: Column, old: str, new: str) -> Column:
     """Only the first occurrence replaced."""
     at = F.instr(c, old)
     return F.when(at > 0, F.concat(F.substring(c, F.lit(1), at - 1), F.lit(new), F.substring(c, at + len(old), F.length(c)))).otherwise(c)
+
+
+def filled(c: Column, entity: Column) -> Column:
+    """Every {pc_id}, in either case, becomes the id, whatever characters it has."""
+    plain_id = F.replace(F.replace(entity, F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    return F.regexp_replace(c, F.lit(r"(?i)\{pc_id\}"), plain_id)
+
+
+def line_length(words: Column) -> Column:
+    """Characters of words set in a line with a blank between them; -1 without words."""
+    return F.aggregate(words, F.lit(-1), lambda n, w: n + F.length(w) + 1)
+
+
+def longest_line(lines: Column) -> Column:
+    """The longest of some lines of words."""
+    return F.array_max(F.transform(lines, line_length))
+
+
+def described(kind: Column) -> Column:
+    """The words before a path's last step, by its kind; null for kinds without."""
+    out = F.lit(None).cast("string")
+    for k, words in DESCRIPTIONS.items():
+        out = F.when(kind == k, F.lit(words)).otherwise(out)
+    return out

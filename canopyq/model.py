@@ -11,7 +11,17 @@ from pyspark.sql import types as T
 GLOBAL = "Global"
 UNKNOWN = "Unknown"
 
-#: The entity kinds, and the four baselines left out for their size.
+#: The four baselines left out for their size.
+IGNORED_BASELINES = ("i-Institution-Country-Global", "i-Concept-Continent-Institution", "i-Institution-Country-Country", "i-Concept-Country-Institution")
+#: What a path's last step is said to be; other kinds have no such words.
+DESCRIPTIONS = {
+    "Country": "Cited by paper published in",
+    "Continent": "Cited by paper published in",
+    "Institution": "Cited by paper published by",
+    "Concept": "Where the original paper was categorized as",
+    "SubConcept": "Where the original paper was categorized as",
+}
+#: The entity kinds.
 ENTITY_KINDS = ("Institution", "Concept", "SubConcept", "Country", "Continent", "InstitutionType", "Period", "Year")
 SIZE_BASES = ("volume", "specialization")
 
