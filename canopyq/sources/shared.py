@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder from the session's settings; only where none is set (tests on one machine) a folder is made."""
+    """The checkpoint folder from the session's settings.
+
+    Only where all of Spark is one process (local mode) and none is set, a folder of
+    this machine is made; anywhere else a missing setting is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         at = context.getConf().get("spark.checkpoint.dir", None)
         if at is None:
-            import tempfile
-
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("spark.checkpoint.dir is not set: it names the folder that all executors share")
             at = tempfile.mkdtemp(prefix="checkpoint-")
         context.setCheckpointDir(at)
     return context.getCheckpointDir()

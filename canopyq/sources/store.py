@@ -120,6 +120,36 @@ def read_trees(spark: SparkSession, base: str, spec_id: str = "*", root_id: str
     return files.select(F.regexp_extract("path", name, 1).alias("spec_id"), F.regexp_extract("path", name, 2).alias("root_id"), "content").mapInPandas(run, NODE)
 
 
+def write_trees(nodes: DataFrame, base: str) -> None:
+    """Each root's nodes as qc-builds/<spec>/<root>.json.gz; a root's tree is one file, so one task writes it.
+
+    base is a folder that all executors reach, by any path that Spark writes to: Spark
+    writes one text file a root, which then gets its name.
+    """
+    import pandas as pd
+
+    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
+        root: dict = {"weight": 0.0, "children": {}}
+        for path, weight in sorted(zip((list(x) for x in pdf["path"]), pdf["weight"]), key=lambda r: len(r[0])):
+            at = root
+            for step in path:
+                at = at["children"].setdefault(step, {"weight": 0.0, "children": {}})
+            at["weight"] = float(weight)
+        return pd.DataFrame({"spec_id": pdf["spec_id"][:1], "root_id": pdf["root_id"][:1], "value": [json.dumps(root)]})
+
+    spark = nodes.sparkSession
+    trees = nodes.select("spec_id", "root_id", "path", "weight").groupBy("spec_id", "root_id").applyInPandas(tree, "spec_id string, root_id string, value string")
+    trees.write.partitionBy("spec_id", "root_id").option("compression", "gzip").text(f"{base}/parts")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in fs.globStatus(path(f"{base}/parts/spec_id=*/root_id=*/part-*")):
+        at = f.getPath()
+        spec, root = (at.getParent().getParent().getName().split("=")[1], at.getParent().getName().split("=")[1])
+        fs.mkdirs(path(f"{base}/qc-builds/{spec}"))
+        fs.rename(at, path(f"{base}/qc-builds/{spec}/{root}.json.gz"))
+    fs.delete(path(f"{base}/parts"), True)
+
+
 def write_nodes(nodes: DataFrame, path: str) -> None:
     """Node table as Parquet, one folder a spec, rows of a root together: a root's read prunes files by statistics."""
     nodes.repartition("spec_id", "root_id").sortWithinPartitions("root_id", "level").write.mode("overwrite").partitionBy("spec_id").parquet(path)
