@@ -9,14 +9,16 @@ from ..operators import lookup, metrics, rollup, search, selection, visible
 from .commands import State, replay, start
 
 
-def derive(spark: SparkSession, nodes: DataFrame, state: State, root_ids: list[str], labels: DataFrame | None = None, baselines: DataFrame | None = None) -> DataFrame:
-    """The visible tree of each root under a view's state; nodes: the spec's node table."""
-    own = nodes.where(F.col("root_id").isin(*root_ids))
+def derive(spark: SparkSession, nodes: DataFrame, state: State, root_ids: list[str] | None = None, labels: DataFrame | None = None, baselines: DataFrame | None = None) -> DataFrame:
+    """The visible tree of each root (all, if none are named) under a view's state; nodes: the spec's node table."""
+    own = nodes if root_ids is None else nodes.where(F.col("root_id").isin(*root_ids))
     sizes = {}
     for i, control in enumerate(state.controls):
         if control.size_base == "specialization":
             sizes[i + 1] = metrics.spec_metric(own, state.spec, i + 1, Basis(), _of(baselines, state.spec, i + 1, Basis()))
-    chosen = selection.selection_frame(spark, root_ids, list(state.selection)) if state.selection else None
+    chosen = None
+    if state.selection:
+        chosen = selection.selection_of(own, list(state.selection)) if root_ids is None else selection.selection_frame(spark, root_ids, list(state.selection))
     return visible.visible_tree(own, state.spec, list(state.controls), chosen, labels, sizes)
 
 

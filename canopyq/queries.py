@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .functions import numbers
-from .model import Basis, Control
+from .functions import numbers, text
+from .model import ENTITY_KINDS, Basis, Control, Level, QuerySpec
 from .operators import baselines, layout, lookup, metrics, rollup, search, selection, visible
 from .plans import commands
-from .sources import star
+from .sources import star, store
+from .sources.shared import shared_checkpoint, shared_folder
 from .sources.star import SPECS, table
 
 ROOT = "3"
@@ -60,7 +62,7 @@ def names_sql(kind: str) -> str:
     }[kind]
 
 
-def visible_sql(spec_id: str, controls: list[Control], keys: list[str], root: str | None = ROOT, extra: str = "", derived: dict[int, str] | None = None) -> str:
+def visible_sql(spec_id: str, controls: list[Control], keys: list[str], root: str | None = None, extra: str = "", derived: dict[int, str] | None = None) -> str:
     """CTEs lv1 .. lvN of the visible levels, each with ranks, offsets and scales; derived: by level, the size's SQL over n."""
     spec = SPECS[spec_id]
     quoted = ", ".join(f"'{k}'" for k in keys) or "NULL"
@@ -104,22 +106,21 @@ def nodes_of(spark: SparkSession, d: str, spec_id: str) -> DataFrame:
     return rollup.build_nodes(star.flow(spark, d), SPECS[spec_id])
 
 
-def of_root(nodes: DataFrame, root: str = ROOT) -> DataFrame:
-    return nodes.where(F.col("root_id") == root)
-
-
 def shown(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("level") > 0).select("root_id", "level", "key", "child_id", r9("weight"), "level_rank", r9("level_offset"))
 
 
-def root_nodes(spark: SparkSession, d: str, spec_id: str = "q1", root: str | None = ROOT) -> DataFrame:
-    """Nodes of one root (or all): the filter reaches the supplier scan, before any join."""
-    facts = star.flow(spark, d)
-    return rollup.build_nodes(facts if root is None else facts.where(F.col("root") == int(root)), SPECS[spec_id])
+def stored_nodes(spark: SparkSession, d: str, spec_id: str = "q1") -> DataFrame:
+    """A spec's node table, worked out once and read by all that follows in a query."""
+    return shared_checkpoint(nodes_of(spark, d, spec_id))
 
 
-def picked(spark: SparkSession, keys: list[str], roots: tuple[str, ...] = (ROOT,)) -> DataFrame:
-    return selection.selection_frame(spark, list(roots), keys)
+def visible_of(spark: SparkSession, d: str, controls: list[Control], keys: list[str] | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """Every root's visible tree; keys: the paths selected in each."""
+    if keys is None:
+        return visible.visible_tree(nodes_of(spark, d, "q1"), SPECS["q1"], controls, labels=labels)
+    nodes = stored_nodes(spark, d)
+    return visible.visible_tree(nodes, SPECS["q1"], controls, selection.selection_of(nodes, keys), labels)
 
 
 # ---- facts and roll-ups ----
@@ -172,12 +173,11 @@ def root_filter_having(spark, d):
 # ---- labels and metadata ----
 
 
-@query(f"WITH {FLOW}, {node_sql('q1')} SELECT root::VARCHAR AS root_id, k AS key, coalesce(name, 'Unknown') AS name FROM node LEFT JOIN (SELECT * FROM ({names_sql('Nation')}) WHERE id % 2 = 0) t ON t.id = child WHERE level = 2")
+@query(f"WITH {FLOW}, {node_sql('q1')} SELECT root::VARCHAR AS root_id, k AS key, coalesce(name, 'Unknown') AS name FROM node LEFT JOIN ({names_sql('Region')}) t ON t.id = child WHERE level = 2")
 def labels_lookup_unknown(spark, d):
-    """Names of nations where half of the label table is missing."""
-    labels = star.attribute_labels(spark, d).where((F.col("entity_type") == "Nation") & (F.col("id").cast("long") % 2 == 0))
+    """Ids looked up among labels of another kind, which most of them are not in."""
     nodes = rollup.keyed(nodes_of(spark, d, "q1")).where(F.col("level") == 2)
-    return lookup.with_names(nodes, labels, "Nation").select("root_id", "key", "name")
+    return lookup.with_names(nodes, star.attribute_labels(spark, d), "Region").select("root_id", "key", "name")
 
 
 @query("SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, coalesce(json_extract_string(props, '$.absent'), '') AS absent FROM events")
@@ -197,34 +197,37 @@ TIGHT = [Control(limit_n=3), Control(limit_n=7, exclude=("6", "11", "16"), inclu
 
 @query(shown_sql("q1", TOP3, []))
 def visible_l1_top(spark, d):
-    return shown(visible.visible_tree(root_nodes(spark, d), SPECS["q1"], TOP3))
+    return shown(visible_of(spark, d, TOP3))
 
 
 @query(shown_sql("q1", BOTTOM3, []))
 def visible_l1_bottom(spark, d):
-    return shown(visible.visible_tree(root_nodes(spark, d), SPECS["q1"], BOTTOM3))
+    return shown(visible_of(spark, d, BOTTOM3))
+
 
+YEARS = SPECS["q3"].controls()
 
-@query(shown_sql("q1", TOP3, [], root=None))
+
+@query(shown_sql("q3", YEARS, []))
 def visible_all_roots(spark, d):
-    """Every root at once."""
-    return shown(visible.visible_tree(root_nodes(spark, d, root=None), SPECS["q1"], TOP3))
+    """Another spec, with its own default controls."""
+    return shown(visible.visible_tree(nodes_of(spark, d, "q3"), SPECS["q3"], YEARS))
 
 
 @query(shown_sql("q1", FORCED, []))
 def visible_exclude_include(spark, d):
-    return shown(visible.visible_tree(root_nodes(spark, d), SPECS["q1"], FORCED))
+    return shown(visible_of(spark, d, FORCED))
 
 
 @query(shown_sql("q1", THREE, CHOSEN))
 def visible_selected(spark, d):
-    return shown(visible.visible_tree(root_nodes(spark, d), SPECS["q1"], THREE, picked(spark, CHOSEN)))
+    return shown(visible_of(spark, d, THREE, CHOSEN))
 
 
 @query(shown_sql("q1", TIGHT, ["1", "2"]))
 def visible_balanced_quota(spark, d):
     """A parent with fewer children than its quota passes the rest on."""
-    return shown(visible.visible_tree(root_nodes(spark, d), SPECS["q1"], TIGHT, picked(spark, ["1", "2"])))
+    return shown(visible_of(spark, d, TIGHT, ["1", "2"]))
 
 
 def _embedded_sql() -> str:
@@ -239,14 +242,13 @@ def _embedded_sql() -> str:
 
 @query(_embedded_sql())
 def visible_multilevel_embedded(spark, d):
-    rows = visible.visible_tree(root_nodes(spark, d), SPECS["q1"], THREE, picked(spark, CHOSEN), star.attribute_labels(spark, d))
+    rows = visible_of(spark, d, THREE, CHOSEN, star.attribute_labels(spark, d))
     return rows.withColumns({c: r9(c) for c in ("scale_min", "scale_max", "scale_mid")})
 
 
-@query(visible_sql("q1", THREE, CHOSEN) + " UNION ALL ".join(f"SELECT {i} AS level, sum(d) AS total_weight, count(*) AS total_nodes FROM lv{i}" for i in range(4)))
+@query(visible_sql("q1", THREE, CHOSEN) + " UNION ALL ".join(f"SELECT root::VARCHAR AS root_id, {i} AS level, sum(d) AS total_weight, count(*) AS total_nodes FROM lv{i} GROUP BY root" for i in range(4)))
 def level_meta(spark, d):
-    rows = visible.visible_tree(root_nodes(spark, d), SPECS["q1"], THREE, picked(spark, CHOSEN))
-    return visible.level_meta(rows).select("level", "total_weight", "total_nodes")
+    return visible.level_meta(visible_of(spark, d, THREE, CHOSEN)).select("root_id", "level", "total_weight", "total_nodes")
 
 
 # ---- baselines and advantage ----
@@ -262,8 +264,8 @@ def root_meta(spark, d) -> DataFrame:
     return labels.select(F.col("id").alias("root_id"), F.from_json("meta", "map<string,string>").alias("meta"))
 
 
-def _baseline(spark, d, basis: Basis, level: int = 3, spec_id: str = "q1") -> DataFrame:
-    return baselines.build_baseline(nodes_of(spark, d, spec_id), SPECS[spec_id], level, basis, _root_basis(spark, d))
+def _baseline(spark, d, basis: Basis, level: int = 3, nodes: DataFrame | None = None) -> DataFrame:
+    return baselines.build_baseline(nodes_of(spark, d, "q1") if nodes is None else nodes, SPECS["q1"], level, basis, _root_basis(spark, d))
 
 
 GG, BG, GH, BH = Basis(), Basis("Region", "Global"), Basis("Global", "Region"), Basis("Region", "Region")
@@ -317,8 +319,10 @@ def _rca_sql(by_basis: bool, by_parent: bool, divisor: int, base: str | None = N
  SELECT root::VARCHAR AS root_id, k AS key, round(rate, 9) AS node_rate, divisor AS node_divisor, round(base_rate, 9) AS baseline_rate, round((rate + 1 / siblings::DOUBLE) / (base_rate + 1 / siblings::DOUBLE), 9) AS spec_metric FROM m"""
 
 
-def _metric(spark, d, basis: Basis, level: int = 3, baseline: DataFrame | None = None) -> DataFrame:
-    rows = metrics.spec_metric(nodes_of(spark, d, "q1"), SPECS["q1"], level, basis, _baseline(spark, d, basis, level) if baseline is None else baseline, root_meta(spark, d))
+def _metric(spark, d, basis: Basis, level: int = 3, admitted: Column | None = None) -> DataFrame:
+    nodes = stored_nodes(spark, d)
+    baseline = _baseline(spark, d, basis, level, nodes)
+    rows = metrics.spec_metric(nodes, SPECS["q1"], level, basis, baseline if admitted is None else baseline.where(admitted), root_meta(spark, d))
     return _shown_metric(rows)
 
 
@@ -352,10 +356,10 @@ def rca_root_kind_divisor(spark, d):
     return _metric(spark, d, GG)
 
 
-@query(_rca_sql(False, False, 2, base=_baseline_sql(False, False).replace("base AS (SELECT x.basis_id", "base AS (SELECT * FROM (SELECT x.basis_id") + " WHERE child % 3 <> 0)"))
+@query(_rca_sql(False, False, 2, base=_baseline_sql(False, False).replace("base AS (SELECT x.basis_id", "base AS (SELECT * FROM (SELECT x.basis_id") + " WHERE rate >= 0.04)"))
 def rca_missing_key(spark, d):
-    """A third of the baseline's keys are missing: their rate is 0."""
-    return _metric(spark, d, GG, baseline=_baseline(spark, d, GG).where(F.col("child_id").cast("long") % 3 != 0))
+    """A baseline that holds frequent ids only: the others' rate is 0."""
+    return _metric(spark, d, GG, admitted=F.col("rate") >= 0.04)
 
 
 @query(f"WITH {FLOW}, {node_sql('q1', 'every')} SELECT n.root::VARCHAR AS root_id, n.k AS key, round(n.w / v.w::DOUBLE, 9) AS node_rate, v.w AS node_divisor, round(n.w / v.w::DOUBLE, 9) AS baseline_rate, 1::DOUBLE AS spec_metric FROM every n JOIN every v ON v.root = n.root AND v.level = 0 WHERE n.level = 3")
@@ -369,9 +373,9 @@ SIZED_KEYS = ["1", "2", "1-6", "2-7"]
 
 @query(shown_sql("q1", SIZED, SIZED_KEYS, extra=_baseline_sql(False, False) + ", sib AS (SELECT root, pk, count(*) AS n FROM node WHERE level = 3 GROUP BY 1, 2), met AS (SELECT n.root, n.k, (n.w / v.w::DOUBLE + 1 / s.n::DOUBLE) / (coalesce(b.rate, 0) + 1 / s.n::DOUBLE) AS m FROM node n JOIN node v ON v.root = n.root AND v.k = n.pk AND v.level = 2 JOIN sib s ON s.root = n.root AND s.pk = n.pk LEFT JOIN base b ON b.child = n.child WHERE n.level = 3)", derived={3: "(SELECT m FROM met WHERE met.root = n.root AND met.k = n.k)"}))
 def visible_by_specialization(spark, d):
-    nodes = nodes_of(spark, d, "q1")
-    sizes = metrics.spec_metric(of_root(nodes), SPECS["q1"], 3, GG, _baseline(spark, d, GG))
-    return shown(visible.visible_tree(of_root(nodes), SPECS["q1"], SIZED, picked(spark, SIZED_KEYS), sizes={3: sizes}))
+    nodes = stored_nodes(spark, d)
+    sizes = metrics.spec_metric(nodes, SPECS["q1"], 3, GG, _baseline(spark, d, GG, nodes=nodes))
+    return shown(visible.visible_tree(nodes, SPECS["q1"], SIZED, selection.selection_of(nodes, SIZED_KEYS), sizes={3: sizes}))
 
 
 # ---- path profile ----
@@ -388,7 +392,7 @@ def path_profile_volume(spark, d):
 def path_profile_filters(spark, d):
     from .plans import explore
 
-    got = explore.profile(nodes_of(spark, d, "q1"), SPECS["q1"], ROOT, PATH, star.attribute_labels(spark, d))
+    got = explore.profile(stored_nodes(spark, d), SPECS["q1"], ROOT, PATH, star.attribute_labels(spark, d))
     return got["filters"].select("level", F.array_join("path", "-").alias("key"), "name")
 
 
@@ -403,7 +407,7 @@ def _all_bases_sql() -> str:
 def path_profile_all_bases(spark, d):
     from .plans import explore
 
-    nodes, bases = nodes_of(spark, d, "q1"), [GG, BG, GH, BH]
+    nodes, bases = stored_nodes(spark, d), [GG, BG, GH, BH]
     every = None
     for b in bases:
         one = baselines.build_baseline(nodes, SPECS["q1"], 3, b, _root_basis(spark, d))
@@ -464,7 +468,7 @@ def _dsl_state() -> commands.State:
 def dsl_replay(spark, d):
     from .plans import explore
 
-    return shown(explore.derive(spark, root_nodes(spark, d), _dsl_state(), [ROOT]))
+    return shown(explore.derive(spark, stored_nodes(spark, d), _dsl_state()))
 
 
 @query("WITH s AS (SELECT user_id::VARCHAR AS root_id, (event_id % 4)::BIGINT AS a, (event_id % 7)::BIGINT AS b FROM events), m AS (SELECT root_id, min(a) AS a FROM s GROUP BY 1) SELECT s.root_id, min(s.a) || '-' || min(s.b) AS key FROM s JOIN m ON m.root_id = s.root_id AND m.a = s.a GROUP BY s.root_id")
@@ -475,23 +479,31 @@ def first_path(spark, d):
     return selection.first_paths(keys).select("root_id", "key")
 
 
-@query("SELECT user_id, list_prepend(x, list_filter(l, lambda y: y <> x)) AS prepended, list_filter(l, lambda y: y <> x) AS removed, len(l)::INT AS size FROM (SELECT user_id, min(event_type) AS x, list(event_type ORDER BY event_id) AS l FROM events GROUP BY user_id)")
+@query("SELECT user_id, list_prepend(x, list_filter(l, lambda y: y <> x)) AS prepended, list_filter(l, lambda y: y <> x) AS removed, len(l)::INT AS size FROM (SELECT user_id, max(event_type) AS x, list(DISTINCT event_type ORDER BY event_type) AS l FROM events GROUP BY user_id)")
 def filter_list_edit(spark, d):
-    held = table(spark, d, "events").groupBy("user_id").agg(F.min("event_type").alias("x"), F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda e: e["event_type"]).alias("l"))
+    """Each user's list of event kinds (a handful, however many events), with its last one put first, and left out."""
+    held = table(spark, d, "events").groupBy("user_id").agg(F.max("event_type").alias("x"), F.array_sort(F.collect_set("event_type")).alias("l"))
     less = F.array_remove("l", F.col("x"))
     return held.select("user_id", F.concat(F.array("x"), less).alias("prepended"), less.alias("removed"), F.size("l").alias("size"))
 
 
 # ---- lookups ----
 
-CATALOG = [("Nation", t, b, h) for t in ("Region", "Nation", "Brand") for b in ("Global", "Region") for h in ("Global", "Region")]
-IGNORED = ("n-Brand-Region-Global", "n-Nation-Global-Region")
+#: Baselines on offer, the four that are left out for their size among them.
+CATALOG = [("Institution", t, b, h) for t in ("Institution", "Concept") for b in ("Global", "Country", "Continent") for h in ("Global", "Country", "Institution")]
+PAPERS = QuerySpec("papers", "Institution", (Level("Country", "place"), Level("Institution", "place"), Level("Concept", "topic")))
 
 
-@query("SELECT 'Nation' AS root_type, t AS target, b AS basis, h AS hierarchy, 'n-' || t || '-' || b || '-' || h AS name FROM (VALUES ('Region'), ('Nation'), ('Brand')) x(t), (VALUES ('Global'), ('Region')) y(b), (VALUES ('Global'), ('Region')) z(h) WHERE t = 'Brand' AND 'n-' || t || '-' || b || '-' || h NOT IN ('n-Brand-Region-Global', 'n-Nation-Global-Region')")
+@query("SELECT 'Institution' AS root_type, t AS target, b AS basis, h AS hierarchy, 'i-' || t || '-' || b || '-' || h AS name FROM (VALUES ('Institution'), ('Concept')) x(t), (VALUES ('Global'), ('Country'), ('Continent')) y(b), (VALUES ('Global'), ('Country'), ('Institution')) z(h) WHERE t = 'Concept' AND 'i-' || t || '-' || b || '-' || h NOT IN ('i-Institution-Country-Global', 'i-Concept-Continent-Institution', 'i-Institution-Country-Country', 'i-Concept-Country-Institution')")
 def baseline_catalog_filter(spark, d):
     catalog = spark.createDataFrame(CATALOG, "root_type string, target string, basis string, hierarchy string")
-    return lookup.available_baselines(catalog, SPECS["q1"], 3, IGNORED)
+    return lookup.available_baselines(catalog, PAPERS, 3)
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, n_name AS name FROM nation WHERE n_name = (SELECT max(n_name) FROM nation)")
+def entity_by_name(spark, d):
+    last = table(spark, d, "nation").agg(F.max("n_name")).first()[0]
+    return lookup.by_name(star.attribute_labels(spark, d), "Nation", last).select("id", "name")
 
 
 @query(f"WITH p(i) AS (VALUES {', '.join(f'({i})' for i in POINTS)}), f(frame) AS (VALUES {', '.join(f'({i})' for i in FRAMES)}) SELECT i, coalesce(min(frame) FILTER (frame >= i), max(frame)) AS frame, 'text ' || coalesce(min(frame) FILTER (frame >= i), max(frame)) AS payload FROM p, f GROUP BY i")
@@ -528,12 +540,12 @@ def level_bands(spark, d):
     return layout.level_bands(spark.range(4).select(F.col("id").cast("int").alias("level")), 600.0, expanded=1).select("level", "total_size", "top_offset")
 
 
-@query(visible_sql("q1", THREE, CHOSEN) + "SELECT k AS key, round(10 + level_rank * 7.0::DOUBLE + 800 * level_offset / t, 9) AS x, round(5 + 800 * d / t, 9) AS width FROM (SELECT *, sum(d) OVER () AS t FROM lv2)")
+@query(visible_sql("q1", THREE, CHOSEN) + "SELECT root::VARCHAR AS root_id, k AS key, round(10 + level_rank * 7.0::DOUBLE + 800 * level_offset / t, 9) AS x, round(5 + 800 * d / t, 9) AS width FROM (SELECT *, sum(d) OVER (PARTITION BY root) AS t FROM lv2)")
 def sankey_offsets(spark, d):
-    rows = visible.visible_tree(root_nodes(spark, d), SPECS["q1"], THREE, picked(spark, CHOSEN)).where(F.col("level") == 2)
+    rows = visible_of(spark, d, THREE, CHOSEN).where(F.col("level") == 2)
     rows = rows.withColumn("_t", F.sum("weight").over(Window.partitionBy("root_id")))
     x, width = layout.offset_and_width(5.0, 800.0, 2.0, F.lit(10.0), F.col("level_rank"), F.col("level_offset"), F.col("weight"), F.col("_t"))
-    return rows.select("key", r9(x, "x"), r9(width, "width"))
+    return rows.select("root_id", "key", r9(x, "x"), r9(width, "width"))
 
 
 @query("SELECT n_nationkey::INT AS id, 'M0.00,0.00 C0.00,50.00 ' || printf('%.2f', n_nationkey * 2.0::DOUBLE) || ',50.00 ' || printf('%.2f', n_nationkey * 2.0::DOUBLE) || ',100.00 L' || printf('%.2f', n_nationkey * 2.0::DOUBLE + 20) || ',100.00 C' || printf('%.2f', n_nationkey * 2.0::DOUBLE + 20) || ',50.00 10.00,50.00 10.00,0.00 Z' AS path FROM nation")
@@ -561,10 +573,18 @@ def series_normalise(spark, d):
     return layout.series_points(series, "values").select("root", F.inline("points")).select("root", r9("x"), r9("y"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {FLOW}, {node_sql('q1', 'every')},
+items AS MATERIALIZED (SELECT root, pk, list(child ORDER BY child) AS ids, list(w::DOUBLE ORDER BY child) AS ws FROM every WHERE level = 2 GROUP BY root, pk),
+part AS MATERIALIZED (SELECT root, pk, lo, hi, coalesce(list_min(list_filter(range(lo + 2, hi), lambda c: list_sum(ws[lo + 1:c]) > list_sum(ws[lo + 1:hi]) / 2)), hi - 1) AS cut FROM items, (SELECT lo, hi FROM range(0, 30) a(lo), range(0, 31) b(hi) WHERE hi - lo > 1) WHERE hi <= len(ws)),
+t(root, pk, lo, hi, x, y, w, h, along) AS (SELECT root, pk, 0::BIGINT, len(ws)::BIGINT, 0::DOUBLE, 0::DOUBLE, 100::DOUBLE, 100::DOUBLE, TRUE FROM items UNION ALL
+ SELECT root, pk, CASE side WHEN 0 THEN lo ELSE cut END, CASE side WHEN 0 THEN cut ELSE hi END, CASE WHEN along AND side = 1 THEN x + w * f ELSE x END, CASE WHEN NOT along AND side = 1 THEN y + h * f ELSE y END,
+  CASE WHEN NOT along THEN w WHEN side = 0 THEN w * f ELSE w - w * f END, CASE WHEN along THEN h WHEN side = 0 THEN h * f ELSE h - h * f END, NOT along
+ FROM (SELECT t.*, part.cut, list_sum(ws[t.lo + 1:part.cut]) / list_sum(ws[t.lo + 1:t.hi]) AS f FROM t JOIN items USING (root, pk) JOIN part ON part.root = t.root AND part.pk = t.pk AND part.lo = t.lo AND part.hi = t.hi), (VALUES (0), (1)) s(side))
+SELECT root || '-' || t.pk AS parent, ids[lo + 1]::VARCHAR AS child_id, round(x, 9) AS x, round(y, 9) AS y, round(w, 9) AS width, round(h, 9) AS height FROM t JOIN items USING (root, pk) WHERE hi - lo = 1 AND w > 0 AND h > 0""")
 def treemap_bsp(spark, d):
-    rows = nodes_of(spark, d, "q1").where(F.col("level") == 1).select(F.col("root_id").alias("parent"), "child_id", "weight")
-    return layout.treemap_tiles(rows)
+    rows = rollup.keyed(nodes_of(spark, d, "q1")).where(F.col("level") == 2)
+    tiles = layout.treemap_tiles(rows.select(F.concat_ws("-", "root_id", "parent_key").alias("parent"), "child_id", "weight"))
+    return tiles.select("parent", "child_id", *[r9(c) for c in ("x", "y", "width", "height")])
 
 
 @query(f"WITH {FLOW}, c AS (SELECT root, nation, count(*) * 10 AS n FROM flow GROUP BY ALL) SELECT root, nation, n, CASE WHEN n > 1000000 THEN NULL WHEN n > 1000 THEN (CASE WHEN n % 1000 IN (250, 750) THEN printf('%.1f', (n + 50) / 1000.0::DOUBLE) ELSE printf('%.1f', n / 1000.0::DOUBLE) END) || 'k' ELSE n::VARCHAR END AS short FROM c")
@@ -599,7 +619,134 @@ def root_listing(spark, d):
     return labels.where((F.col("entity_type") == "Nation") & (meta["Region"] == "3")).select("id", "name")
 
 
+# ---- small parts of views ----
+
+
+@query("SELECT k AS kind, CASE WHEN k IN ('Country', 'Continent') THEN 'Cited by paper published in' WHEN k = 'Institution' THEN 'Cited by paper published by' WHEN k IN ('Concept', 'SubConcept') THEN 'Where the original paper was categorized as' END AS words FROM (VALUES ('Institution'), ('Concept'), ('SubConcept'), ('Country'), ('Continent'), ('InstitutionType'), ('Period'), ('Year')) t(k)")
+def path_descriptions(spark, d):
+    kinds = spark.createDataFrame([(k,) for k in ENTITY_KINDS], "kind string")
+    return kinds.select("kind", text.described(F.col("kind")).alias("words"))
+
+
+@query(f"WITH {FLOW}, {node_sql('q1', 'every')}, t AS (SELECT root, k, row_number() OVER (PARTITION BY root, pk ORDER BY child) - 1 AS i, count(*) OVER (PARTITION BY root, pk) AS n FROM every WHERE level = 2) SELECT root::VARCHAR AS root_id, k AS key, round(0.1::DOUBLE + 0.8::DOUBLE / n * i, 9) AS color_start, round(0.1::DOUBLE + 0.8::DOUBLE / n * (i + 1), 9) AS color_end FROM t")
+def color_buckets(spark, d):
+    """Each child's part of its parent's colour range, in id order."""
+    group = Window.partitionBy("root_id", "parent_key")
+    rows = rollup.keyed(nodes_of(spark, d, "q1")).where(F.col("level") == 2)
+    rows = rows.withColumns({"_i": F.row_number().over(group.orderBy("id_num")) - 1, "_n": F.count("*").over(group)})
+    start, end = numbers.color_bucket(0.1, 0.9, F.col("_i"), F.col("_n"))
+    return rows.select("root_id", "key", r9(start, "color_start"), r9(end, "color_end"))
+
+
+@query("SELECT '--color-range-' || n || ': ' || floor(n * 2.5::DOUBLE + 0.5)::INT || ', ' || floor(abs(n - 50) * 4.4::DOUBLE + 0.5)::INT || ', ' || floor(255 - n * 2.5::DOUBLE + 0.5)::INT || ';' AS step FROM range(5, 101, 5) t(n)")
+def color_steps(spark, d):
+    return spark.range(1).select(F.explode(numbers.color_steps()).alias("step"))
+
+
+@query("SELECT n::INT AS n, unnest(list_transform(range(0, n), lambda i: round(2 + i * (10 / n::DOUBLE), 9))) AS value FROM range(0, 7) t(n)")
+def value_steps(spark, d):
+    counts = spark.range(7).select(F.col("id").cast("int").alias("n"))
+    return counts.select("n", F.explode(numbers.value_steps(F.col("n"), 2.0, 12.0)).alias("value")).select("n", r9("value"))
+
+
+LINK_TREE = {"x": 50.0, "width": 2000.0, "base": 2.9, "margin": 0.9}
+LINK_SIZES = {"side": 0.8, "surface": 0.8, "top": 10.0, "bottom": 110.0}
+
+
+@query(visible_sql("q1", THREE, CHOSEN) + """SELECT root_id, key, round(x, 6) AS x, round(width, 6) AS width, round(link_x, 6) AS link_x, round(link_width, 6) AS link_width FROM (
+ SELECT root::VARCHAR AS root_id, k AS key, 50 + level_rank * 3.8::DOUBLE + space * level_offset / total AS x, 2.9::DOUBLE + space * d / total AS width,
+  parent_x + 0.8::DOUBLE + sibling_rank * (least + gap) + room * sibling_offset / below AS link_x, least + room * d / below AS link_width FROM (
+ SELECT *, 2000 - 2.9::DOUBLE * n - 0.9::DOUBLE * (n - 1) AS space, inside * 0.2::DOUBLE / greatest(m - 1, 1) AS gap, inside * 0.8::DOUBLE / (m * 1.8::DOUBLE) AS least, inside * (CASE WHEN m > 1 THEN 0.8::DOUBLE ELSE 1 END) - inside * 0.8::DOUBLE / (m * 1.8::DOUBLE) * m AS room FROM (
+ SELECT c.*, 40.0::DOUBLE * p.level_rank AS parent_x, 36.0::DOUBLE - 1.6::DOUBLE AS inside, count(*) OVER (PARTITION BY c.root, c.pk) AS m, count(*) OVER (PARTITION BY c.root) AS n, sum(c.d) OVER (PARTITION BY c.root) AS total, sum(c.d) OVER (PARTITION BY c.root, c.pk) AS below FROM lv2 c JOIN lv1 p ON p.root = c.root AND p.k = c.pk)))""")
+def child_links(spark, d):
+    """Places of the second level's nodes, and of their links on the parents."""
+    rows = visible_of(spark, d, THREE, CHOSEN)
+    parents = rows.where(F.col("level") == 1).select("root_id", F.col("key").alias("parent_key"), (F.col("level_rank") * 40.0).alias("parent_x"), F.lit(36.0).alias("parent_width"), F.col("children_sum_weight").alias("siblings_weight"))
+    siblings, level = Window.partitionBy("root_id", "parent_key"), Window.partitionBy("root_id")
+    rows = rows.where(F.col("level") == 2).join(parents, ["root_id", "parent_key"])
+    rows = rows.withColumns({"children": F.count("*").over(siblings), "level_nodes": F.count("*").over(level), "level_weight": F.sum("weight").over(level)})
+    placed = layout.child_links(rows, LINK_TREE, LINK_SIZES)
+    return placed.select("root_id", "key", *[F.round(c, 6).alias(c) for c in ("x", "width", "link_x", "link_width")])
+
+
+@query("SELECT p_partkey, len(w)::INT AS n_words, list_sum(list_transform(w, lambda x: len(x) + 1))::INT - 1 AS line, greatest(len(w[1]), len(array_to_string(w[2:], ' ')))::INT AS longest, list_min(list_transform(w, lambda x: len(x)))::INT AS shortest_word, array_to_string(list_reverse(w), ' ') AS reversed FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)")
+def word_lines(spark, d):
+    """Lengths of part names as one line and as two, their shortest word, and their words from behind."""
+    rows = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    two = F.array(F.slice("w", 1, 1), F.slice("w", F.lit(2), F.size("w")))
+    return rows.select("p_partkey", F.size("w").alias("n_words"), text.line_length(F.col("w")).alias("line"), F.greatest(text.longest_line(two), F.lit(0)).alias("longest"), F.array_min(F.transform("w", F.length)).alias("shortest_word"), F.array_join(F.reverse("w"), " ").alias("reversed"))
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, 'id ' || n_name || ' and ' || n_name || '$1' AS filled, replace(n_name, 'NATION_', 'N\\') AS replaced, CASE WHEN n_nationkey > 1 THEN 'paper' || 's' ELSE 'paper' END AS word, round(n_nationkey / 7.0::DOUBLE * 100, 2) AS percent FROM nation")
+def text_fills(spark, d):
+    """Placeholders filled, a first occurrence replaced, plurals and percentages."""
+    rows = table(spark, d, "nation")
+    return rows.select(F.col("n_nationkey").cast("string").alias("id"), text.filled(F.lit("id {pc_id} and {PC_ID}$1"), F.col("n_name")).alias("filled"), text.first_replaced(F.col("n_name"), "NATION_", "N\\").alias("replaced"), numbers.plural(F.col("n_nationkey"), "paper").alias("word"), numbers.percent(F.col("n_nationkey") / F.lit(7.0)).alias("percent"))
+
+
+@query("SELECT * FROM (VALUES ('q1', 1, 10, TRUE, 'volume', 0, 0), ('q1', 2, 10, TRUE, 'volume', 0, 0), ('q1', 3, 10, TRUE, 'volume', 0, 0), ('q2', 1, 10, TRUE, 'volume', 0, 0), ('q2', 2, 10, TRUE, 'volume', 0, 0), ('q2', 3, 10, TRUE, 'volume', 0, 0), ('q3', 1, 7, TRUE, 'volume', 0, 0), ('q3', 2, 10, TRUE, 'volume', 0, 0), ('q3', 3, 10, TRUE, 'volume', 0, 0)) t(spec_id, level, limit_n, show_top, size_base, n_include, n_exclude)")
+def spec_controls(spark, d):
+    """Each spec's controls by level: the defaults with what its templates set."""
+    rows = [(k, i, c.limit_n, c.show_top, c.size_base, c.include, c.exclude) for k, spec in SPECS.items() for i, c in enumerate(spec.controls(), 1)]
+    df = spark.createDataFrame(rows, "spec_id string, level int, limit_n int, show_top boolean, size_base string, include array<string>, exclude array<string>")
+    return df.select("spec_id", "level", "limit_n", "show_top", "size_base", F.size("include").alias("n_include"), F.size("exclude").alias("n_exclude"))
+
+
+@query("WITH s(key, expanded) AS (VALUES ('ce1', 1), ('ce1;ce1', NULL), ('ce0;ce2', 2)), l AS (SELECT key, level, CASE WHEN expanded IS NULL THEN 150 WHEN level = expanded THEN 300 + 75 ELSE 75 END::DOUBLE AS s FROM s, range(4) t(level)) SELECT key, level::INT AS level, s AS total_size, coalesce(sum(s) OVER (PARTITION BY key ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS top_offset FROM l")
+def expanded_bands(spark, d):
+    """Bands of the levels after commands that expand and fold them."""
+    out = None
+    for key in ("ce1", "ce1;ce1", "ce0;ce2"):
+        state = commands.replay(commands.start(SPECS["q1"]), key, SPECS)
+        rows = layout.level_bands(spark.range(4).select(F.col("id").cast("int").alias("level")), 600.0, expanded=state.expanded).select(F.lit(key).alias("key"), "level", "total_size", "top_offset")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query("SELECT 'Nation' AS root_type, n_nationkey::VARCHAR AS root_id, spec_id FROM nation, (VALUES ('q1'), ('q2'), ('q3')) t(spec_id)")
+def route_listing(spark, d):
+    """Every view that there is: a root and a spec."""
+    roots = table(spark, d, "nation").select(F.lit("Nation").alias("root_type"), F.col("n_nationkey").cast("string").alias("root_id"))
+    return roots.withColumn("spec_id", F.explode(F.array(*map(F.lit, SPECS))))
+
+
+@query("SELECT n_nationkey::VARCHAR AS id, CASE WHEN n_regionkey = 0 THEN n_nationkey::DOUBLE WHEN n_nationkey = 7 THEN 100 ELSE 1 END::DOUBLE AS size FROM nation")
+def expanded_sizes(spark, d):
+    """The size of a tile: its own if none is expanded, the whole for the expanded one, a point for others."""
+    expanded = F.when(F.col("n_regionkey") != 0, F.lit(7))
+    return table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), numbers.the_one(expanded, F.col("n_nationkey"), F.col("n_nationkey").cast("double"), F.lit(100.0), F.lit(1.0)).alias("size"))
+
+
+@query("SELECT i::INT AS i, round(cos(i * 2 * pi() / 7), 9) AS x, round(sin(i * 2 * pi() / 7), 9) AS y FROM range(7) t(i)")
+def polygon_points(spark, d):
+    rows = spark.range(1).select(F.posexplode(numbers.polygon(7)).alias("i", "p"))
+    return rows.select("i", r9(F.col("p.x"), "x"), r9(F.col("p.y"), "y"))
+
+
+@query("SELECT event_id, value / 20 > 3.2::DOUBLE AS shows_count, value / 20 > 4.8::DOUBLE AS shows_order, round((greatest(len(event_type), len('view')) * 0.8::DOUBLE + 2) * 20, 9) AS label_width, year(current_date)::INT AS footer_year FROM events")
+def control_room(spark, d):
+    """What a control of some height shows, how wide its labels are, and the year in the footer."""
+    count, order = numbers.control_slots(F.col("value") / 20)
+    labels = F.array(F.col("event_type"), F.lit("view"))
+    return table(spark, d, "events").select("event_id", count.alias("shows_count"), order.alias("shows_order"), r9(numbers.label_width(labels), "label_width"), F.year(F.current_date()).alias("footer_year"))
+
+
+@query("SELECT event_id, CASE WHEN p < 24 AND p % 4 < 3 THEN (p // 4)::INT END AS open_child, CASE WHEN p < 24 AND p % 4 IN (1, 2) THEN (p // 4)::INT END AS expanded_child FROM (SELECT event_id, event_id % 25 AS p FROM events)")
+def timer_states(spark, d):
+    """The tour of six children, a tick an event."""
+    opened, expanded = numbers.timer_state(F.col("event_id"), 6)
+    return table(spark, d, "events").select("event_id", opened.alias("open_child"), expanded.alias("expanded_child"))
+
+
+@query(f"WITH {FLOW}, {node_sql('q1')} SELECT 'q1' AS spec_id, root::VARCHAR AS root_id, level, k AS key, w::DOUBLE AS weight FROM node")
+def tree_files(spark, d):
+    """Every root's tree written as a JSON file of the store, and read back as node rows."""
+    base = f"{shared_folder(spark)}/trees-{uuid.uuid4().hex}"
+    store.write_trees(nodes_of(spark, d, "q1"), base)
+    return rollup.keyed(store.read_trees(spark, base)).select("spec_id", "root_id", "level", "key", "weight")
+
+
 def entry(spark: SparkSession) -> DataFrame:
-    """The flagship query: the visible first level of one root with names, ranks and offsets."""
+    """The flagship query: the visible first level of every root with names, ranks and offsets."""
     d = "/root/testdata/sf0.001"
-    return visible.visible_tree(root_nodes(spark, d), SPECS["q1"], SPECS["q1"].controls(), labels=star.attribute_labels(spark, d))
+    return visible_of(spark, d, SPECS["q1"].controls(), labels=star.attribute_labels(spark, d))
