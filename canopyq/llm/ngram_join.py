@@ -21,17 +21,27 @@ these units a pair needs tau + 1 again; a set that has not even those indexes it
 tokens one by one, the finest partition.  A neighbourhood costs an entry a token,
 so the rule takes it only where subsets alone can't do.
 
+A signature that many sets share is not brought together: a map flush that holds
+HOT of its sets answers them itself and sends one mark on.  All such signatures
+cost the same, so both sides still rank alike.  Sets that must probe one stay rows,
+and get the group's centre by a join.
+
 Small signature groups give all their pairs; a large one gives a star around
 its most central member (whose signatures the most sets share).  A star edge
 that fails verification leaves its member open.  Relative to the centre c, a
 member y lacks m_y of c's tokens and has s_y tokens that no other member has;
 so two members differ in at least s_x + s_y + |m_x - m_y| tokens.  An open member
 whose bound exceeds what a link allows for every fellow is closed, and so is one
-that other links already put into the centre's component.  The others first try the few linked members with the best bounds, as one link is enough to
-join the centre's component; those left meet all fellows for which the bound,
-the triangle inequality and the sets' parity sketches allow a link.  So every link is verified exactly or
-joins what verified links join, and a group of near copies costs a few pairs a
-member.
+that other links already put into the centre's component.  The others first try
+the few linked members with the best bounds, as one link is enough to join the
+centre's component; then those left get a new centre from among them, as long as
+that joins most of them.  What is then left is compared by its differences from
+the centre: two members link only if their differences overlap, more so the more
+they have, so they share one of the rarest of their differing tokens (prefix
+argument).  Members meet by those tokens, and a pair goes on if the bound, the
+triangle inequality and the sets' parity sketches allow a link.  So every link is
+verified exactly or joins what verified links join, a group of near copies costs
+a few pairs a member, and no group is paired with itself.
 
 Texts with equal sets are one class throughout and never expand into pairs.
 
@@ -49,25 +59,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.shared import shared_checkpoint
 from .components import connected
-from .dealing import BLOCK, Outbox, by_bucket, deal, groups, join_hot, numbered_buckets, opened, parts, release, small_batches
+from .dealing import BLOCK, Outbox, aside, by_bucket, deal, groups, join_hot, numbered_buckets, opened, parts, release, small_batches
 from .vectext import Words, chunks, mix, windows
 
 #: Group size up to which all pairs are candidates.
 SMALL = 3
 
-#: role: 0, 1 as in _schemes(), or FINE.  A signature is its bucket and sig.
+#: role: 0, 1 as in _schemes(), FINE, or MANY (of this signature a flush had HOT sets).  A signature is its bucket and sig.
 ENTRY = [("sig", "<u4"), ("id", "<u8"), ("role", "<u1")]
-FINE = 2
+FINE, MANY = 2, 3
+#: Sets of a signature up to which they are counted.
+HOT = 256
 #: at: the signature's bucket; n: how many sets share it.  A set's header has n = 0, its size and lack in the others.
 SHARED = [("sig", "<u4"), ("at", "<u4"), ("id", "<u8"), ("role", "<u1"), ("n", "<u4")]
 #: rank: the lower, the more central.
 MEMBER = [("sig", "<u4"), ("id", "<u8"), ("size", "<u4"), ("rank", "<u4")]
-PAIR = [("x", "<u8"), ("y", "<u8")]
+HOT_MEMBER = [("at", "<u4"), *MEMBER]
 
 
 class Sets:
@@ -180,8 +192,22 @@ def _place(sig: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _entries(shingle: int, percent: int, buckets: int):
+    def combine(keys: np.ndarray, cols: list[np.ndarray]) -> list[tuple]:
+        """Entries for the signatures' buckets; of signatures with HOT sets a mark there, and the sets' answers."""
+        order = np.lexsort((cols[2], cols[1], cols[0], keys))
+        keys, (sig, ids, role) = keys[order], (c[order] for c in cols)
+        at, _ = groups(keys, sig, ids, role)
+        keys, sig, ids, role = keys[at], sig[at], ids[at], role[at]
+        at, n = groups(keys, sig)
+        many = np.repeat(n >= HOT, n)
+        marks = at[n >= HOT]
+        known = [sig[many], keys[many].astype(np.uint32), ids[many], role[many], np.full(int(many.sum()), HOT, np.uint32)]
+        entries = [np.concatenate([c[~many], c[marks]]) for c in (sig, ids)]
+        entries.append(np.concatenate([role[~many], np.full(len(marks), MANY, np.uint8)]))
+        return [(-1 - _id_bucket(ids[many], buckets), known), (np.concatenate([keys[~many], keys[marks]]), entries)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Outbox(ENTRY, buckets, 1 << 19)
+        out = Outbox(ENTRY, buckets, 1 << 19, combine)
         for batch in batches:
             for part in chunks(batch):
                 s = Sets(part.column(0), shingle)
@@ -214,47 +240,75 @@ def _headers(buckets: int):
 
 
 def _shared(buckets: int):
-    """Entries whose signature several sets have, with their number, back to the sets."""
+    """Entries whose signature several sets have, with their number (HOT at most), back to the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Outbox(SHARED, buckets)
-        for bucket, x in numbered_buckets(batches, ENTRY):
+        out, passed = Outbox(SHARED, buckets), []
+        for bucket, x in numbered_buckets(aside(batches, passed), ENTRY):
+            yield from passed
+            passed.clear()
             order = np.argsort(x["sig"], kind="stable")
             at, n = groups(x["sig"][order])
             order = order[np.repeat(n > 1, n)]
             order = order[np.lexsort((x["role"][order], x["id"][order], x["sig"][order]))]
             sig, ids = x["sig"][order], x["id"][order]
             at, _ = groups(sig, ids, x["role"][order])  # equal sets of other slices once
-            order, sig, ids = order[at], sig[at], ids[at]
+            order, sig = order[at], sig[at]
+            mark = x["role"][order] == MANY
             at, n = groups(sig)
-            keep = np.repeat(n > 1, n)
-            order, ids, n = order[keep], ids[keep], np.repeat(n, n)[keep]
+            marked = np.add.reduceat(mark, at) > 0 if len(at) else n > 0
+            n = np.where(marked, HOT, np.minimum(n, HOT))
+            n = np.repeat(n, np.diff(np.append(at, len(sig))))
+            keep = (n > 1) & ~mark
+            order, n = order[keep], n[keep]
+            ids = x["id"][order]
             yield from out.add(_id_bucket(ids, buckets), x["sig"][order], np.full(len(order), bucket), ids, x["role"][order], n)
+        yield from passed
         yield from out.flush()
 
     return run
 
 
 def _allocate(buckets: int):
-    """The signatures that each set probes: the rarest, after those it has alone."""
+    """The signatures that each set probes: the rarest, after those it has alone.  Those of HOT signatures go to bucket -1, as HOT_MEMBER."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Outbox(MEMBER, buckets)
+        out, hot = Outbox(MEMBER, buckets), Outbox(HOT_MEMBER, buckets)
         for x in by_bucket(batches, SHARED):
             order = np.lexsort((x["sig"], x["at"], x["n"], x["role"], x["id"]))  # a header comes first
             x = {k: v[order] for k, v in x.items()}
+            at, _ = groups(x["id"], x["role"], x["n"], x["at"], x["sig"])  # equal sets of other flushes once
+            x = {k: v[at] for k, v in x.items()}
             head, n = groups(x["id"], x["role"])
             size, lack = np.repeat(x["sig"][head], n), x["at"][head].view(np.int32).astype(np.int64)
-            place = np.arange(len(order)) - np.repeat(head, n)
+            place = np.arange(len(size)) - np.repeat(head, n)
             keep = (place > 0) & (place <= np.repeat(n - 1 + lack, n))
             shared = np.add.reduceat(x["n"].astype(np.int64), head) if len(head) else head
             rank = np.repeat((1 << 32) - 1 - np.minimum(shared, (1 << 32) - 1), n)
-            yield from out.add(x["at"][keep].astype(np.int32), x["sig"][keep], x["id"][keep], size[keep], rank[keep])
+            k = keep & (x["n"] < HOT)
+            yield from out.add(x["at"][k].astype(np.int32), x["sig"][k], x["id"][k], size[k], rank[k])
+            k = keep & (x["n"] >= HOT)
+            yield from hot.add(np.full(int(k.sum()), -1), x["at"][k], x["sig"][k], x["id"][k], size[k], rank[k])
         yield from out.flush()
+        yield from hot.flush()
 
     return run
 
 
+def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, rank) of blocks of HOT_MEMBER."""
+    for b in batches:
+        x = opened(list(b.column(1)), HOT_MEMBER)
+        key = (x["at"].astype(np.int64) << 32) | x["sig"].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(x["id"].view(np.int64)), pa.array(x["rank"].astype(np.int64))], names=["key", "id", "rank"])
+
+
+def hot_stars(hot: DataFrame) -> DataFrame:
+    """(centre, member) pairs of the groups of rows (key, id, rank)."""
+    heads = shared_checkpoint(hot.groupBy("key").agg(F.min(F.struct("rank", "id")).alias("head"), F.count("*").alias("n")).select("key", F.col("head.id").alias("x"), "n"))
+    return join_hot(hot, heads, ["key"], "n", hot.count()).where(F.col("id") != F.col("x")).select("x", F.col("id").alias("y"))
+
+
 def _members(x: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
     """Members in order of signature, rank and id, each group's start and length."""
     order = np.lexsort((x["id"], x["rank"], x["sig"]))
@@ -326,25 +380,60 @@ def _texts_wanted(home: pa.Table, wanted: np.ndarray, shingle: int) -> dict[int,
 MESSAGE = "bucket int, x long, ys binary, tokens binary"
 #: Words of a set's parity sketch: bit i says whether an odd number of tokens falls to it, so two sets differ in as many tokens at least as their sketches in bits.
 SKETCH = 8
-VERIFIED = "x long, y long, common long, size_x long, size_y long, extras binary, " + ", ".join(f"p{i} long" for i in range(SKETCH))
+VERIFIED = "x long, y long, common long, size_x long, size_y long, extras binary, lost binary, " + ", ".join(f"p{i} long" for i in range(SKETCH))
+
+
+WANT = [("x", "<u8"), ("to", "<i4")]
+
 
+def _wants(buckets: int):
+    """(x, bucket) where x has candidates, once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, to = b.column(0).to_numpy(), _id_bucket(b.column(1).to_numpy().view(np.uint64), buckets)
+            order = np.lexsort((to, x))
+            at, _ = groups(x[order], to[order])
+            yield pa.RecordBatch.from_arrays([pa.array(x[order][at]), pa.array(to[order][at], pa.int32())], names=["x", "to"])
+
+    return run
+
+
+def _want_blocks(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Outbox(WANT, buckets)
+        for b in batches:
+            x = b.column(0).to_numpy().view(np.uint64)
+            yield from out.add(_id_bucket(x, buckets), x, b.column(1).to_numpy())
+        yield from out.flush()
 
-def _send(shingle: int, buckets: int):
+    return run
+
+
+def _pair_messages(buckets: int):
+    """The candidates (x, y) in y's bucket: a row for each x of a batch there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            to = _id_bucket(y, buckets)
+            order = np.lexsort((x, to))
+            x, y, to = x[order], y[order], to[order]
+            at, n = groups(to, x)
+            ys = [y[a : a + k].tobytes() for a, k in zip(at.tolist(), n.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(to[at], pa.int32()), pa.array(x[at].view(np.int64)), pa.array(ys, pa.binary()), pa.array([None] * len(at), pa.binary())], names=["bucket", "x", "ys", "tokens"])
+
+    return run
+
+
+def _send(shingle: int):
     """The set of x to each bucket where it has candidates, once."""
 
     def run(home: pa.Table, blocks: pa.Table) -> pa.Table:
-        pair = opened(list(blocks.column("payload").combine_chunks()) if blocks.num_rows else [], PAIR)
-        pairs = np.unique(np.stack([pair["x"], pair["y"]], axis=1), axis=0)
-        sets = _texts_wanted(home, pairs[:, 0], shingle) if len(pairs) else {}
-        to = _id_bucket(pairs[:, 1], buckets)
-        order = np.lexsort((to, pairs[:, 0]))
-        pairs, to = pairs[order], to[order]
-        at, n = groups(pairs[:, 0], to)
-        xs = pairs[at, 0]
-        return pa.table(
-            [pa.array(to[at], pa.int32()), pa.array(xs.view(np.int64)), pa.array([np.ascontiguousarray(pairs[a : a + k, 1]).tobytes() for a, k in zip(at, n)], pa.binary()), pa.array([sets[int(x)].tobytes() for x in xs], pa.binary())],
-            names=["bucket", "x", "ys", "tokens"],
-        )
+        want = opened(list(blocks.column("payload").combine_chunks()) if blocks.num_rows else [], WANT)
+        sets = _texts_wanted(home, want["x"], shingle) if len(want["x"]) else {}
+        tokens = [sets[x].tobytes() for x in want["x"].tolist()]
+        return pa.table([pa.array(want["to"], pa.int32()), pa.array(want["x"].view(np.int64)), pa.array([None] * len(tokens), pa.binary()), pa.array(tokens, pa.binary())], names=["bucket", "x", "ys", "tokens"])
 
     return run
 
@@ -355,23 +444,28 @@ def parity(tokens: np.ndarray) -> list[int]:
 
 
 def _verify(shingle: int):
-    """Exact common tokens of each pair whose y lives in the bucket; extras: 32 bits of each token that only y has."""
+    """Exact common tokens of each pair whose y lives in the bucket; extras, lost: 32 bits of each token that only y, only x has."""
 
     def run(home: pa.Table, messages: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if messages.num_rows:
-            ys = [np.frombuffer(v.as_buffer(), np.uint64) for v in messages.column("ys").combine_chunks()]
-            sets = _texts_wanted(home, np.concatenate(ys), shingle)
-            for x, mine, tokens in zip(messages.column("x").to_pylist(), ys, messages.column("tokens").combine_chunks()):
+            xs, ys, tokens_of = messages.column("x").to_pylist(), messages.column("ys").combine_chunks(), messages.column("tokens").combine_chunks()
+            there = {x: t for x, t in zip(xs, tokens_of) if t.is_valid}
+            asked = [(x, np.frombuffer(v.as_buffer(), np.uint64)) for x, v in zip(xs, ys) if v.is_valid]
+            sets = _texts_wanted(home, np.concatenate([y for _, y in asked]), shingle) if asked else {}
+            for x, mine in asked:
+                tokens = there[x]
                 a = np.frombuffer(tokens.as_buffer(), np.uint64)
                 for y in mine:
                     b = sets[int(y)]
                     place = np.minimum(np.searchsorted(a, b), len(a) - 1)
                     both = a[place] == b
-                    rows.append((x, int(y.view(np.int64)), int(both.sum()), len(a), len(b), b[~both].astype(np.uint32).tobytes(), *parity(b)))
-        cols = list(zip(*rows)) or [[]] * (6 + SKETCH)
+                    alone = np.ones(len(a), bool)
+                    alone[place[both]] = False
+                    rows.append((x, int(y.view(np.int64)), int(both.sum()), len(a), len(b), b[~both].astype(np.uint32).tobytes(), a[alone].astype(np.uint32).tobytes(), *parity(b)))
+        cols = list(zip(*rows)) or [[]] * (7 + SKETCH)
         release()
-        return pa.table([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(cols)], names=["x", "y", "common", "size_x", "size_y", "extras", *(f"p{i}" for i in range(SKETCH))])
+        return pa.table([pa.array(c, pa.binary() if i in (5, 6) else pa.int64()) for i, c in enumerate(cols)], names=["x", "y", "common", "size_x", "size_y", "extras", "lost", *(f"p{i}" for i in range(SKETCH))])
 
     return run
 
@@ -391,30 +485,27 @@ def verify_pairs(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, shi
     if reps.count() <= BROADCAST_SETS:
         docs = docs.join(F.broadcast(reps), docs["doc_id"].eqNullSafe(reps["_rep"]), "left_semi")
     home = docs.select("text").mapInArrow(_homes(shingle, n), "bucket int, set_id long, text string").repartition(n, "bucket")
-    blocks = pairs.select("x", "y").mapInArrow(_pair_blocks(n), BLOCK).repartition(n, "bucket")
-    sent = home.groupBy("bucket").cogroup(blocks.groupBy("bucket")).applyInArrow(_send(shingle, n), MESSAGE)
-    return shared_checkpoint(home.groupBy("bucket").cogroup(sent.repartition(n, "bucket").groupBy("bucket")).applyInArrow(_verify(shingle), VERIFIED))
-
+    pairs = pairs.select("x", "y")
+    wants = pairs.mapInArrow(_wants(n), "x long, to int").distinct().mapInArrow(_want_blocks(n), BLOCK).repartition(n, "bucket")
+    sent = home.groupBy("bucket").cogroup(wants.groupBy("bucket")).applyInArrow(_send(shingle), MESSAGE)
+    messages = sent.unionByName(pairs.mapInArrow(_pair_messages(n), MESSAGE)).repartition(n, "bucket")
+    return shared_checkpoint(home.groupBy("bucket").cogroup(messages.groupBy("bucket")).applyInArrow(_verify(shingle), VERIFIED))
 
-def _pair_blocks(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Outbox(PAIR, buckets)
-        for b in batches:
-            x, y = (b.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            yield from out.add(_id_bucket(x, buckets), x, y)
-        yield from out.flush()
 
-    return run
+TOKENS = "center long, id long, token long, own int"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(center, id, token) of each extra token."""
+    """Each token of (center, id, extras, and lost tokens if there is such a column), and how many the member has."""
     for b in batches:
-        extras = [np.frombuffer(v.as_buffer(), np.uint32) for v in b.column(2)]
-        n = [len(e) for e in extras]
-        if sum(n):
-            center, ids = (np.repeat(b.column(i).to_numpy(), n) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(center), pa.array(ids), pa.array(np.concatenate(extras).astype(np.int64))], names=["center", "id", "token"])
+        found = []
+        for i in range(b.num_rows):
+            kinds = [np.frombuffer(b.column(c)[i].as_buffer(), np.uint32).astype(np.int64) + ((c - 2) << 32) for c in range(2, b.num_columns)]
+            found.append(np.unique(np.concatenate(kinds)))
+        n = np.array([len(f) for f in found], np.int64)
+        if n.sum():
+            center, ids, own = (np.repeat(c, n) for c in (b.column(0).to_numpy(), b.column(1).to_numpy(), n))
+            yield pa.RecordBatch.from_arrays([pa.array(center), pa.array(ids), pa.array(np.concatenate(found)), pa.array(own.astype(np.int32))], names=["center", "id", "token", "own"])
 
 
 #: Linked members that an open member tries first.
@@ -431,7 +522,7 @@ def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def open_links(verified: DataFrame, linked: Column, percent: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """Links (x, y) that connect members of large groups which do not link with the centre; None if there are none."""
     links = verified.where(linked).select("x", "y")
-    stars = verified.select(F.col("x").alias("center"), F.col("y").alias("id"), F.col("size_y").alias("size"), (F.col("size_x") - F.col("common")).alias("lacks"), (1 - F.col("common") / (F.col("size_x") + F.col("size_y") - F.col("common"))).alias("d"), linked.alias("linked"), "extras", *(f"p{i}" for i in range(SKETCH)))
+    stars = verified.select(F.col("x").alias("center"), F.col("y").alias("id"), F.col("size_y").alias("size"), F.col("size_x").alias("center_size"), (F.col("size_x") - F.col("common")).alias("lacks"), (F.col("size_y") - F.col("common")).alias("extra"), (1 - F.col("common") / (F.col("size_x") + F.col("size_y") - F.col("common"))).alias("d"), linked.alias("linked"), "extras", "lost", *(f"p{i}" for i in range(SKETCH)))
     stars = shared_checkpoint(with_roots(stars, connected(links)))
     apart = F.col("root_center") != F.col("root_id")
     centers = stars.where(apart).select("center").distinct()
@@ -440,41 +531,104 @@ def open_links(verified: DataFrame, linked: Column, percent: int, verify: Callab
     # a member is linked, from here on, if it is in the centre's component
     stars = stars.join(centers, "center", "left_semi").withColumn("linked", ~apart)
     # extra tokens that one member alone has; a hash that collides only makes them fewer
-    alone = stars.select("center", "id", "extras").mapInArrow(_tokens, "center long, id long, token long").groupBy("center", "token").agg(F.count("*").alias("n"), F.min("id").alias("id")).where(F.col("n") == 1)
+    alone = stars.select("center", "id", "extras").mapInArrow(_tokens, TOKENS).groupBy("center", "token").agg(F.count("*").alias("n"), F.min("id").alias("id")).where(F.col("n") == 1)
     alone = alone.groupBy("center", "id").agg(F.count("*").alias("alone"))
     allowed = (100 - percent) / (100 + percent)
-    members = stars.drop("extras").join(alone, ["center", "id"], "left").withColumn("cost", F.coalesce("alone", F.lit(0)) - allowed * F.col("size")).drop("alone")
+    members = stars.drop("extras", "lost").join(alone, ["center", "id"], "left").withColumn("cost", F.coalesce("alone", F.lit(0)) - allowed * F.col("size")).drop("alone")
     members = shared_checkpoint(members)
     # the least cost for each number of lacking tokens (at most the centre's size of them), then a member's best fellows
     least = members.groupBy("center", "lacks", "linked").agg(F.min(F.struct("cost", "id")).alias("best"))
     # written, so that the join below stands on exchanges alone and a frequent centre can be split at run time
     profile = shared_checkpoint(least.groupBy("center").agg(F.collect_list(F.struct("lacks", "linked", F.col("best.cost").alias("cost"), F.col("best.id").alias("id"))).alias("profile")))
     fellows = F.array_sort(F.transform("profile", lambda p: F.struct((p["cost"] + F.abs(p["lacks"] - F.col("lacks"))).alias("cost"), p["id"].alias("id"), p["linked"].alias("linked"))))
-    is_open = members.where(~F.col("linked")).join(profile, "center").withColumn("fellows", fellows).where(F.col("cost") + F.col("fellows")[0]["cost"] <= 1e-6)
+    # what members with as many lacking tokens have in common is worked out once
+    lacking = members.where(~F.col("linked")).select("center", "lacks").distinct().join(profile, "center").withColumn("fellows", fellows)
     tries = F.transform(F.slice(F.filter("fellows", lambda f: f["linked"]), 1, TRIES), lambda f: f["id"])
-    is_open = shared_checkpoint(is_open.withColumn("tries", tries).drop("profile", "fellows"))
+    lacking = shared_checkpoint(lacking.select("center", "lacks", F.col("fellows")[0]["cost"].alias("least"), tries.alias("tries")))
+    is_open = shared_checkpoint(members.where(~F.col("linked")).join(lacking, ["center", "lacks"]).where(F.col("cost") + F.col("least") <= 1e-6).drop("least"))
     if is_open.isEmpty():
         return None
     joins = verify(shared_checkpoint(is_open.select(F.explode("tries").alias("x"), F.col("id").alias("y")).distinct())).where(linked).select("x", "y")
     is_open = is_open.drop("tries")
     roots = connected(links.unionByName(joins))
     is_open = shared_checkpoint(with_roots(is_open, roots))
+    joins, is_open = recentred(is_open, joins, linked, verify)
     left = is_open.where(apart)
     if left.isEmpty():
         return joins
-    end = lambda df, e, *more: df.select("center", *more, *[F.col(c).alias(f"{c}_{e}") for c in ("id", "root_id", "size", "lacks", "cost", "d", *(f"p{i}" for i in range(SKETCH)))])
-    x = end(left, "x")
     fellows = with_roots(members.where("linked").join(left.select("center").distinct(), "center", "left_semi"), roots)
-    y = end(fellows.unionByName(is_open).withColumn("left", apart), "y", "left")
+    every = shared_checkpoint(fellows.unionByName(is_open.join(left.select("center").distinct(), "center", "left_semi")).withColumn("left", apart))
+    met = by_differences(every, stars, percent)
+    end = lambda e: every.select("center", F.col("left").alias(f"left_{e}"), *[F.col(c).alias(f"{c}_{e}") for c in ("id", "root_id", "size", "lacks", "cost", "d", *(f"p{i}" for i in range(SKETCH)))])
     may = (F.col("cost_x") + F.col("cost_y") + F.abs(F.col("lacks_x") - F.col("lacks_y")) <= 1e-6) & (F.abs(F.col("d_x") - F.col("d_y")) <= 1 - percent / 100 + 1e-9)
     bits = sum((F.bit_count(F.col(f"p{i}_x").bitwiseXOR(F.col(f"p{i}_y"))) for i in range(SKETCH)), F.lit(0))
     may = may & (bits * (100 + percent) <= (F.col("size_x") + F.col("size_y")) * (100 - percent))
     fits = F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * percent
-    once = F.when(F.col("left"), F.col("id_x") < F.col("id_y")).otherwise(True)
-    pairs = shared_checkpoint(x.join(y, "center").where(once & may & fits & (F.col("root_id_x") != F.col("root_id_y"))).select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct())
+    once = F.when(F.col("left_y"), F.col("id_x") < F.col("id_y")).otherwise(True)
+    pairs = met.join(end("x"), ["center", "id_x"]).join(end("y"), ["center", "id_y"]).where(once & may & fits & (F.col("root_id_x") != F.col("root_id_y")))
+    pairs = shared_checkpoint(pairs.select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct())
     return joins if pairs.isEmpty() else joins.unionByName(verify(pairs).where(linked).select("x", "y"))
 
 
+#: New centres that a group tries one after the other, as long as each joins half of what is left.
+CENTERS = 6
+
+
+def recentred(is_open: DataFrame, joins: DataFrame, linked: Column, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """joins and the open members' roots after stars around new centres among the members that are left."""
+    left = is_open.where(F.col("root_center") != F.col("root_id"))
+    n = left.count()
+    for _ in range(CENTERS):
+        if n < 2:
+            break
+        # the nearest to the old centre
+        heads = shared_checkpoint(left.groupBy("center").agg(F.min(F.struct("d", "id")).alias("head")).select("center", F.col("head.id").alias("x")))
+        pairs = left.join(heads, "center").where(F.col("id") != F.col("x")).select("x", F.col("id").alias("y")).distinct()
+        found = verify(shared_checkpoint(pairs)).where(linked).select("x", "y")
+        joins = joins.unionByName(found)
+        known = left.select("id", F.col("root_id").alias("root")).distinct()
+        ends = found.join(known.toDF("x", "a"), "x").join(known.toDF("y", "b"), "y")
+        moved = connected(ends.select(F.col("a").alias("x"), F.col("b").alias("y")))
+        for c in ("root_center", "root_id"):
+            is_open = is_open.join(moved.select(F.col("node").alias(c), F.col("root").alias("_new")), c, "left").withColumn(c, F.coalesce("_new", c)).drop("_new")
+        # a member that shares its head's root needs no head of its own
+        is_open = shared_checkpoint(is_open)
+        heads_of = is_open.join(heads, (is_open["center"] == heads["center"]) & (is_open["id"] == heads["x"]), "left_semi").select("center", F.col("root_id").alias("_head_root"))
+        done = left.select("center", "id").join(is_open.select("center", "id", "root_id"), ["center", "id"]).join(heads_of, "center").where(F.col("root_id") == F.col("_head_root"))
+        left = shared_checkpoint(is_open.where(F.col("root_center") != F.col("root_id")).join(left.select("center", "id"), ["center", "id"], "left_semi").join(done.select("center", "id"), ["center", "id"], "left_anti"))
+        now = left.count()
+        if 2 * now > n:
+            break
+        n = now
+    return joins, is_open
+
+
+def by_differences(every: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """(center, id_x, id_y): members left with fellows that share one of both sides' rarest differences from the centre.
+
+    With D the number of a member's differences, tau the most that a link allows
+    and r = tau / (size + size): a partner of x shares at least D_x - tau of its
+    differences.  As x does not link with the centre c, D_x > r (|x| + |c|), so a
+    partner y of any x shares over (D_y + r (|c| - |y|)) / 2 of its own.
+    """
+    r = (100 - percent) / (100 + percent)
+    d = F.col("lacks") + F.col("extra")
+    tau = F.floor((F.col("size") + F.floor(F.col("size") * 100 / percent)) * (100 - percent) / (100 + percent))
+    shared_x = F.greatest(F.lit(1), d - tau)
+    shared_y = F.greatest(F.lit(1), F.floor((d + r * (F.col("center_size") - F.col("size"))) / 2 - 1e-6) + 1)
+    prefixes = every.select("center", "id", "left", (d - shared_x + 1).alias("prefix_x"), (d - shared_y + 1).alias("prefix_y"))
+    tokens = stars.join(every.select("center", "id"), ["center", "id"], "left_semi").select("center", "id", "extras", "lost").mapInArrow(_tokens, TOKENS)
+    tokens = shared_checkpoint(tokens)
+    counts = shared_checkpoint(tokens.groupBy("center", "token").agg(F.count("*").alias("n")).where(F.col("n") > 1))
+    member = Window.partitionBy("center", "id")
+    ranked = tokens.join(counts, ["center", "token"]).withColumns({"rank": F.row_number().over(member.orderBy("n", "token")), "common": F.count("*").over(member)})
+    # tokens that a member has alone come first, and meet nobody
+    ranked = ranked.withColumn("rank", F.col("own") - F.col("common") + F.col("rank")).join(prefixes, ["center", "id"])
+    ranked = shared_checkpoint(ranked.where(F.col("rank") <= F.greatest("prefix_x", "prefix_y")).select("center", "id", "token", (F.col("left") & (F.col("rank") <= F.col("prefix_x"))).alias("as_x"), (F.col("rank") <= F.col("prefix_y")).alias("as_y")))
+    x, y = ranked.where("as_x").select("center", "token", F.col("id").alias("id_x")), ranked.where("as_y").select("center", "token", F.col("id").alias("id_y"))
+    return x.join(y, ["center", "token"]).where(F.col("id_x") != F.col("id_y")).select("center", "id_x", "id_y").distinct()
+
+
 def similar_components(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
     """Components of the links with 100 * intersection >= percent * union.
 
@@ -485,7 +639,7 @@ def similar_components(docs: DataFrame, percent: int = 75, shingle: int = 5) ->
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100: below, partners may be two bands apart")
     small_batches(docs)
-    n = parts(docs, 4)
+    n = parts(docs, 7)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     info = shared_checkpoint(docs.mapInArrow(_info(shingle, percent), INFO))
     firsts = [F.max(c).alias(c) for c in ("n_shingles", "lack0", "lack1")]
@@ -493,8 +647,10 @@ def similar_components(docs: DataFrame, percent: int = 75, shingle: int = 5) ->
     entries = deal(docs.select("text").mapInArrow(_entries(shingle, percent, n), BLOCK), n)
     headers = sets.select("set_id", "n_shingles", "lack0", "lack1").mapInArrow(_headers(n), BLOCK)
     shared = deal(entries.mapInArrow(_shared(n), BLOCK).unionByName(headers), n)
-    probes = deal(shared.mapInArrow(_allocate(n), BLOCK), n)
-    stars = shared_checkpoint(probes.mapInArrow(_star_pairs(percent), "x long, y long").distinct())
+    probes = shared_checkpoint(shared.mapInArrow(_allocate(n), BLOCK))
+    hot = probes.where(F.col("bucket") < 0).mapInArrow(_hot_rows, "key long, id long, rank long")
+    stars = deal(probes.where(F.col("bucket") >= 0), n).mapInArrow(_star_pairs(percent), "x long, y long")
+    stars = shared_checkpoint(stars.unionByName(hot_stars(hot)).distinct())
     verify = lambda pairs: verify_pairs(docs, sets, pairs, n, shingle)
     linked = F.col("common") * 100 >= (F.col("size_x") + F.col("size_y") - F.col("common")) * percent
     verified = verify(stars)
