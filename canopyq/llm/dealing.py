@@ -21,11 +21,6 @@ BLOCK = "bucket int, payload binary"
 BLOCK_SCHEMA = pa.schema([("bucket", pa.int32()), ("payload", pa.binary())])
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a DataFrame."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 #: Rows of an Arrow batch where the session has Spark's default: texts are larger than the rows that default has in mind.
 BATCH_ROWS = 1000
 
@@ -37,17 +32,15 @@ def small_batches(df: DataFrame) -> None:
         conf.set(key, str(BATCH_ROWS))
 
 
-#: Estimates above this are not trusted (they are what Spark says of tables that it knows nothing about, too): the texts are measured.
-TRUSTED_BYTES = 1 << 36
+#: Buckets at most: beyond, they get larger (some 200 MB each for 200 TB of text).
+MOST_BUCKETS = 1_000_000
 
 
-def parts(df: DataFrame, each_mb: float = 8) -> int:
-    """Buckets so that each holds about each_mb of df, at least the session's shuffle partitions; odd."""
-    size = plan_bytes(df)
-    if size > TRUSTED_BYTES:
-        size = df.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
+def parts(df: DataFrame, each_mb: float = 14) -> int:
+    """Buckets so that each holds about each_mb of df's text, which is measured; at least the session's shuffle partitions; odd."""
+    size = df.agg(F.sum(F.octet_length("text") + F.lit(16))).first()[0] or 0
     conf = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(conf, min(1_000_000, math.ceil(size / (each_mb * (1 << 20))))) | 1
+    return max(conf, min(MOST_BUCKETS, math.ceil(size / (each_mb * (1 << 20))))) | 1
 
 
 def bucket_of(column: str, buckets: int) -> Column:
@@ -137,8 +130,8 @@ def opened(payloads: list, fields: list[tuple[str, str]]) -> dict[str, np.ndarra
 
 
 def deal(blocks: DataFrame, n: int) -> DataFrame:
-    """Blocks with all of a bucket in one partition, bucket after bucket."""
-    return blocks.repartition(n, "bucket").sortWithinPartitions("bucket")
+    """Blocks with all of a bucket in one partition, bucket after bucket; every partition gets one bucket from 0 on."""
+    return blocks.repartitionById(n, F.pmod(F.col("bucket"), F.lit(n)).cast("int")).sortWithinPartitions("bucket")
 
 
 def numbered_buckets(batches: Iterator[pa.RecordBatch], fields: list[tuple[str, str]]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
