@@ -138,6 +138,9 @@ def test_components_odd(make_docs, odd_pairs):
 def test_components_random(make_docs, seed, monkeypatch):
     """Large groups of near copies of a few texts, by dropped and changed words, around the threshold."""
     monkeypatch.setattr(ngram_join, "TRIES", 1)
+    if seed % 2:
+        monkeypatch.setattr(ngram_join, "HOT", 6)
+        monkeypatch.setattr(ngram_join, "CENTERS", seed - 1)
     rng = random.Random(seed)
     bases = [[f"b{b}w{rng.randint(0, 400)}" for _ in range(rng.choice([6, 9, 30, 80, 150]))] for b in range(5)]
     common = [f"c{i}" for i in range(40)]
@@ -167,8 +170,10 @@ def test_components_of_poor_sets(make_docs, monkeypatch):
         ngram_join.similar_components(make_docs(pairs), percent=40)
 
 
-def test_components_of_a_hot_signature(make_docs):
-    """A passage that many documents share, most of them alike in nothing else."""
+@pytest.mark.parametrize("most", [ngram_join.HOT, 10])
+def test_components_of_a_hot_signature(make_docs, monkeypatch, most):
+    """A passage that many documents share, most of them alike in nothing else; no bucket gets all of a hot signature's sets."""
+    monkeypatch.setattr(ngram_join, "HOT", most)
     rng = random.Random(13)
     hot = [f"hot{i}" for i in range(60)]
     pairs = [(i, " ".join(hot + [f"own{i}x{k}" for k in range(rng.choice([4, 12, 18, 40]))] + ([f"v{i % 5}"] if i % 3 else []))) for i in range(300)]
