@@ -194,17 +194,23 @@ def _place(sig: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def _entries(shingle: int, percent: int, buckets: int):
     def combine(keys: np.ndarray, cols: list[np.ndarray]) -> list[tuple]:
         """Entries for the signatures' buckets; of signatures with HOT sets a mark there, and the sets' answers."""
-        order = np.lexsort((cols[2], cols[1], cols[0], keys))
-        keys, (sig, ids, role) = keys[order], (c[order] for c in cols)
-        at, _ = groups(keys, sig, ids, role)
-        keys, sig, ids, role = keys[at], sig[at], ids[at], role[at]
-        at, n = groups(keys, sig)
-        many = np.repeat(n >= HOT, n)
-        marks = at[n >= HOT]
-        known = [sig[many], keys[many].astype(np.uint32), ids[many], role[many], np.full(int(many.sum()), HOT, np.uint32)]
+        sig, ids, role = cols
+        which = (keys.astype(np.uint64) << np.uint64(32)) | sig
+        ordered = np.sort(which)
+        at, n = groups(ordered)
+        frequent = ordered[at[n >= HOT]]
+        if not len(frequent):
+            return [(keys, cols)]
+        some = np.flatnonzero(np.isin(which, frequent))
+        some = some[np.lexsort((role[some], ids[some], which[some]))]
+        some = some[groups(which[some], ids[some], role[some])[0]]  # equal sets of several slices once
+        at, n = groups(which[some])
+        frequent, marks, some = which[some][at[n >= HOT]], some[at[n >= HOT]], some[np.repeat(n >= HOT, n)]
+        many = np.isin(which, frequent)
+        known = [sig[some], keys[some].astype(np.uint32), ids[some], role[some], np.full(len(some), HOT, np.uint32)]
         entries = [np.concatenate([c[~many], c[marks]]) for c in (sig, ids)]
         entries.append(np.concatenate([role[~many], np.full(len(marks), MANY, np.uint8)]))
-        return [(-1 - _id_bucket(ids[many], buckets), known), (np.concatenate([keys[~many], keys[marks]]), entries)]
+        return [(-1 - _id_bucket(ids[some], buckets), known), (np.concatenate([keys[~many], keys[marks]]), entries)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Outbox(ENTRY, buckets, 1 << 19, combine)
@@ -558,15 +564,7 @@ def open_links(verified: DataFrame, linked: Column, percent: int, verify: Callab
         return joins
     fellows = with_roots(members.where("linked").join(left.select("center").distinct(), "center", "left_semi"), roots)
     every = shared_checkpoint(fellows.unionByName(is_open.join(left.select("center").distinct(), "center", "left_semi")).withColumn("left", apart))
-    met = by_differences(every, stars, percent)
-    end = lambda e: every.select("center", F.col("left").alias(f"left_{e}"), *[F.col(c).alias(f"{c}_{e}") for c in ("id", "root_id", "size", "lacks", "cost", "d", *(f"p{i}" for i in range(SKETCH)))])
-    may = (F.col("cost_x") + F.col("cost_y") + F.abs(F.col("lacks_x") - F.col("lacks_y")) <= 1e-6) & (F.abs(F.col("d_x") - F.col("d_y")) <= 1 - percent / 100 + 1e-9)
-    bits = sum((F.bit_count(F.col(f"p{i}_x").bitwiseXOR(F.col(f"p{i}_y"))) for i in range(SKETCH)), F.lit(0))
-    may = may & (bits * (100 + percent) <= (F.col("size_x") + F.col("size_y")) * (100 - percent))
-    fits = F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * percent
-    once = F.when(F.col("left_y"), F.col("id_x") < F.col("id_y")).otherwise(True)
-    pairs = met.join(end("x"), ["center", "id_x"]).join(end("y"), ["center", "id_y"]).where(once & may & fits & (F.col("root_id_x") != F.col("root_id_y")))
-    pairs = shared_checkpoint(pairs.select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct())
+    pairs = shared_checkpoint(by_differences(every, stars, percent))
     return joins if pairs.isEmpty() else joins.unionByName(verify(pairs).where(linked).select("x", "y"))
 
 
@@ -604,29 +602,39 @@ def recentred(is_open: DataFrame, joins: DataFrame, linked: Column, verify: Call
 
 
 def by_differences(every: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
-    """(center, id_x, id_y): members left with fellows that share one of both sides' rarest differences from the centre.
+    """Candidates (x, y): members left with fellows that share one of both sides' rarest differences from the centre.
 
     With D the number of a member's differences, tau the most that a link allows
     and r = tau / (size + size): a partner of x shares at least D_x - tau of its
     differences.  As x does not link with the centre c, D_x > r (|x| + |c|), so a
-    partner y of any x shares over (D_y + r (|c| - |y|)) / 2 of its own.
+    partner y of any x shares over (D_y + r (|c| - |y|)) / 2 of its own.  A pair that
+    meets also has to pass the other bounds on how many tokens differ.
     """
     r = (100 - percent) / (100 + percent)
     d = F.col("lacks") + F.col("extra")
     tau = F.floor((F.col("size") + F.floor(F.col("size") * 100 / percent)) * (100 - percent) / (100 + percent))
     shared_x = F.greatest(F.lit(1), d - tau)
     shared_y = F.greatest(F.lit(1), F.floor((d + r * (F.col("center_size") - F.col("size"))) / 2 - 1e-6) + 1)
-    prefixes = every.select("center", "id", "left", (d - shared_x + 1).alias("prefix_x"), (d - shared_y + 1).alias("prefix_y"))
+    traits = ["id", "root_id", "size", "lacks", "cost", "d", "left", *(f"p{i}" for i in range(SKETCH))]
+    prefixes = every.select("center", *traits, (d - shared_x + 1).alias("prefix_x"), (d - shared_y + 1).alias("prefix_y"))
     tokens = stars.join(every.select("center", "id"), ["center", "id"], "left_semi").select("center", "id", "extras", "lost").mapInArrow(_tokens, TOKENS)
     tokens = shared_checkpoint(tokens)
     counts = shared_checkpoint(tokens.groupBy("center", "token").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     member = Window.partitionBy("center", "id")
     ranked = tokens.join(counts, ["center", "token"]).withColumns({"rank": F.row_number().over(member.orderBy("n", "token")), "common": F.count("*").over(member)})
     # tokens that a member has alone come first, and meet nobody
-    ranked = ranked.withColumn("rank", F.col("own") - F.col("common") + F.col("rank")).join(prefixes, ["center", "id"])
-    ranked = shared_checkpoint(ranked.where(F.col("rank") <= F.greatest("prefix_x", "prefix_y")).select("center", "id", "token", (F.col("left") & (F.col("rank") <= F.col("prefix_x"))).alias("as_x"), (F.col("rank") <= F.col("prefix_y")).alias("as_y")))
-    x, y = ranked.where("as_x").select("center", "token", F.col("id").alias("id_x")), ranked.where("as_y").select("center", "token", F.col("id").alias("id_y"))
-    return x.join(y, ["center", "token"]).where(F.col("id_x") != F.col("id_y")).select("center", "id_x", "id_y").distinct()
+    ranked = ranked.select("center", "id", "token", (F.col("own") - F.col("common") + F.col("rank")).alias("rank")).join(prefixes, ["center", "id"])
+    ranked = shared_checkpoint(ranked.where(F.col("rank") <= F.greatest("prefix_x", "prefix_y")))
+    side = lambda e, rows: rows.select("center", "token", *[F.col(c).alias(f"{c}_{e}") for c in traits])
+    x, y = side("x", ranked.where(F.col("left") & (F.col("rank") <= F.col("prefix_x")))), side("y", ranked.where(F.col("rank") <= F.col("prefix_y")))
+    once = F.when(F.col("left_y"), F.col("id_x") < F.col("id_y")).otherwise(F.col("id_x") != F.col("id_y"))
+    bound = F.col("cost_x") + F.col("cost_y") + F.abs(F.col("lacks_x") - F.col("lacks_y")) <= 1e-6
+    triangle = F.abs(F.col("d_x") - F.col("d_y")) <= 1 - percent / 100 + 1e-9
+    bits = sum((F.bit_count(F.col(f"p{i}_x").bitwiseXOR(F.col(f"p{i}_y"))) for i in range(SKETCH)), F.lit(0))
+    sketch = bits * (100 + percent) <= (F.col("size_x") + F.col("size_y")) * (100 - percent)
+    fits = F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * percent
+    met = x.withColumnsRenamed({"center": "_c", "token": "_t"}).join(y, (F.col("_c") == F.col("center")) & (F.col("_t") == F.col("token")) & once & bound & triangle & sketch & fits & (F.col("root_id_x") != F.col("root_id_y")))
+    return met.select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct()
 
 
 def similar_components(docs: DataFrame, percent: int = 75, shingle: int = 5) -> DataFrame:
