@@ -180,6 +180,29 @@ def test_components_of_a_hot_signature(make_docs, monkeypatch, most):
     assert rows(ngram_join.similar_components(make_docs(pairs)), "doc_id", "n_shingles", "component_id") == brute_components(pairs)
 
 
+@pytest.mark.parametrize("centers", [0, 3])
+def test_components_left_by_their_differences(make_docs, monkeypatch, centers):
+    """Variants of one text, near copies of each: members that neither the centre nor a few linked fellows join."""
+    for name, value in (("TRIES", 0), ("HOT", 6), ("CENTERS", centers)):
+        monkeypatch.setattr(ngram_join, name, value)
+    reached = []
+    whole = ngram_join.by_differences
+    monkeypatch.setattr(ngram_join, "by_differences", lambda every, *more: (reached.append(every.where("left").count()), whole(every, *more))[1])
+    rng = random.Random(100)
+    pairs = []
+    for i in range(70):
+        w = [f"b{k}" for k in range(120)]
+        v = rng.randint(0, 3)
+        if v:
+            w[20 * v : 20 * v + 12] = [f"v{v}x{k}" for k in range(12)]
+        for _ in range(rng.randint(0, 5)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = [] if rng.random() < 0.5 else [f"n{rng.randint(0, 9)}"]
+        pairs.append((i, " ".join(w)))
+    assert rows(ngram_join.similar_components(make_docs(pairs)), "doc_id", "n_shingles", "component_id") == brute_components(pairs)
+    assert centers or (reached and reached[0] > 3)
+
+
 def test_empty_tables(make_docs):
     docs = make_docs([])
     for df in (substring_dedup.dedup_substrings(docs), line_dedup.dedup_lines(docs), line_dedup.rewrite_lines(docs), ngram_join.similar_components(docs)):
