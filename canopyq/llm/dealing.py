@@ -96,6 +96,13 @@ class Outbox:
                 yield blocks(k, c)
 
 
+def repeated(values: np.ndarray, least: int = 2) -> np.ndarray:
+    """Places of the values that occur least times or more, in their order; cheap where there are none."""
+    ordered = np.sort(values)
+    hit = ordered[: len(ordered) - least + 1] == ordered[least - 1 :] if len(ordered) >= least else np.zeros(0, bool)
+    return np.flatnonzero(np.isin(values, np.unique(ordered[: len(hit)][hit]))) if hit.any() else np.zeros(0, np.int64)
+
+
 def aside(batches: Iterator[pa.RecordBatch], passed: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of buckets from 0 on; those of bucket -1 - b, which are done here, are put into passed as blocks of b."""
     for batch in batches:

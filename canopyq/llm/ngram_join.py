@@ -64,7 +64,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.shared import shared_checkpoint
 from .components import connected
-from .dealing import BLOCK, Outbox, aside, by_bucket, deal, groups, join_hot, numbered_buckets, opened, parts, release, small_batches
+from .dealing import BLOCK, Outbox, aside, by_bucket, deal, groups, join_hot, numbered_buckets, opened, parts, release, repeated, small_batches
 from .vectext import Words, chunks, mix, windows
 
 #: Group size up to which all pairs are candidates.
@@ -196,12 +196,9 @@ def _entries(shingle: int, percent: int, buckets: int):
         """Entries for the signatures' buckets; of signatures with HOT sets a mark there, and the sets' answers."""
         sig, ids, role = cols
         which = (keys.astype(np.uint64) << np.uint64(32)) | sig
-        ordered = np.sort(which)
-        at, n = groups(ordered)
-        frequent = ordered[at[n >= HOT]]
-        if not len(frequent):
+        some = repeated(which, HOT)
+        if not len(some):
             return [(keys, cols)]
-        some = np.flatnonzero(np.isin(which, frequent))
         some = some[np.lexsort((role[some], ids[some], which[some]))]
         some = some[groups(which[some], ids[some], role[some])[0]]  # equal sets of several slices once
         at, n = groups(which[some])

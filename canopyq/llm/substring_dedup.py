@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .dealing import BLOCK, Outbox, aside, bucket_of, buckets_of, by_bucket, deal, groups, opened, parts, small_batches
+from .dealing import BLOCK, Outbox, aside, bucket_of, buckets_of, by_bucket, deal, groups, opened, parts, repeated, small_batches
 from .vectext import BASE, BASE2, Words, chunks, windows
 
 #: Period and perfect difference cover modulo it: every residue is a difference of two members.
@@ -54,13 +54,16 @@ def _anchors(window: int, buckets: int):
 
     def combine(keys: np.ndarray, cols: list[np.ndarray]) -> list[tuple]:
         h, doc, mark, pos = cols
-        order = np.lexsort((doc, h))
-        keys, (h, doc, mark, pos) = keys[order], (c[order] for c in (h, doc, mark, pos))
-        at, n = groups(h)
-        known = np.repeat(doc[at] < doc[at + n - 1], n)  # two documents of this flush: shared, whatever others have
-        travels = ~known
-        travels[at] = travels[at + n - 1] = True
-        return [(-1 - buckets_of(doc[known], buckets), [doc[known], mark[known], pos[known]]), (keys[travels], [c[travels] for c in (h, doc, mark, pos)])]
+        some = repeated(h)
+        some = some[np.lexsort((doc[some], h[some]))]
+        at, n = groups(h[some])
+        known = np.repeat(doc[some][at] < doc[some][at + n - 1], n)  # two documents of this flush: shared, whatever others have
+        ends = np.zeros(len(some), bool)
+        ends[at] = ends[at + n - 1] = True
+        travels = np.ones(len(h), bool)
+        travels[some[known & ~ends]] = False
+        some = some[known]
+        return [(-1 - buckets_of(doc[some], buckets), [c[some] for c in (doc, mark, pos)]), (keys[travels], [c[travels] for c in cols])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Outbox(ANCHOR, buckets, combine=combine)
@@ -115,11 +118,13 @@ def _full_windows(window: int, buckets: int):
 
     def combine(keys: np.ndarray, cols: list[np.ndarray]) -> list[tuple]:
         h, g, doc, mark, pos = cols
-        order = np.lexsort((doc, g, h))
-        keys, (h, g, doc, mark, pos) = keys[order], (c[order] for c in (h, g, doc, mark, pos))
-        at, n = groups(h, g)
-        first = doc == np.repeat(doc[at], n)
-        return [(-1 - buckets_of(doc[~first], buckets), [c[~first] for c in (doc, mark, pos)]), (keys[first], [c[first] for c in (h, g, doc, mark, pos)])]
+        some = repeated(h)
+        some = some[np.lexsort((doc[some], g[some], h[some]))]
+        at, n = groups(h[some], g[some])
+        later = some[doc[some] > np.repeat(doc[some][at], n)]
+        travels = np.ones(len(h), bool)
+        travels[later] = False
+        return [(-1 - buckets_of(doc[later], buckets), [c[later] for c in (doc, mark, pos)]), (keys[travels], [c[travels] for c in cols])]
 
     def run(docs: pa.Table, blocks: pa.Table) -> pa.Table:
         spots = opened(list(blocks.column("payload").combine_chunks()) if blocks.num_rows else [], SPOT)
