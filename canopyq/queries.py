@@ -119,8 +119,13 @@ def visible_of(spark: SparkSession, d: str, controls: list[Control], keys: list[
     """Every root's visible tree; keys: the paths selected in each."""
     if keys is None:
         return visible.visible_tree(nodes_of(spark, d, "q1"), SPECS["q1"], controls, labels=labels)
-    nodes = stored_nodes(spark, d)
-    return visible.visible_tree(nodes, SPECS["q1"], controls, selection.selection_of(nodes, keys), labels)
+    return visible.visible_tree(nodes_of(spark, d, "q1"), SPECS["q1"], controls, in_every_root(spark, d, keys), labels)
+
+
+def in_every_root(spark: SparkSession, d: str, keys: list[str]) -> DataFrame:
+    """The same paths selected under every root."""
+    roots = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("root_id"))
+    return roots.withColumn("key", F.explode(F.array(*map(F.lit, keys))))
 
 
 # ---- facts and roll-ups ----
@@ -375,7 +380,7 @@ SIZED_KEYS = ["1", "2", "1-6", "2-7"]
 def visible_by_specialization(spark, d):
     nodes = stored_nodes(spark, d)
     sizes = metrics.spec_metric(nodes, SPECS["q1"], 3, GG, _baseline(spark, d, GG, nodes=nodes))
-    return shown(visible.visible_tree(nodes, SPECS["q1"], SIZED, selection.selection_of(nodes, SIZED_KEYS), sizes={3: sizes}))
+    return shown(visible.visible_tree(nodes, SPECS["q1"], SIZED, in_every_root(spark, d, SIZED_KEYS), sizes={3: sizes}))
 
 
 # ---- path profile ----
