@@ -109,3 +109,57 @@ def described(kind: Column) -> Column:
     for k, words in DESCRIPTIONS.items():
         out = F.when(kind == k, F.lit(words)).otherwise(out)
     return out
+
+
+def url_parameter(url: Column, name: str) -> Column:
+    """A query-string parameter of a URL, null if it is not there; the first one counts."""
+    pattern = rf"^[^?#]*\?(?:[^#]*?&)?{name}=([^&#]*)"
+    return F.when(url.rlike(pattern), F.regexp_extract(url, pattern, 1))
+
+
+def wrapped(words: Column, most: Column) -> Column:
+    """Words in lines, as many in each as fit: a line's characters, with a blank behind each word, are most at most, but a line has one word at least."""
+    room = lambda a, w: a["used"] + F.length(w) + 1
+    start = F.struct(F.array().cast("array<array<string>>").alias("full"), F.array().cast("array<string>").alias("line"), F.lit(0).alias("used"))
+
+    def step(a: Column, w: Column) -> Column:
+        breaks = (room(a, w) > most) & (F.size(a["line"]) > 0)
+        full = F.when(breaks, F.concat(a["full"], F.array(a["line"]))).otherwise(a["full"])
+        line = F.when(breaks, F.array(w)).otherwise(F.concat(a["line"], F.array(w)))
+        return F.struct(full.alias("full"), line.alias("line"), F.when(breaks, F.length(w) + 1).otherwise(room(a, w)).alias("used"))
+
+    return F.aggregate(words, start, step, lambda a: F.when(F.size(a["line"]) > 0, F.concat(a["full"], F.array(a["line"]))).otherwise(a["full"]))
+
+
+#: How often a label is broken anew, and how much longer than the mean a line may be.
+BREAKS, SLACK = 7, 1.25
+
+
+def fitted(words: Column, width: float, height: float, line_height: float, letter_width: float) -> Column:
+    """Lines and font size with which words fill a box best: more lines as long as these allow a larger font."""
+    tall = lambda lines: F.lit(float(height)) / (F.lit(1.0) + (lines - 1) * F.lit(float(line_height)))
+    start = F.struct(F.array(words).alias("lines"), F.lit(1).alias("count"), F.lit(0.0).alias("size"), F.lit(False).alias("done"))
+
+    def step(a: Column, _: Column) -> Column:
+        size = F.least(F.lit(float(width)) / (longest_line(a["lines"]) * F.lit(float(letter_width))), tall(a["count"]))
+        enough = (F.size(a["lines"]) == F.size(words)) | (size >= tall(a["count"] + 1))
+        more = wrapped(words, line_length(words) / (a["count"] + 1) * F.lit(SLACK))
+        lines = F.when(enough, a["lines"]).otherwise(more)
+        done = enough | (F.size(more) == a["count"])
+        now = F.struct(lines.alias("lines"), F.when(enough, a["count"]).otherwise(F.size(more)).alias("count"), size.alias("size"), done.alias("done"))
+        return F.when(a["done"], a).otherwise(now)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(BREAKS)), start, step, lambda a: F.struct(a["lines"].alias("lines"), a["size"].alias("size")))
+
+
+def word_places(lines: Column, line_height: float, letter_width: float, base: float, left: bool = False) -> Column:
+    """Where each word of some lines stands around the last line's middle (or start), in a font of size base."""
+    across = lambda letters: letters * F.lit(letter_width * base)
+
+    def line(words: Column, i: Column) -> Column:
+        y = (i - F.size(lines) + 1) * F.lit(line_height * base)
+        x = F.lit(0.0) if left else across(-line_length(words) / 2)
+        before = lambda k: F.when(k > 0, line_length(F.slice(words, F.lit(1), k)) + 1).otherwise(F.lit(0))
+        return F.transform(words, lambda w, k: F.struct(w.alias("word"), (x + across(before(k))).alias("x"), y.alias("y")))
+
+    return F.flatten(F.transform(lines, line))

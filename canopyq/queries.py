@@ -722,6 +722,22 @@ def expanded_sizes(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("id"), numbers.the_one(expanded, F.col("n_nationkey"), F.col("n_nationkey").cast("double"), F.lit(100.0), F.lit(1.0)).alias("size"))
 
 
+@query(r"SELECT page_id, CASE WHEN regexp_matches(url, '^[^?#]*\?([^#]*&)?page=') THEN regexp_extract(url, '^[^?#]*\?(?:[^#]*?&)?page=([^&#]*)', 1) END AS page, CASE WHEN regexp_matches(url, '^[^?#]*\?([^#]*&)?utm_source=') THEN regexp_extract(url, '^[^?#]*\?(?:[^#]*?&)?utm_source=([^&#]*)', 1) END AS source FROM pages")
+def url_parameters(spark, d):
+    """Query-string parameters as inputs of a view."""
+    url = F.col("url")
+    return table(spark, d, "pages").select("page_id", text.url_parameter(url, "page").alias("page"), text.url_parameter(url, "utm_source").alias("source"))
+
+
+@query()
+def word_layout(spark, d):
+    """Part names broken into lines for a box, upright or turned, with each word's place."""
+    rows = table(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    rows = rows.withColumn("flat", text.fitted(F.col("w"), 60.0, 40.0, 1.2, 0.6)).withColumn("turned", text.fitted(F.col("w"), 40.0, 60.0, 1.2, 0.6))
+    rows = rows.withColumn("rotate", F.col("turned.size") > F.col("flat.size")).withColumn("best", F.when(F.col("rotate"), F.col("turned")).otherwise(F.col("flat")))
+    return rows.select("p_partkey", "rotate", r9(F.col("best.size") / 16.0, "scale"), F.inline(text.word_places(F.col("best.lines"), 1.2, 0.6, 16.0)))
+
+
 @query("SELECT i::INT AS i, round(cos(i * 2 * pi() / 7), 9) AS x, round(sin(i * 2 * pi() / 7), 9) AS y FROM range(7) t(i)")
 def polygon_points(spark, d):
     rows = spark.range(1).select(F.posexplode(numbers.polygon(7)).alias("i", "p"))

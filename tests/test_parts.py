@@ -150,3 +150,44 @@ def test_view_and_profile(spark, small):
     got = explore.profile(nodes, SPECS["q1"], "3", ["1"], labels)
     assert got["nodes"].count() == got["volume"].count() == got["metrics"].count() == got["filters"].count() == 1
     assert explore.find_roots(star.root_descriptions(spark, small), "nation").count() == 6
+
+
+def broken(words, most):
+    lines, used = [], 0
+    for w in words:
+        used += len(w) + 1
+        if not lines or used > most:
+            lines.append([])
+            used = len(w) + 1
+        lines[-1].append(w)
+    return lines
+
+
+def fit(words, width, height, tall, wide):
+    lines, count, size = [words], 1, 0.0
+    for _ in range(7):
+        size = min(width / (max(len(" ".join(x)) for x in lines) * wide), height / (1 + (count - 1) * tall))
+        if len(lines) == len(words) or size >= height / (1 + count * tall):
+            break
+        lines = broken(words, len(" ".join(words)) / (count + 1) * 1.25)
+        if len(lines) == count:
+            break
+        count = len(lines)
+    return lines, size
+
+
+def test_words_in_a_box(spark):
+    rng = random.Random(3)
+    names = [["x" * rng.randint(1, 12) for _ in range(rng.randint(1, 9))] for _ in range(60)]
+    rows = spark.createDataFrame([(i, w) for i, w in enumerate(names)], "i int, w array<string>")
+    c = F.col("w")
+    got = rows.select("i", text.wrapped(c, F.lit(14)).alias("lines"), *[text.fitted(c, w, h, 1.2, 0.6).alias(f"f{k}") for k, (w, h) in enumerate(((60.0, 40.0), (10.0, 90.0), (200.0, 5.0)))]).collect()
+    for r in got:
+        words = names[r["i"]]
+        assert r["lines"] == broken(words, 14)
+        for k, (w, h) in enumerate(((60.0, 40.0), (10.0, 90.0), (200.0, 5.0))):
+            lines, size = fit(words, w, h, 1.2, 0.6)
+            assert r[f"f{k}"]["lines"] == lines and r[f"f{k}"]["size"] == pytest.approx(size)
+    places = spark.createDataFrame([([["ab", "c"], ["def"]],)], "l array<array<string>>").select(text.word_places(F.col("l"), 1.0, 0.5, 10.0).alias("p"), text.word_places(F.col("l"), 1.0, 0.5, 10.0, left=True).alias("q")).first()
+    assert [tuple(x) for x in places["p"]] == [("ab", -10.0, -10.0), ("c", 5.0, -10.0), ("def", -7.5, 0.0)]
+    assert [tuple(x) for x in places["q"]] == [("ab", 0.0, -10.0), ("c", 15.0, -10.0), ("def", 0.0, 0.0)]
