@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .dealing import groups, small_batches
 from .substring_dedup import _ids
-from .vectext import Words, chunks, mix, windows
+from .vectext import Words, chunks, windows
 
 #: Window sizes by doubling: 8 to 8192 words; the sums of the largest fit 16 bits.
 SIZES = tuple(8 << k for k in range(11))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.shared import shared_checkpoint
-from .dealing import BLOCK, Outbox, bucket_of, by_bucket, deal, groups, join_hot, opened, parts, release, small_batches
+from .dealing import BLOCK, Outbox, bucket_of, deal, groups, join_hot, opened, parts, release, small_batches
 from .substring_dedup import _ids
 from .vectext import chunks, mix
 

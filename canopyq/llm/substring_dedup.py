@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .dealing import BLOCK, Outbox, aside, bucket_of, buckets_of, by_bucket, deal, groups, opened, parts, repeated, small_batches
-from .vectext import BASE, BASE2, Words, chunks, windows
+from .vectext import BASE2, Words, chunks, windows
 
 #: Period and perfect difference cover modulo it: every residue is a difference of two members.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
