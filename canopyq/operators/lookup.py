@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..model import IGNORED_BASELINES, UNKNOWN, Basis, QuerySpec, baseline_name
+from ..model import IGNORED_BASELINES, UNKNOWN, QuerySpec
 
 
 def node_at(nodes: DataFrame, root_id: str, path: list[str]) -> DataFrame:
@@ -55,7 +55,3 @@ def collapsed_filters(spec: QuerySpec, length: int) -> list[int]:
     """Levels of a path that name a filter: the last of each run of one resolver."""
     ids = [x.resolver_id for x in spec.levels[:length]]
     return [i + 1 for i in range(length) if i + 1 == length or ids[i] != ids[i + 1]]
-
-
-def names_of(spec: QuerySpec, level: int, bases: list[Basis]) -> list[str]:
-    return [baseline_name(spec.root_kind, spec.kind_of(level), b) for b in bases]
