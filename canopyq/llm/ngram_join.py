@@ -64,7 +64,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.shared import shared_checkpoint
 from .components import connected
-from .dealing import BLOCK, Outbox, aside, by_bucket, deal, groups, join_hot, numbered_buckets, opened, parts, release, repeated, small_batches
+from .dealing import BLOCK, MOST_BUCKETS, Outbox, aside, by_bucket, deal, groups, join_hot, numbered_buckets, opened, parts, release, repeated, small_batches
 from .vectext import Words, chunks, mix, windows
 
 #: Group size up to which all pairs are candidates.
@@ -309,7 +309,8 @@ def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def hot_stars(hot: DataFrame) -> DataFrame:
     """(centre, member) pairs of the groups of rows (key, id, rank)."""
     heads = shared_checkpoint(hot.groupBy("key").agg(F.min(F.struct("rank", "id")).alias("head"), F.count("*").alias("n")).select("key", F.col("head.id").alias("x"), "n"))
-    return join_hot(hot, heads, ["key"], "n", hot.count()).where(F.col("id") != F.col("x")).select("x", F.col("id").alias("y"))
+    rows = heads.agg(F.sum("n")).first()[0] or 0
+    return join_hot(hot, heads, ["key"], "n", rows).where(F.col("id") != F.col("x")).select("x", F.col("id").alias("y"))
 
 
 def _members(x: dict[str, np.ndarray]) -> tuple[np.ndarray, ...]:
@@ -473,20 +474,53 @@ def _verify(shingle: int):
     return run
 
 
-#: Sets up to which the texts to verify are picked by a broadcast of their ids (8 bytes each).
-BROADCAST_SETS = 2_000_000
+#: Sets up to which the texts to verify are picked by a broadcast bitmap of their ids (8 bytes each).
+BROADCAST_SETS = 4_000_000
+#: Bits of that bitmap a key, and at least: of the other rows, 1 in 64 passes at most.
+KEY_BITS, LEAST_BITS = 64, 1 << 22
+#: Bits of a row of it, as bitmap_construct_agg() has them.
+ROW_BITS = 32768
+#: MB of tokens that a bucket verifies.
+VERIFY_MB = 14
 
 
-def verify_pairs(docs: DataFrame, sets: DataFrame, pairs: DataFrame, n: int, shingle: int) -> DataFrame:
+def picked(rows: DataFrame, keys: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """The rows whose values in some columns are among the n rows of keys, nulls too, and a few others; rows don't move.
+
+    The driver gets a bitmap of hashes, not the keys and a hashed relation of them.
+    """
+    bits = -(-max(LEAST_BITS, KEY_BITS * n) // ROW_BITS) * ROW_BITS
+    at = F.pmod(F.xxhash64(*columns), F.lit(bits)).alias("_at")
+    maps = keys.select(at).withColumn("_part", F.bitmap_bucket_number("_at")).repartition("_part").groupBy("_part").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bits"))
+    place = F.bitmap_bit_position("_at")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    there = (F.bitmap_bucket_number("_at") == F.col("_part")) & (F.getbit(byte, (place % 8).cast("int")) == 1)
+    return rows.select("*", at).join(F.broadcast(maps), there, "left_semi").drop("_at")
+
+
+def verify_buckets(sets: int, tokens: int, pairs: int) -> int:
+    """Buckets so that each holds about VERIFY_MB of the sets to verify (with so many tokens in all) and of what is sent to them.
+
+    A set goes to every bucket where it has candidates: the fewer buckets, the fewer copies.
+    """
+    size = 8 * tokens + pairs * (512 + 8 * tokens // max(sets, 1))
+    return max(1, min(MOST_BUCKETS, -(-size // (VERIFY_MB << 20)))) | 1
+
+
+def verify_pairs(docs: DataFrame, sets: DataFrame, pairs: DataFrame, most: int, shingle: int) -> DataFrame:
     """Exact overlap of candidate pairs (x, y), as VERIFIED.
 
-    Only texts that stand for a wanted set move, if the ids fit a broadcast;
-    else every set's text moves once.
+    Only texts that stand for a wanted set move, if a bitmap of their ids fits a
+    broadcast; else every set's text moves once, to most buckets at least.
     """
     wanted = pairs.select(F.col("x").alias("set_id")).union(pairs.select("y")).distinct()
-    reps = shared_checkpoint(sets.join(wanted, "set_id", "left_semi").select(F.col("smallest").alias("_rep")))
-    if reps.count() <= BROADCAST_SETS:
-        docs = docs.join(F.broadcast(reps), docs["doc_id"].eqNullSafe(reps["_rep"]), "left_semi")
+    reps = shared_checkpoint(sets.join(wanted, "set_id", "left_semi").select(F.col("smallest").alias("doc_id"), "n_shingles"))
+    n_sets, tokens = reps.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    n = verify_buckets(n_sets, tokens, pairs.count())
+    if n_sets <= BROADCAST_SETS:
+        docs = picked(docs, reps, ["doc_id"], n_sets)
+    else:
+        n = max(n, most)
     home = docs.select("text").mapInArrow(_homes(shingle, n), "bucket int, set_id long, text string").repartition(n, "bucket")
     pairs = pairs.select("x", "y")
     wants = pairs.mapInArrow(_wants(n), "x long, to int").distinct().mapInArrow(_want_blocks(n), BLOCK).repartition(n, "bucket")
@@ -525,19 +559,21 @@ def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def open_links(verified: DataFrame, linked: Column, percent: int, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """Links (x, y) that connect members of large groups which do not link with the centre; None if there are none."""
     links = verified.where(linked).select("x", "y")
-    stars = verified.select(F.col("x").alias("center"), F.col("y").alias("id"), F.col("size_y").alias("size"), F.col("size_x").alias("center_size"), (F.col("size_x") - F.col("common")).alias("lacks"), (F.col("size_y") - F.col("common")).alias("extra"), (1 - F.col("common") / (F.col("size_x") + F.col("size_y") - F.col("common"))).alias("d"), linked.alias("linked"), "extras", "lost", *(f"p{i}" for i in range(SKETCH)))
+    stars = verified.select(F.col("x").alias("center"), F.col("y").alias("id"), F.col("size_y").alias("size"), F.col("size_x").alias("center_size"), (F.col("size_x") - F.col("common")).alias("lacks"), (F.col("size_y") - F.col("common")).alias("extra"), (1 - F.col("common") / (F.col("size_x") + F.col("size_y") - F.col("common"))).alias("d"), linked.alias("linked"))
+    # the lists of tokens stay where they are: only numbers move through the joins with roots
     stars = shared_checkpoint(with_roots(stars, connected(links)))
     apart = F.col("root_center") != F.col("root_id")
-    centers = stars.where(apart).select("center").distinct()
+    centers = shared_checkpoint(stars.where(apart).select("center").distinct())
     if centers.isEmpty():
         return None
     # a member is linked, from here on, if it is in the centre's component
     stars = stars.join(centers, "center", "left_semi").withColumn("linked", ~apart)
     # extra tokens that one member alone has; a hash that collides only makes them fewer
-    alone = stars.select("center", "id", "extras").mapInArrow(_tokens, TOKENS).groupBy("center", "token").agg(F.count("*").alias("n"), F.min("id").alias("id")).where(F.col("n") == 1)
+    differences = verified.select(F.col("x").alias("center"), F.col("y").alias("id"), "extras", "lost", *(f"p{i}" for i in range(SKETCH)))
+    alone = picked(differences.select("center", "id", "extras"), centers, ["center"], centers.count()).mapInArrow(_tokens, TOKENS).groupBy("center", "token").agg(F.count("*").alias("n"), F.min("id").alias("id")).where(F.col("n") == 1)
     alone = alone.groupBy("center", "id").agg(F.count("*").alias("alone"))
     allowed = (100 - percent) / (100 + percent)
-    members = stars.drop("extras", "lost").join(alone, ["center", "id"], "left").withColumn("cost", F.coalesce("alone", F.lit(0)) - allowed * F.col("size")).drop("alone")
+    members = stars.join(alone, ["center", "id"], "left").withColumn("cost", F.coalesce("alone", F.lit(0)) - allowed * F.col("size")).drop("alone")
     members = shared_checkpoint(members)
     # the least cost for each number of lacking tokens (at most the centre's size of them), then a member's best fellows
     least = members.groupBy("center", "lacks", "linked").agg(F.min(F.struct("cost", "id")).alias("best"))
@@ -561,7 +597,7 @@ def open_links(verified: DataFrame, linked: Column, percent: int, verify: Callab
         return joins
     fellows = with_roots(members.where("linked").join(left.select("center").distinct(), "center", "left_semi"), roots)
     every = shared_checkpoint(fellows.unionByName(is_open.join(left.select("center").distinct(), "center", "left_semi")).withColumn("left", apart))
-    pairs = shared_checkpoint(by_differences(every, stars, percent))
+    pairs = shared_checkpoint(by_differences(every, differences, percent))
     return joins if pairs.isEmpty() else joins.unionByName(verify(pairs).where(linked).select("x", "y"))
 
 
@@ -598,7 +634,7 @@ def recentred(is_open: DataFrame, joins: DataFrame, linked: Column, verify: Call
     return joins, is_open
 
 
-def by_differences(every: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+def by_differences(every: DataFrame, differences: DataFrame, percent: int) -> DataFrame:
     """Candidates (x, y): members left with fellows that share one of both sides' rarest differences from the centre.
 
     With D the number of a member's differences, tau the most that a link allows
@@ -612,9 +648,12 @@ def by_differences(every: DataFrame, stars: DataFrame, percent: int) -> DataFram
     tau = F.floor((F.col("size") + F.floor(F.col("size") * 100 / percent)) * (100 - percent) / (100 + percent))
     shared_x = F.greatest(F.lit(1), d - tau)
     shared_y = F.greatest(F.lit(1), F.floor((d + r * (F.col("center_size") - F.col("size"))) / 2 - 1e-6) + 1)
-    traits = ["id", "root_id", "size", "lacks", "cost", "d", "left", *(f"p{i}" for i in range(SKETCH))]
-    prefixes = every.select("center", *traits, (d - shared_x + 1).alias("prefix_x"), (d - shared_y + 1).alias("prefix_y"))
-    tokens = stars.join(every.select("center", "id"), ["center", "id"], "left_semi").select("center", "id", "extras", "lost").mapInArrow(_tokens, TOKENS)
+    parities = [f"p{i}" for i in range(SKETCH)]
+    traits = ["id", "root_id", "size", "lacks", "cost", "d", "left", *parities]
+    keys = every.select("center", "id")
+    differences = shared_checkpoint(picked(differences, keys, ["center", "id"], keys.count()).join(keys, ["center", "id"], "left_semi"))
+    prefixes = every.join(differences.select("center", "id", *parities), ["center", "id"]).select("center", *traits, (d - shared_x + 1).alias("prefix_x"), (d - shared_y + 1).alias("prefix_y"))
+    tokens = differences.select("center", "id", "extras", "lost").mapInArrow(_tokens, TOKENS)
     tokens = shared_checkpoint(tokens)
     counts = shared_checkpoint(tokens.groupBy("center", "token").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     member = Window.partitionBy("center", "id")
