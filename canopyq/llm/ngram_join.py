@@ -484,9 +484,10 @@ ROW_BITS = 32768
 VERIFY_MB = 14
 
 
-def picked(rows: DataFrame, keys: DataFrame, columns: list[str], n: int) -> DataFrame:
+def picked(rows: DataFrame, keys: DataFrame, columns: list[str], n: int, how: str = "left_semi") -> DataFrame:
     """The rows whose values in some columns are among the n rows of keys, nulls too, and a few others; rows don't move.
 
+    how: left_anti gives the other rows instead, none of which is among the keys.
     The driver gets a bitmap of hashes, not the keys and a hashed relation of them.
     """
     bits = -(-max(LEAST_BITS, KEY_BITS * n) // ROW_BITS) * ROW_BITS
@@ -495,7 +496,7 @@ def picked(rows: DataFrame, keys: DataFrame, columns: list[str], n: int) -> Data
     place = F.bitmap_bit_position("_at")
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     there = (F.bitmap_bucket_number("_at") == F.col("_part")) & (F.getbit(byte, (place % 8).cast("int")) == 1)
-    return rows.select("*", at).join(F.broadcast(maps), there, "left_semi").drop("_at")
+    return rows.select("*", at).join(F.broadcast(maps), there, how).drop("_at")
 
 
 def verify_buckets(sets: int, tokens: int, pairs: int) -> int:
@@ -649,10 +650,10 @@ def by_differences(every: DataFrame, differences: DataFrame, percent: int) -> Da
     shared_x = F.greatest(F.lit(1), d - tau)
     shared_y = F.greatest(F.lit(1), F.floor((d + r * (F.col("center_size") - F.col("size"))) / 2 - 1e-6) + 1)
     parities = [f"p{i}" for i in range(SKETCH)]
-    traits = ["id", "root_id", "size", "lacks", "cost", "d", "left", *parities]
+    traits = ["id", "root_id", "size", "lacks", "cost", "d", *parities]
     keys = every.select("center", "id")
     differences = shared_checkpoint(picked(differences, keys, ["center", "id"], keys.count()).join(keys, ["center", "id"], "left_semi"))
-    prefixes = every.join(differences.select("center", "id", *parities), ["center", "id"]).select("center", *traits, (d - shared_x + 1).alias("prefix_x"), (d - shared_y + 1).alias("prefix_y"))
+    prefixes = every.join(differences.select("center", "id", *parities), ["center", "id"]).select("center", *traits, "left", (d - shared_x + 1).alias("prefix_x"), (d - shared_y + 1).alias("prefix_y"))
     tokens = differences.select("center", "id", "extras", "lost").mapInArrow(_tokens, TOKENS)
     tokens = shared_checkpoint(tokens)
     counts = shared_checkpoint(tokens.groupBy("center", "token").agg(F.count("*").alias("n")).where(F.col("n") > 1))
@@ -661,15 +662,18 @@ def by_differences(every: DataFrame, differences: DataFrame, percent: int) -> Da
     # tokens that a member has alone come first, and meet nobody
     ranked = ranked.select("center", "id", "token", (F.col("own") - F.col("common") + F.col("rank")).alias("rank")).join(prefixes, ["center", "id"])
     ranked = shared_checkpoint(ranked.where(F.col("rank") <= F.greatest("prefix_x", "prefix_y")))
-    side = lambda e, rows: rows.select("center", "token", *[F.col(c).alias(f"{c}_{e}") for c in traits])
-    x, y = side("x", ranked.where(F.col("left") & (F.col("rank") <= F.col("prefix_x")))), side("y", ranked.where(F.col("rank") <= F.col("prefix_y")))
-    once = F.when(F.col("left_y"), F.col("id_x") < F.col("id_y")).otherwise(F.col("id_x") != F.col("id_y"))
+    # both sides have the same rows and columns, so that these move once; which side a row may be on is told by bits
+    sides = (F.col("left") & (F.col("rank") <= F.col("prefix_x"))).cast("int") + 2 * (F.col("rank") <= F.col("prefix_y")).cast("int") + 4 * F.col("left").cast("int")
+    ranked = ranked.withColumn("sides", sides).where(F.col("sides").bitwiseAND(3) != 0)
+    x, y = (ranked.select(*[F.col(c).alias(f"{c}_{e}") for c in ("center", "token", "sides", *traits)]) for e in "xy")
+    roles = F.col("sides_x").bitwiseAND(F.shiftright("sides_y", 1)).bitwiseAND(1) == 1
+    once = F.when(F.col("sides_y") >= 4, F.col("id_x") < F.col("id_y")).otherwise(F.col("id_x") != F.col("id_y"))
     bound = F.col("cost_x") + F.col("cost_y") + F.abs(F.col("lacks_x") - F.col("lacks_y")) <= 1e-6
     triangle = F.abs(F.col("d_x") - F.col("d_y")) <= 1 - percent / 100 + 1e-9
     bits = sum((F.bit_count(F.col(f"p{i}_x").bitwiseXOR(F.col(f"p{i}_y"))) for i in range(SKETCH)), F.lit(0))
     sketch = bits * (100 + percent) <= (F.col("size_x") + F.col("size_y")) * (100 - percent)
     fits = F.least("size_x", "size_y") * 100 >= F.greatest("size_x", "size_y") * percent
-    met = x.withColumnsRenamed({"center": "_c", "token": "_t"}).join(y, (F.col("_c") == F.col("center")) & (F.col("_t") == F.col("token")) & once & bound & triangle & sketch & fits & (F.col("root_id_x") != F.col("root_id_y")))
+    met = x.join(y, (F.col("center_x") == F.col("center_y")) & (F.col("token_x") == F.col("token_y")) & roles & once & bound & triangle & sketch & fits & (F.col("root_id_x") != F.col("root_id_y")))
     return met.select(F.col("id_x").alias("x"), F.col("id_y").alias("y")).distinct()
 
 
@@ -729,13 +733,20 @@ def keep_one_of_each(docs: DataFrame, percent: int = 75, shingle: int = 5) -> Da
     """docs with all their columns, and of each component one document: the smallest doc_id's rows.
 
     A row without doc_id goes if its component has a named document; of a
-    component without any, one row stays.
+    component without any, one row stays.  Rows whose ids can't be among those
+    that go, by a bitmap, don't move.
     """
     members = shared_checkpoint(similar_components(docs, percent, shingle))
     named, names = docs.where(F.col("doc_id").isNotNull()), docs.columns
     first = F.max(F.col("doc_id") == F.col("component_id"))
     gone = members.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(first.alias("first")).where(~F.col("first")).select(F.col("doc_id").alias("_gone"))
-    kept = named.join(gone, named["doc_id"].cast("long") == gone["_gone"], "left_anti").select(*names)
+    gone = shared_checkpoint(gone)
+    left = lambda rows: rows.join(gone, rows["doc_id"].cast("long") == gone["_gone"], "left_anti").select(*names)
+    if (n := gone.count()) <= BROADCAST_SETS:
+        known = named.withColumn("_gone", F.col("doc_id").cast("long"))
+        kept = picked(known, gone, ["_gone"], n, "left_anti").select(*names).unionByName(left(picked(known, gone, ["_gone"], n).select(*names)))
+    else:
+        kept = left(named)
     schema = StructType([*docs.schema.fields, StructField("_set", LongType())])
     nameless = docs.where(F.col("doc_id").isNull()).mapInArrow(_with_sets(shingle, names.index("text")), schema)
     one_set = members.where(F.col("component_id").isNull() & F.col("set_id").isNotNull()).groupBy("root").agg(F.min("set_id").alias("_set")).select("_set")

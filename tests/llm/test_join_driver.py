@@ -1,4 +1,4 @@
-"""What the n-gram join costs beyond its comparisons: jobs, broadcasts, copies sent."""
+"""What the n-gram join costs beyond its comparisons: jobs, broadcasts, copies sent, disk."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import numpy as np
 from canopyq.llm import components, ngram_join
 from canopyq.sources.shared import shared_checkpoint
 
+from ..test_shared import shuffle_files
+
 
 def plain_roots(links):
     root = {}
@@ -72,3 +74,48 @@ def test_forest_of_a_long_chain():
     order = np.random.default_rng(1).permutation(len(x))
     node, root = components.forest(order.astype(np.int64)[:-1], order.astype(np.int64)[1:])
     assert len(node) == len(x) and not root.any()
+
+
+def some_copies(n=400, words=300):
+    r = random.Random(3)
+    texts = [" ".join(f"{r.getrandbits(40):x}" for _ in range(words)) for _ in range(n)]
+    return [*enumerate(texts), *((n + i, texts[i]) for i in range(0, n, 40)), (5, texts[5]), (None, texts[7]), (n + 1, None), (None, None)]
+
+
+def test_texts_of_what_stays_do_not_move(spark, make_docs, monkeypatch):
+    pairs = some_copies()
+    docs = shared_checkpoint(make_docs(pairs).repartition(4))
+    want = sorted((p for p in pairs if p[1] is None or p[0] is not None and p[0] < 400), key=repr)
+    moved = []
+    for most in (ngram_join.BROADCAST_SETS, 0):
+        monkeypatch.setattr(ngram_join, "BROADCAST_SETS", most)
+        out, before = ngram_join.keep_one_of_each(docs), shuffle_files(spark)
+        assert out.columns == docs.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == want
+        moved.append(sum(size for at, size in shuffle_files(spark).items() if at not in before))
+    assert 10 * moved[0] < moved[1]
+
+
+def test_members_left_move_once(make_docs, monkeypatch):
+    """Both sides of the join on differences read one exchange."""
+    for name, value in (("TRIES", 0), ("HOT", 6), ("CENTERS", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    plans = []
+    whole = ngram_join.by_differences
+
+    def by_differences(*args):
+        out = whole(*args)
+        out.collect()
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(ngram_join, "by_differences", by_differences)
+    r, pairs = random.Random(100), []
+    for i in range(70):
+        w = [f"b{k}" for k in range(120)]
+        if v := r.randint(0, 3):
+            w[20 * v : 20 * v + 12] = [f"v{v}x{k}" for k in range(12)]
+        w[r.randrange(len(w))] = f"n{r.randint(0, 9)}"
+        pairs.append((i, " ".join(w)))
+    ngram_join.similar_components(make_docs(pairs)).collect()
+    assert plans and "ReusedExchange" in plans[0]

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
-from canopyq.sources.shared import estimate, shared_checkpoint
+from canopyq.sources.shared import CLEANUP, estimate, shared_checkpoint
 
 
 def test_size_of_repeated_joins_stays_a_number(spark):
@@ -11,3 +13,26 @@ def test_size_of_repeated_joins_stays_a_number(spark):
         t = shared_checkpoint(t.join(t.withColumnRenamed("count", "c"), "id").select("id", F.greatest("count", "c").alias("count")))
     assert estimate(t).bit_length() <= 63
     assert sorted(map(tuple, t.collect())) == [(0, 1), (1, 1), (2, 1)]
+
+
+def shuffle_files(spark):
+    """Bytes of each shuffle file of this process."""
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    sizes = {}
+    while found.hasNext():
+        at = found.next()
+        if at.getName().startswith("shuffle_") and at.getName().endswith(".data"):
+            sizes[at.getPath()] = at.length()
+    return sizes
+
+
+def test_shuffle_files_go_with_the_checkpoint(spark):
+    rows = spark.range(100_000).groupBy((F.col("id") % 5000).alias("k")).count()
+    before, kept = set(shuffle_files(spark)), spark.conf.get(CLEANUP)
+    out = shared_checkpoint(rows)
+    for _ in range(50):  # they are removed in the background
+        if not (left := set(shuffle_files(spark)) - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(CLEANUP) == kept
+    assert out.count() == 5000 and rows.count() == 5000 and shared_checkpoint(rows).count() == 5000
