@@ -62,7 +62,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..sources.shared import shared_checkpoint
+from ..sources.shared import free_shuffles, shared_checkpoint
 from .components import connected
 from .dealing import BLOCK, MOST_BUCKETS, Outbox, aside, by_bucket, deal, groups, join_hot, numbered_buckets, opened, parts, release, repeated, small_batches
 from .vectext import Words, chunks, mix, windows
@@ -576,6 +576,7 @@ def open_links(verified: DataFrame, linked: Column, percent: int, verify: Callab
     allowed = (100 - percent) / (100 + percent)
     members = stars.join(alone, ["center", "id"], "left").withColumn("cost", F.coalesce("alone", F.lit(0)) - allowed * F.col("size")).drop("alone")
     members = shared_checkpoint(members)
+    free_shuffles(members.sparkSession)
     # the least cost for each number of lacking tokens (at most the centre's size of them), then a member's best fellows
     least = members.groupBy("center", "lacks", "linked").agg(F.min(F.struct("cost", "id")).alias("best"))
     # written, so that the join below stands on exchanges alone and a frequent centre can be split at run time
@@ -662,6 +663,7 @@ def by_differences(every: DataFrame, differences: DataFrame, percent: int) -> Da
     # tokens that a member has alone come first, and meet nobody
     ranked = ranked.select("center", "id", "token", (F.col("own") - F.col("common") + F.col("rank")).alias("rank")).join(prefixes, ["center", "id"])
     ranked = shared_checkpoint(ranked.where(F.col("rank") <= F.greatest("prefix_x", "prefix_y")))
+    free_shuffles(ranked.sparkSession)
     # both sides have the same rows and columns, so that these move once; which side a row may be on is told by bits
     sides = (F.col("left") & (F.col("rank") <= F.col("prefix_x"))).cast("int") + 2 * (F.col("rank") <= F.col("prefix_y")).cast("int") + 4 * F.col("left").cast("int")
     ranked = ranked.withColumn("sides", sides).where(F.col("sides").bitwiseAND(3) != 0)
@@ -696,12 +698,14 @@ def similar_components(docs: DataFrame, percent: int = 75, shingle: int = 5) ->
     headers = sets.select("set_id", "n_shingles", "lack0", "lack1").mapInArrow(_headers(n), BLOCK)
     shared = deal(entries.mapInArrow(_shared(n), BLOCK).unionByName(headers), n)
     probes = shared_checkpoint(shared.mapInArrow(_allocate(n), BLOCK))
+    free_shuffles(docs.sparkSession)
     hot = probes.where(F.col("bucket") < 0).mapInArrow(_hot_rows, "key long, id long, rank long")
     stars = deal(probes.where(F.col("bucket") >= 0), n).mapInArrow(_star_pairs(percent), "x long, y long")
     stars = shared_checkpoint(stars.unionByName(hot_stars(hot)).distinct())
     verify = lambda pairs: verify_pairs(docs, sets, pairs, n, shingle)
     linked = F.col("common") * 100 >= (F.col("size_x") + F.col("size_y") - F.col("common")) * percent
     verified = verify(stars)
+    free_shuffles(docs.sparkSession)
     links = verified.where(linked).select("x", "y")
     more = open_links(verified, linked, percent, verify)
     links = links if more is None else links.unionByName(more)
